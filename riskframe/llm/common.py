@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskframe.shipping import ship
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ids up to this many (8 bytes each) may be broadcast; larger sets are joined by a shuffle.
@@ -68,6 +70,7 @@ def in_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if batch.num_rows and (out := f(batch)) is not None and out.num_rows:
                 yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -105,6 +108,7 @@ def in_groups(df: DataFrame, by: list[str], order: list[str], f, schema: str, pa
         if held:
             yield from f(pa.Table.from_batches(held))
 
+    ship(df.sparkSession)
     return dealt.sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm.common import table
+from riskframe.llm.mixing import mix
 from riskframe.llm.near_dedup import near_duplicates
+from riskframe.llm.packing import pack
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +23,41 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_pack": op7_pack,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_mix_sources": op10_mix_sources,
 }
-ORACLES: dict[str, str] = {}
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         (('0x' || substr(sha256('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM s),
+c AS (
+  SELECT *, (sum(source_size) OVER ())::BIGINT AS total,
+         3 * coalesce(sum(source_size) OVER p, 0)::BIGINT AS given,
+         (sum(weight) OVER ())::BIGINT - coalesce(sum(weight) OVER p, 0)::BIGINT AS open
+  FROM w WINDOW p AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, (total - given) * weight > 3 * source_size * open AS over_limit FROM c),
+l AS (SELECT given AS level_given, open AS level_open FROM o WHERE NOT over_limit ORDER BY source_size / weight, source NULLS LAST LIMIT 1),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN over_limit THEN (3 * source_size)::DOUBLE ELSE ((total - level_given) * weight)::DOUBLE / level_open END AS target
+  FROM o CROSS JOIN l),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+x AS (
+  SELECT d.doc_id, d.source, d.size, d.u, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest,
+         coalesce(sum(d.size) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached, row_number() OVER q AS k
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source WINDOW q AS (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size)),
+y AS (SELECT *, rest > 0 AND reached + size <= rest AS more FROM x),
+g AS (SELECT source AS s, any_value(rest) - coalesce(sum(CASE WHEN more THEN size END), 0) AS gap FROM y GROUP BY source),
+z AS (
+  SELECT source AS s, k AS j, row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), u, doc_id, size, k) AS place
+  FROM y JOIN g ON y.source IS NOT DISTINCT FROM g.s WHERE NOT more AND size > 0 AND rest > 0 AND abs(size - gap) < gap)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN more OR j IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM y LEFT JOIN (SELECT * FROM z WHERE place = 1) last ON y.source IS NOT DISTINCT FROM last.s AND y.k = last.j
+"""
+
+ORACLES = {"op10_mix_sources": OP10}

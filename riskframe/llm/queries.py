@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.llm.common import table
 from riskframe.llm.mixing import mix
 from riskframe.llm.near_dedup import near_duplicates
 from riskframe.llm.packing import pack
+from riskframe.llm.quality import quality
+from riskframe.llm.secrets import find_secrets
+from riskframe.llm.toxicity import held_out, learn, toxicity
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = docs.select("doc_id", "text").join(labels.where(~held_out()).select("doc_id", "toxic"), "doc_id")
+    scored = toxicity(docs, learn(labelled))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +41,9 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_secret_scan": op4_secret_scan,
+    "op5_quality_outliers": op5_quality_outliers,
+    "op6_toxicity_lexicon": op6_toxicity_lexicon,
     "op7_pack": op7_pack,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_mix_sources": op10_mix_sources,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskframe.llm.ann import nearest_neighbours
 from riskframe.llm.common import table
 from riskframe.llm.mixing import mix
 from riskframe.llm.near_dedup import near_duplicates
@@ -13,6 +14,10 @@ from riskframe.llm.secrets import find_secrets
 from riskframe.llm.toxicity import held_out, learn, toxicity
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nn_descent": op1_nn_descent,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_outliers": op5_quality_outliers,
     "op6_toxicity_lexicon": op6_toxicity_lexicon,

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.llm.ann import nearest_neighbours
 from riskframe.llm.common import table
+from riskframe.llm.licenses import find_licenses
 from riskframe.llm.mixing import mix
 from riskframe.llm.near_dedup import near_duplicates
 from riskframe.llm.packing import pack
+from riskframe.llm.pii import replace_entities
 from riskframe.llm.quality import quality
 from riskframe.llm.secrets import find_secrets
+from riskframe.llm.token_scan import document_token_counts
 from riskframe.llm.toxicity import held_out, learn, toxicity
 
 
@@ -18,6 +21,14 @@ def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -45,13 +56,20 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_nn_descent": op1_nn_descent,
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_token_counts": op3_token_counts,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_outliers": op5_quality_outliers,
     "op6_toxicity_lexicon": op6_toxicity_lexicon,
     "op7_pack": op7_pack,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_mix_sources": op10_mix_sources,
 }
 OP10 = r"""

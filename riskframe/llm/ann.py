@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily. Both are iterative joins.
 
-Equal vectors are one node, so that a vector that many rows share is compared once. Nodes carry half-precision
+Equal vectors are one node, so that a vector that many rows share is compared once. Nodes carry 8-bit
 codes for the graph and the search; final distances are exact, in double precision on the original vectors.
 
 Building: a first graph links rows that lie close on random hyperplane orders. Each round joins the neighbours and
@@ -23,15 +23,17 @@ from riskframe.llm.common import Work, fixed_binary, in_batches, in_groups, to_b
 from riskframe.shipping import ship
 
 #: Neighbours of a node; reverse neighbours that take part in a round; links of a node that a search follows.
-DEGREE, REVERSE, LINKS = 16, 12, 40
+DEGREE, REVERSE, LINKS = 24, 20, 60
 #: Rows that are compared with each other for the first graph; orders for it; rounds of descent at most.
-CHUNK, ORDERS, ROUNDS = 128, 4, 6
+CHUNK, ORDERS, ROUNDS = 128, 4, 5
 #: Proposals of one node in one local join.
-PROPOSED = 6
+PROPOSED = 10
 #: Part of all edges that must be new for another round.
 FRESH = 0.02
 #: Nearest nodes that a search expands; rounds of it at most; entry nodes; nodes with exact distances.
-BEAM, HOPS, ENTRIES, EXACT = 112, 40, 32, 40
+BEAM, HOPS, ENTRIES, EXACT = 256, 40, 32, 64
+#: Queries up to this many are broadcast to the nodes that they meet.
+FEW_QUERIES = 20_000
 
 
 def clean(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -60,7 +62,7 @@ def ordered(nodes: DataFrame, width: int, bits: int, seed: int) -> DataFrame:
     planes = np.random.default_rng(seed).standard_normal((width, bits + 1)).astype(np.float32)
 
     def project(batch: pa.RecordBatch) -> pa.RecordBatch:
-        y = fixed_binary(batch.column(1), 2 * width, np.float16).astype(np.float32) @ planes
+        y = fixed_binary(batch.column(1), width, np.int8).astype(np.float32) @ planes
         region = ((y[:, :bits] > 0) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=1).astype(np.int64)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(region), pa.array(y[:, bits])], ["id", "code", "region", "place"])
 
@@ -70,7 +72,7 @@ def ordered(nodes: DataFrame, width: int, bits: int, seed: int) -> DataFrame:
 
         def compared(table: pa.Table):
             ids = table["id"].to_numpy()
-            x = fixed_binary(table["code"], 2 * width, np.float16).astype(np.float32)
+            x = fixed_binary(table["code"], width, np.int8).astype(np.float32)
             src, dst, dist = [], [], []
             for at in range(0, len(ids), CHUNK):
                 d = squared(x[at : at + CHUNK], x[at : at + CHUNK])
@@ -111,7 +113,7 @@ def local_join(table: pa.Table, width: int):
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     stop = np.r_[start[1:], len(at)]
     ids, kth, fresh = table["v"].to_numpy(), table["kth"].to_numpy(), table["fresh"].to_numpy().astype(bool)
-    x = fixed_binary(table["code"], 2 * width, np.float16).astype(np.float32)
+    x = fixed_binary(table["code"], width, np.int8).astype(np.float32)
     src, dst, dist = [], [], []
     for a, b in zip(start, stop, strict=True):
         n = b - a
@@ -163,7 +165,7 @@ def measured(pairs: DataFrame, nodes: DataFrame, queries: DataFrame, width: int)
     """pairs(q, id) with the distance of their codes."""
 
     def far(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (fixed_binary(batch.column(k), 2 * width, np.float16).astype(np.float32) for k in (2, 3))
+        a, b = (fixed_binary(batch.column(k), width, np.int8).astype(np.float32) for k in (2, 3))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((a - b) ** 2).sum(axis=1))], ["q", "id", "dist"])
 
     rows = pairs.join(nodes, "id").join(queries.withColumnRenamed("code", "wanted"), "q")
@@ -176,23 +178,27 @@ def greedy(queries: DataFrame, starts: DataFrame, nodes: DataFrame, graph: DataF
     both = graph.select("src", "dst", "dist").unionByName(back).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
     links = both.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("k") <= LINKS)
     links = work.save(links.groupBy("src").agg(F.collect_list("dst").alias("near")), "links")
-    seen = work.save(measured(starts.distinct(), nodes, queries, width).withColumn("hop", F.lit(0)), "seen")
     best = Window.partitionBy("q").orderBy("dist", "id")
-    for hop in range(1, HOPS):
-        # those among the beam that came in the last round are not expanded yet; earlier ones that fell back in are
-        ranked = seen.withColumn("k", F.row_number().over(best)).where((F.col("k") <= beam) & (F.col("hop") >= 0))
-        frontier = ranked.select("q", F.col("id").alias("src"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        # what is among the beam and was not expanded is expanded next
+        place = F.row_number().over(best)
+        return work.save(rows.withColumn("open", ~F.col("done") & (place <= beam)), "seen")
+
+    few = queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
+    asked = F.broadcast(queries) if few else queries
+    seen = ranked(measured(starts.distinct(), nodes, asked, width).withColumn("done", F.lit(False)))
+    for _ in range(HOPS):
+        frontier = seen.where("open").select("q", F.col("id").alias("src"))
+        if frontier.isEmpty():
+            break
         reached = frontier.join(links, "src").select("q", F.explode("near").alias("id")).distinct()
         new = reached.join(seen.select("q", "id"), ["q", "id"], "left_anti")
-        new = measured(new, nodes, queries, width).withColumn("hop", F.lit(hop))
-        opened = seen.join(frontier.withColumnRenamed("src", "id").withColumn("open", F.lit(1)), ["q", "id"], "left")
-        old = opened.select("q", "id", "dist", F.when(F.col("open").isNotNull(), -1).otherwise(F.col("hop")).alias("hop"))
-        fresh = work.save(old.unionByName(new), "seen")
+        new = measured(new, nodes, asked, width).withColumn("done", F.lit(False))
+        old = seen.select("q", "id", "dist", (F.col("done") | F.col("open")).alias("done"))
+        fresh = ranked(old.unionByName(new))
         work.drop(seen)
         seen = fresh
-        more = seen.withColumn("k", F.row_number().over(best)).where((F.col("k") <= beam) & (F.col("hop") >= 0))
-        if more.isEmpty():
-            break
     return seen.select("q", "id", "dist")
 
 
@@ -216,8 +222,8 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame | None = None, *, id_
     classes = work.save(rows.groupBy("v").agg(F.min("vec_id").alias("id")), "classes")
 
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = batch.column(1).flatten().to_numpy().reshape(-1, width) / top
-        return pa.RecordBatch.from_arrays([batch.column(0), to_binary(x.astype(np.float16))], ["id", "code"])
+        x = np.rint(batch.column(1).flatten().to_numpy().reshape(-1, width) / top * 127)
+        return pa.RecordBatch.from_arrays([batch.column(0), to_binary(x.astype(np.int8))], ["id", "code"])
 
     nodes = work.save(in_batches(classes.select("id", "v"), coded, "id long, code binary"), "nodes")
     graph = build(nodes, width, work)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.shipping import ship
+from riskframe.steps import cut
 
 
 @dataclass(frozen=True)
@@ -97,14 +98,12 @@ def flow_signals(edges: DataFrame, sources: DataFrame, sinks: DataFrame, mapping
     """
     seen = sources.select("pkg_id", "node", "label").distinct()
     frontier = seen
-    for k in range(rounds):
+    for _ in range(rounds):
         step = frontier.join(edges, (frontier["pkg_id"] == edges["pkg_id"]) & (frontier["node"] == edges["src"])).select(frontier["pkg_id"], F.col("dst").alias("node"), "label").distinct()
-        frontier = step.join(seen, ["pkg_id", "node", "label"], "left_anti").persist()
+        frontier = cut(step.join(seen, ["pkg_id", "node", "label"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-        if k % 8 == 7 and seen.sparkSession.sparkContext.getCheckpointDir():
-            seen = seen.checkpoint()
     return seen.join(sinks, ["pkg_id", "node"]).join(mapping, ["label", "sink"]).groupBy("pkg_id", "signal_id").agg(F.max("confidence").alias("confidence"), F.countDistinct("node", "label").alias("n"))
 
 

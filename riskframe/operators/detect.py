@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskframe.steps import cut
+
 Condition = dict[str, object]
 
 
@@ -195,8 +197,11 @@ def ancestors(processes: DataFrame, *, levels: int = 64) -> DataFrame:
         on = F.col("a.scenario") == F.col("b.scenario")
         far = reach.alias("a").join(jump.alias("b"), on & (F.col("a.ancestor") == F.col("b.process"))).select("a.scenario", "a.process", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         far = far.where((F.col("process") != F.col("ancestor")) & (F.col("depth") <= levels))
-        reach = reach.unionByName(far).groupBy("scenario", "process", "ancestor").agg(F.min("depth").alias("depth"))
+        reach = cut(reach.unionByName(far).groupBy("scenario", "process", "ancestor").agg(F.min("depth").alias("depth")))
         jump = jump.alias("a").join(jump.alias("b"), on & (F.col("a.ancestor") == F.col("b.process"))).select("a.scenario", "a.process", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        jump = cut(jump)
+        if jump.isEmpty():
+            break
     return reach
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe.shipping import ship
+from riskframe.steps import cut
 
 #: The 0.995 quantile of the normal distribution.
 Z = 2.5758293035489008
@@ -60,7 +61,7 @@ def tuple_counts(samples: DataFrame, *, longest: int = 4096) -> DataFrame:
     base = samples.select("source_id", "i", "sym")
     sizes = base.groupBy("source_id").agg(F.count("*").alias("total"))
     now = base.select("source_id", "i", F.xxhash64("sym").alias("g"))
-    out, every = None, []
+    every = []
     for w in range(1, longest + 1):
         counts = now.groupBy("source_id", "g").agg(F.count("*").alias("c"))
         row = counts.where("c > 1").groupBy("source_id").agg(F.max("c").alias("q"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("s"))
@@ -70,9 +71,7 @@ def tuple_counts(samples: DataFrame, *, longest: int = 4096) -> DataFrame:
         every += [tuple(r) for r in row]
         again = now.join(counts.where("c > 1").select("source_id", "g"), ["source_id", "g"])
         ahead = base.select("source_id", (F.col("i") - w).alias("i"), "sym")
-        now = again.join(ahead, ["source_id", "i"]).select("source_id", "i", F.xxhash64("g", "sym").alias("g")).persist()
-        if w % 8 == 0 and samples.sparkSession.sparkContext.getCheckpointDir():
-            now = now.checkpoint()
+        now = cut(again.join(ahead, ["source_id", "i"]).select("source_id", "i", F.xxhash64("g", "sym").alias("g")))
     out = samples.sparkSession.createDataFrame(every, "source_id string, w int, q long, s double")
     return out.join(sizes.withColumn("source_id", F.col("source_id").cast("string")), "source_id").select("source_id", "w", (F.col("total") - F.col("w") + 1).alias("n"), "q", "s", "total")
 
@@ -136,9 +135,12 @@ def compression_h(s: np.ndarray, b: int = 6, d: int = 1000) -> float:
     return -math.log2((lo + hi) / 2) / b
 
 
-def prediction_h(correct: np.ndarray, k: int) -> float:
-    """From which predictions were right: the larger of the global rate and what the longest run allows."""
-    n, c = len(correct), int(correct.sum())
+def prediction_h(correct: np.ndarray, k: int, n: int | None = None) -> float:
+    """From which predictions were right: the larger of the global rate and what the longest run allows.
+
+    n: the number of predictions, if some were left out of correct because they neither lengthen nor end a run.
+    """
+    n, c = len(correct) if n is None else n, int(correct.sum())
     if not n:
         return math.nan
     p = c / n
@@ -210,32 +212,37 @@ def multi_mcw_h(s: np.ndarray, k: int, windows: tuple[int, ...] = (63, 255, 1023
 
 
 def multi_mmc_h(s: np.ndarray, k: int, depth: int = 16, most: int = 100_000) -> float:
-    seen: list[dict] = [defaultdict(dict) for _ in range(depth)]
-    scores, winner, entries = [0] * depth, 0, [0] * depth
-    correct = np.zeros(max(0, len(s) - 2), bool)
+    """Markov models of all depths; deeper contexts count only where the shallower ones are known."""
     text = s.tolist()
+    if len(text) <= depth + 1:
+        return math.nan
+    seen: list[dict[tuple, dict[int, int]]] = [{tuple(text[: d + 1]): {text[d + 1]: 1}} for d in range(depth)]
+    scores, winner, entries = [0] * depth, 0, [1] * depth
+    correct = []
     for i in range(2, len(text)):
+        x, chosen, known = text[i], winner, True
         for d in range(min(depth, i - 1)):
-            table, key, x = seen[d], tuple(text[i - d - 2 : i - 1]), text[i - 1]
-            old = table.get(key)
-            if old is not None and x in old:
-                old[x] += 1
+            key = tuple(text[i - d - 1 : i])
+            old = seen[d].get(key) if known else None
+            known = old is not None
+            if known:
+                right = max(old.items(), key=lambda e: (e[1], e[0]))[0] == x
+                if right:
+                    scores[d] += 1
+                    if scores[d] >= scores[winner]:
+                        winner = d
+                if d == chosen:
+                    correct.append(right)
+                if x in old:
+                    old[x] += 1
+                elif entries[d] < most:
+                    old[x] = 1
+                    entries[d] += 1
             elif entries[d] < most:
-                table[key][x] = 1
+                # a context that was known before, under an unknown shallower one, starts anew
+                seen[d].setdefault(key, {})[x] = 1
                 entries[d] += 1
-        right = []
-        for d in range(min(depth, i)):
-            old = seen[d].get(tuple(text[i - d - 1 : i]))
-            guess = max(old.items(), key=lambda e: (e[1], e[0]))[0] if old else None
-            if d == winner:
-                correct[i - 2] = guess == text[i]
-            if guess is not None and guess == text[i]:
-                right.append(d)
-        for d in right:
-            scores[d] += 1
-            if scores[d] >= scores[winner]:
-                winner = d
-    return prediction_h(correct, k)
+    return prediction_h(np.array(correct, bool), k, len(text) - 2)
 
 
 def lz78y_h(s: np.ndarray, k: int, depth: int = 16, most: int = 65_536) -> float:

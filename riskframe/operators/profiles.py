@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from riskframe.steps import cut
+
 OTHER = "(other)"
 
 
@@ -14,8 +16,9 @@ def closure(nodes: DataFrame, *, levels: int = 1024) -> DataFrame:
     for _ in range(levels.bit_length()):
         on = (F.col("a.profile_id") == F.col("b.profile_id")) & (F.col("a.ancestor") == F.col("b.node_id"))
         far = reach.alias("a").join(jump.alias("b"), on).select("a.profile_id", "a.node_id", "b.ancestor")
-        reach = reach.unionByName(far).distinct()
+        reach = cut(reach.unionByName(far).distinct())
         jump = jump.alias("a").join(jump.alias("b"), on).select("a.profile_id", "a.node_id", "b.ancestor")
+        jump = cut(jump)
         if jump.isEmpty():
             break
     return reach.select("profile_id", "ancestor", "node_id")

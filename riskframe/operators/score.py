@@ -11,9 +11,16 @@ from riskframe.functions.text import level_rank, round1, signal_id
 HIGH, MEDIUM = 9.0, 5.0
 LOCATIONS = 20
 CAPABILITIES = ("process", "data", "network", "obfuscation", "native", "webview", "vscode-api", "scripts")
+CREDENTIALS = ("credential-path", "ssh-keys", "cloud-credentials", "registry-tokens", "git-credentials", "kube-docker-config", "browser-data", "keychain-access", "crypto-wallet", "shell-history", "env-file-harvest", "env-dump")
+ENDPOINTS = ("hardcoded-ip", "exfil-endpoint", "tor-endpoint", "websocket-c2")
+PERSISTENCE = ("persistence-launchagent", "persistence-cron", "persistence-shell-rc", "persistence-windows")
 BOOSTS = (
-    ("reads credentials and contacts an exfiltration endpoint", 4.0, (("credential-path", "ssh-keys", "cloud-credentials", "registry-tokens", "browser-data", "crypto-wallet"), ("exfil-endpoint", "dns-exfil"))),
-    ("unknown publisher runs processes at startup", 2.0, (("unknown-publisher",), ("activates-on-startup", "activates-after-startup"), ("process-exec", "shell-exec"))),
+    ("credentials and an endpoint", 4.0, (CREDENTIALS, ENDPOINTS)),
+    ("hidden code that is evaluated", 2.0, (("obfuscated", "packer", "charcode-chain"), ("dynamic-code", "decode-eval"))),
+    ("a download that persists", 3.0, (("pipe-to-shell", "executable-download"), PERSISTENCE)),
+    ("capture and an endpoint", 3.0, (("input-capture", "screen-capture"), ENDPOINTS)),
+    ("evasion and hidden code", 2.0, (("anti-debug", "sandbox-evasion"), ("obfuscated", "packer", "decode-eval", "terminal-injection"))),
+    ("an unknown publisher that runs or captures from startup", 2.0, (("activates-on-startup", "activates-after-startup"), ("process-exec", "input-capture"), ("unknown-publisher",))),
 )
 
 
@@ -130,12 +137,13 @@ def recommendations(risk: DataFrame, signals: DataFrame, *, pkg: str = "pkg_id")
     ids = signals.groupBy(pkg).agg(F.collect_set("signal_id").alias("ids"))
     has = lambda *x: F.arrays_overlap("ids", F.array(*map(F.lit, x)))
     rows = risk.join(ids, pkg, "left")
+    row = lambda advice, reason: F.struct(F.lit(advice).alias("advice"), F.lit(reason).alias("reason"))
     advice = [
-        F.when(has("known-bad"), F.struct(F.lit("uninstall").alias("advice"), F.lit("known-bad").alias("reason"))),
-        F.when(has("typosquat", "brand-impersonation"), F.struct(F.lit("verify"), F.lit("name"))),
-        F.when((F.col("level") == "high") & ~has("known-bad"), F.struct(F.lit("review"), F.lit("risk"))),
-        F.when(has("sideloaded", "not-on-marketplace"), F.struct(F.lit("confirm origin"), F.lit("source"))),
-        F.when(has("stale", "vulnerable-dependency"), F.struct(F.lit("update"), F.lit("age"))),
+        F.when(has("known-bad"), row("uninstall", "known-bad")),
+        F.when(has("typosquat", "brand-impersonation"), row("verify", "name")),
+        F.when((F.col("level") == "high") & ~has("known-bad"), row("review", "risk")),
+        F.when(has("sideloaded", "not-on-marketplace"), row("confirm origin", "source")),
+        F.when(has("stale", "vulnerable-dependency"), row("update", "age")),
     ]
     return rows.select(pkg, F.inline(F.filter(F.array(*advice), lambda x: x.isNotNull())))
 

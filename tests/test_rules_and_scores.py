@@ -128,3 +128,13 @@ def test_outliers(spark):
     assert [r.pkg_id for r in score.outliers(scores, scores).collect()] == ["evil.x"]
     few = scores.where("pkg_id in ('p0', 'p1', 'evil.x')")
     assert score.outliers(few, few).count() == 0
+
+
+def test_recommendations_and_coverage(spark):
+    risk = spark.createDataFrame([("a", "high"), ("b", "low")], "pkg_id string, level string")
+    signals = spark.createDataFrame([("a", "typosquat"), ("b", "stale"), ("b", "known-bad")], "pkg_id string, signal_id string")
+    got = {(r.pkg_id, r.advice) for r in score.recommendations(risk, signals).collect()}
+    assert got == {("a", "verify"), ("a", "review"), ("b", "update"), ("b", "uninstall")}
+    vectors = spark.createDataFrame([("x", "c", ["core"], False), ("y", "c", ["go"], False), ("z", "c", ["core"], True)], "signal_id string, category string, engines array<string>, online boolean")
+    r = score.coverage(vectors, vectors.where("signal_id = 'x'"), engines=("core",), online=False).first()
+    assert (r.total, r.ran, r.offline, r.no_engine, r.other) == (3, 1, 1, 1, 0)

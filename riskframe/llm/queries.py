@@ -39,8 +39,7 @@ def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = docs.select("doc_id", "text").join(labels.where(~held_out()).select("doc_id", "toxic"), "doc_id")
-    scored = toxicity(docs, learn(labelled))
+    scored = toxicity(docs, learn(docs, labels.where(~held_out())))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import Work, in_batches
+from riskframe.llm.common import Work
+from riskframe.shipping import ship
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = str.maketrans(
@@ -39,6 +40,8 @@ PREFIXES = range(4, 9)
 SAMPLE = {1: 4000, 0: 8000}
 #: Entries of a lexicon at most; documents an entry must be in; log-odds it must have, and may weigh at most.
 ENTRIES, LEAST, ODDS, MOST = 5000, 3, 3.0, 6.0
+#: Part of the toxic documents that an entry must be in to be a strong one.
+SHARE = 0.12
 
 
 def folded(text: str | None) -> str:
@@ -145,36 +148,63 @@ def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 0.0), float(b)
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] = SAMPLE) -> Lexicon:
-    """A lexicon from labelled rows; other labels than 0 and 1 and null ids are left out.
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] = SAMPLE) -> Lexicon:
+    """A lexicon from docs(id_col, text_col) and labels(id_col, label_col); other labels than 0 and 1 and null ids are left out.
 
-    What reaches the driver is bounded: at most ENTRIES counts, and a strength and label for each row of the sample.
+    The sample is drawn from labels alone, so no text moves but its own. What reaches the driver is bounded: at most
+    ENTRIES counts, and a strength and label for each row of the sample. An id with both labels has the larger.
     Without rows of both classes the lexicon is empty and scores rest on its offset alone.
     """
     work = Work(docs.sparkSession, "toxicity")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("id is not null")
-    parts = [rows.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in sample.items()]
-    rows = work.save(parts[0].unionByName(parts[1]).repartition(24), "sample")
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    marks = marks.groupBy("id").agg(F.max("label").alias("label"))
+    parts = [marks.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in sample.items()]
+    drawn = work.save(parts[0].unionByName(parts[1]), "drawn")
+    # as many ids as the sample at most
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").select("id", "text", "label")
+    rows = work.save(rows, "sample")
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (size.get(0) and size.get(1)):
         return Lexicon()
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-        for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            counts[label].update(features(text))
-        names = list(counts[0].keys() | counts[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())], ["feature", "p", "n"])
-
-    counts = in_batches(rows, count, "feature string, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= LEAST)
-    odds = F.log((F.col("p") + 0.5) / (size[1] + 1)) - F.log((F.col("n") + 1) / (size[0] + 2))
-    top = counts.withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("p")), "feature").limit(ENTRIES).collect()
-    lexicon = Lexicon(chosen([(r["feature"], r["p"], r["n"]) for r in top], size[1], size[0]))
+    # entries of many toxic documents first; others must tell documents that those leave unexplained
+    strong = Lexicon(chosen(counted(rows, None, size, max(LEAST, SHARE * size[1])), size[1], size[0]))
+    weak = chosen(counted(rows, strong, size, LEAST), size[1], size[0])
+    lexicon = Lexicon(weak | strong.weights)
     pairs = strengths(rows, lexicon, ["label"]).select("strength", "label").collect()
     lexicon.slope, lexicon.offset = fitted(np.array([r[0] for r in pairs]), np.array([r[1] for r in pairs], float))
     return lexicon
 
 
+def counted(rows: DataFrame, known: Lexicon | None, size: dict[int, int], least: float) -> list[tuple[str, int, int]]:
+    """(entry, toxic documents, others) of the best entries of rows(id, text, label), without toxic documents that known explains."""
+
+    def count(batches):
+        counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        built, calm = known.automaton() if known else (None, None)
+
+        def row():
+            names = list(counts[0].keys() | counts[1].keys())
+            arrays = [pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, ["feature", "p", "n"])
+
+        for batch in batches:
+            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if label == 1 and strength(text, built, calm) > 0:
+                    continue
+                counts[label].update(features(text))
+                if len(counts[0]) + len(counts[1]) > 2_000_000:
+                    yield row()
+                    counts = (Counter(), Counter())
+        yield row()
+
+    ship(rows.sparkSession)
+    found = rows.coalesce(12).mapInArrow(count, "feature string, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= least)
+    odds = F.log((F.col("p") + 0.5) / (size[1] + 1)) - F.log((F.col("n") + 1) / (size[0] + 2))
+    top = found.withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("p")), "feature").limit(ENTRIES).collect()
+    return [(r["feature"], r["p"], r["n"]) for r in top]
+
+
 def strengths(rows: DataFrame, lexicon: Lexicon, extra: list[str]) -> DataFrame:
     """id, the columns extra, and the strength of text."""
 
@@ -184,8 +214,6 @@ def strengths(rows: DataFrame, lexicon: Lexicon, extra: list[str]) -> DataFrame:
             found = [strength(t, built, calm) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.float64())], ["id", *extra, "strength"])
 
-    from riskframe.shipping import ship
-
     ship(rows.sparkSession)
     source = rows.select("id", "text", *extra)
     kinds = dict(source.dtypes)

@@ -85,10 +85,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(path).ids
         rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = encode(text or "") + tail
+        for doc, ids in zip(batch.column(0).to_pylist(), encoder(path).batch(batch.column(1)), strict=True):
+            ids += tail
             n = len(ids) // 4
             rows += [(doc, at, min(length, n - at), zlib.crc32(ids[4 * at : 4 * (at + length)]), n) for at in range(0, n, length)]
         names = ["id", "start", "length", "ids_crc32", "doc_tokens"]

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks whose ids a Python worker remembers; the cache starts anew when it is full.
-CACHED = 400_000
+#: Chunks whose ids a Python worker remembers: the first ones it meets, among which are all that are frequent.
+CACHED = 600_000
 #: A chunk begins at a space after a character that is no white space: no token reaches across such a place.
 PLACE = re.compile(r"(?<=\S)(?= )")
-ODD_SPACE = re.compile(r"\s | $|^ ")
+#: White space before a space; a text without any, and without two spaces in a row or one at its ends, is cut at each space.
+ODD_SPACE = [chr(c) + " " for c in range(0x110000) if c != 32 and re.match(r"\s", chr(c))]
+
+#: The same as a pattern that Arrow can search for.
+ODD_PLACE = "[" + "".join(x[0] for x in ODD_SPACE) + " ] |^ | $"
+#: Texts whose words are looked up together.
+TOGETHER = 2_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -29,25 +38,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Ids of chunks, which begin with a space that is left out here, and of what else stood at the start of a text.
         self.cache: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        if ODD_SPACE.search(text):
-            return [x for x in PLACE.split(text) if x]
-        parts = text.split(" ")
-        return [parts[0], *[" " + x for x in parts[1:]]] if text else []
+    def encoded(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def filled(self, keys: list[str], found: list[bytes | None], cache: dict[str, bytes], space: str) -> list[bytes]:
+        """found with the ids of the keys that the cache lacks."""
+        new = list({c for c, x in zip(keys, found, strict=True) if x is None})
+        fresh = dict(zip(new, self.encoded([space + c for c in new]), strict=True))
+        if len(cache) + len(fresh) <= CACHED:
+            cache.update((c, x) for c, x in fresh.items() if len(c) < 64)
+        return [fresh[c] if x is None else x for c, x in zip(keys, found, strict=True)]
 
     def ids(self, text: str) -> bytes:
-        chunks = self.chunks(text)
-        found = list(map(self.cache.get, chunks))
+        parts = text.split(" ")
+        if "" in parts or any(x in text for x in ODD_SPACE):
+            keys = [x for x in PLACE.split(text) if x]
+            found = list(map(self.others.get, keys))
+            return b"".join(self.filled(keys, found, self.others, "") if None in found else found)
+        first, keys = parts[0], parts[1:]
+        found = list(map(self.cache.get, keys))
+        if None in found:
+            found = self.filled(keys, found, self.cache, " ")
+        head = self.others.get(first)
+        if head is None:
+            head = self.filled([first], [None], self.others, "")[0]
+        return head + b"".join(found)
+
+
+    def batch(self, texts: pa.Array):
+        """ids of each text of an Arrow array, in order; a null is empty.
+
+        The words of TOGETHER texts at a time are numbered by Arrow, so each different one is looked up once.
+        """
+        for at in range(0, len(texts), TOGETHER):
+            part = pc.fill_null(texts.slice(at, TOGETHER), "")
+            odd = pc.match_substring_regex(part, ODD_PLACE).to_numpy(zero_copy_only=False)
+            plain = part.filter(pa.array(~odd))
+            found = iter(self.plain(plain)) if len(plain) else iter(())
+            for k in range(len(part)):
+                yield self.ids(part[k].as_py()) if odd[k] else next(found)
+
+    def plain(self, texts: pa.Array) -> list[bytes]:
+        """ids of texts that are cut at each space."""
+        words = pc.split_pattern(texts, " ")
+        starts = words.offsets.to_numpy() - words.offsets[0].as_py()
+        numbered = words.flatten().dictionary_encode()
+        keys = numbered.dictionary.to_pylist()
+        found = list(map(self.cache.get, keys))
         if None in found:
-            new = list({c for c, x in zip(chunks, found, strict=True) if x is None})
-            fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            if len(self.cache) + len(fresh) > CACHED:
-                self.cache.clear()
-            self.cache.update((c, x) for c, x in fresh.items() if len(c) < 64)
-            found = [fresh[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
-        return b"".join(found)
+            found = self.filled(keys, found, self.cache, " ")
+        # the first word of a text has no space before it
+        heads = [x.as_py() for x in words.flatten().take(pa.array(starts[:-1]))]
+        first = list(map(self.others.get, heads))
+        if None in first:
+            first = self.filled(heads, first, self.others, "")
+        every = found + first
+        pool = np.frombuffer(b"".join(every), "<u4")
+        sizes = np.fromiter(map(len, every), np.int64, len(every)) // 4
+        places = np.cumsum(sizes) - sizes
+        which = numbered.indices.to_numpy().astype(np.int64)
+        which[starts[:-1]] = len(found) + np.arange(len(heads))
+        n = sizes[which]
+        end = np.cumsum(n)
+        ids = pool[np.repeat(places[which] - (end - n), n) + np.arange(int(end[-1]))]
+        bounds = np.r_[0, end][starts]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 ENCODERS: dict[str, Encoder] = {}

@@ -2,9 +2,10 @@
 
 A source of size S and target T takes T / S copies of its documents on average. The whole part are certain
 copies of every document. The rest is a sample without replacement: a document with inclusion probability p
-and a random u gets the order u / (1 - u) / (p / (1 - p)), and the documents of the smallest orders are taken
-until their words reach what is left of the target. The random numbers are digests of seed and id.
-The cut is found by sums over buckets of orders, and rows are ordered only inside the bucket of the cut.
+and a random u gets the order u / (1 - u) / (p / (1 - p)), and in that order each document is taken whose words still
+fit what is left of the target. The random numbers are digests of seed and id.
+A pass takes all documents before the first that does not fit, which is found by sums over buckets of orders and ordering
+inside a bucket. The next pass is over those later documents that are not larger than what is then left.
 """
 
 from __future__ import annotations
@@ -44,13 +45,39 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     return sizes.select("source", "source_size", target.alias("target"))
 
 
+def along(rows: DataFrame, limit: str, *order: str) -> DataFrame:
+    """rows(source, bucket, size, ...) with more: the words of its source up to this row are at most ``limit``.
+
+    Buckets follow each other, and ``order`` holds inside one.
+    """
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("earlier"))
+    rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["bucket"] == sums["b"])).drop("s", "b")
+    inside = Window.partitionBy("source", "bucket").orderBy(*order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.col("earlier") + F.coalesce(F.sum("size").over(before), F.lit(0))
+    return rows.withColumn("more", reached + F.col("size") <= F.col(limit))
+
+
+def fitting(rows: DataFrame, gaps: DataFrame, work: Work) -> DataFrame:
+    """rows(source, bucket, k, size) with the gap(source, gap) of their source, those that are not larger than it."""
+    rows = rows.join(gaps.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("gap")))
+    return work.save(rows.drop("s"), "fitting")
+
+
+def at_place(rows: DataFrame):
+    """Where rows(source, bucket, k) meet a table (s, b, j) of places."""
+    return rows["source"].eqNullSafe(F.col("s")) & (rows["bucket"] == F.col("b")) & (rows["k"] == F.col("j"))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, limit: int = 3, seed: str = "mix") -> DataFrame:
     """(id_col, size, source_size, target, taken) for every row of docs; taken is a multiple of size.
 
     size: words of the text (null: 0). Sources stand in code-point order, null last, and weigh ``weights``, repeating.
     The number of copies is taken / size; no document has more than ``limit``. An empty document is taken with 0 words.
-    At the cut one more document is taken, that whose size is nearest to the words that are left, if it brings the
-    source nearer to its target.
+    A document that does not fit is passed over, and the order goes on until none fits. Then one more document is taken,
+    that whose size is nearest to the words that are left, if it brings the source nearer to its target.
     Rows that repeat an id are ordered by it and their size: each is a document. An empty table gives no rows.
     """
     work = Work(docs.sparkSession, "mixing")
@@ -66,23 +93,31 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     p = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("u", u).withColumn("order", F.when(p > 0, F.col("u") / (1 - F.col("u")) / (p / (1 - p))))
     # orders grow with u inside a source, whose documents share one p; so its buckets are those of u
-    rows = rows.withColumn("bucket", F.floor(F.col("u") * BUCKETS))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("earlier"))
-    rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["bucket"] == sums["b"])).drop("s", "b")
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "u", "id", "size")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.col("earlier") + F.coalesce(F.sum("size").over(before), F.lit(0))
-    rows = rows.withColumn("k", F.row_number().over(inside)).withColumn("more", (reached + F.col("size") <= F.col("rest")) & F.col("order").isNotNull())
+    order = ["order", "u", "id", "size"]
+    rows = along(rows.withColumn("bucket", F.floor(F.col("u") * BUCKETS)), "rest", *order)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*order))).withColumn("more", F.col("more") & F.col("order").isNotNull())
     rows = work.save(rows.select("id", "source", "size", "source_size", "target", "whole", "rest", "u", "bucket", "k", "more"), "ordered")
+    # past a document that does not fit the order goes on: what is left is filled by those that do, until none does
+    gaps = work.save(rows.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("gap")), "gaps")
+    left, filled = fitting(rows.where("not more and size > 0 and rest > 0").select("source", "bucket", "k", "size"), gaps, work), None
+    while not left.isEmpty():
+        passed = work.save(along(left, "gap", "k").select("source", "bucket", "k", "size", "more"), "passed")
+        found = passed.where("more")
+        used = found.groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "s")
+        gaps = gaps.join(used, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
+        gaps = work.save(gaps, "gaps")
+        found = found.select("source", "bucket", "k")
+        filled = found if filled is None else filled.unionByName(found)
+        left = fitting(passed.where("not more").drop("more"), gaps, work)
+    if filled is not None:
+        filled = work.save(filled.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("k").alias("j"), F.lit(True).alias("fills")), "filled")
+        rows = rows.join(filled, at_place(rows), "left").withColumn("more", F.col("more") | F.coalesce("fills", F.lit(False))).drop("s", "b", "j", "fills")
     # one more document for each source: the one whose size is nearest to the words that are left
-    gaps = rows.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("gap"))
     off = F.abs(F.col("size") - F.col("gap"))
     others = rows.where("not more and size > 0 and rest > 0").join(gaps.toDF("s", "gap"), F.col("source").eqNullSafe(F.col("s"))).where(off < F.col("gap"))
     last = others.groupBy("source").agg(F.min(F.struct(off.alias("off"), "u", "id", "size", "bucket", "k")).alias("last"))
     last = last.select(F.col("source").alias("s"), F.col("last.bucket").alias("b"), F.col("last.k").alias("j"), F.lit(True).alias("is_last"))
-    rows = rows.join(last, rows["source"].eqNullSafe(last["s"]) & (F.col("bucket") == F.col("b")) & (F.col("k") == F.col("j")), "left")
+    rows = rows.join(last, at_place(rows), "left")
     extra = (F.col("more") | F.coalesce("is_last", F.lit(False))).cast("long")
     return rows.withColumn("taken", F.col("size") * (F.col("whole") + extra)).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 

@@ -255,6 +255,36 @@ def test_mixing(docs, nothing):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_goes_on_past_a_long_document(spark):
+    """Each source has one document with 40% of its words, and each gets all that still fits in the order of its draws."""
+    rnd = random.Random(3)
+    rows = []
+    for s in range(12):
+        sizes = [rnd.randint(1, 20) for _ in range(60)]
+        rows += [(1000 * s + k, "w " * n, f"s{s:02}") for k, n in enumerate([*sizes, sum(sizes) * 2 // 3])]
+    rows += [(20_000 + k, "w " * n, None) for k, n in enumerate([1, 2, 3, 50])]
+    found = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    u = lambda i: int(hashlib.sha256(f"mix:{i}".encode()).hexdigest()[:13], 16)
+    by_source = defaultdict(list)
+    for i, text, source in rows:
+        by_source[source].append((u(i), i, len(text) // 2))
+    for docs in by_source.values():
+        first = found[docs[0][1]]
+        whole = int(first.target // first.source_size)
+        gap, left, want = first.target - whole * first.source_size, [], {}
+        for draw, i, n in sorted(docs):
+            want[i] = n * (whole + (n <= gap))
+            if n <= gap:
+                gap -= n
+            else:
+                left.append((abs(n - gap), draw, i, n))
+        left = [(abs(n - gap), draw, i, n) for _, draw, i, n in left if abs(n - gap) < gap]
+        if left:
+            _, _, i, n = min(left)
+            want[i] += n
+        assert {i: found[i].taken for i in want} == want
+
+
 def test_targets_are_capped(spark):
     sizes = {"a": 10, "b": 1000, "c": 1000, None: 50}
     rows = mixing.source_targets(spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")).collect()

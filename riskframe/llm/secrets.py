@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and random strings by the token-efficiency test.
 
 Text that a byte-pair vocabulary was made for needs few tokens for its characters; random strings need many.
-Unbroken runs of at least 16 key characters with letters and digits are encoded with tiktoken, and those with
+Unbroken runs of at least 16 key characters are encoded with tiktoken, letter-only ones too, and those with
 few characters for each token are reported as kind ``random``, after known digests, identifiers, numbers, addresses
 and what a fixed pattern has found already are left out.
 """
@@ -25,7 +25,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The same as runs of [0-9a-f] that are long enough.
 HEX = re.compile(r"[0-9a-f]{32,}")
 
+LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LETTERS = re.compile(r"[A-Za-z+/_=-]+")
+#: What stands between signs of assignment, with the padding at its end.
+PART = re.compile(r"[^=]+=*")
 #: Characters for each token below which a candidate is random.
 EFFICIENCY = 2.2
 #: Hexadecimal lengths of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
@@ -34,7 +38,10 @@ HEX_ANY = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words of letters with a number at their end, joined by - _ or /, or in camel case: names in code, versions, slugs, paths.
 IDENTIFIER = re.compile(r"/?(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[a-z]{1,2}|\d{1,8})(?:[-_/]*(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[a-z]{1,2}(?=[-_/=]|$)|\d{1,8}(?=[-_/=]|$)))*=*")
-PLAIN = re.compile(r"[0-9+/_=-]+|[A-Za-z+/_=-]+")
+#: A word that is as long as a key. It may be one, so an identifier with it is left to the ratio.
+LONG = re.compile(r"[a-z]{15,}|[A-Z]{15,}")
+#: Numbers, rules, and letters that are spelled one by one or in pairs.
+PLAIN = re.compile(r"[0-9+/_=-]+|[+/_=-]*(?:[A-Za-z]{1,2}[+/_=-]+)+[A-Za-z]{0,2}")
 
 ENCODINGS: dict[str, object] = {}
 
@@ -51,8 +58,10 @@ def encoding(path: str):
 
 
 def known(candidate: str) -> bool:
-    """Digests, identifiers, numbers and words, which are no secrets though some are random."""
-    return bool(PLAIN.fullmatch(candidate) or UUID.fullmatch(candidate) or (len(candidate) in DIGESTS and HEX_ANY.fullmatch(candidate)) or IDENTIFIER.fullmatch(candidate))
+    """Digests, identifiers and numbers, which are no secrets though some are random."""
+    if PLAIN.fullmatch(candidate) or UUID.fullmatch(candidate) or (len(candidate) in DIGESTS and HEX_ANY.fullmatch(candidate)):
+        return True
+    return bool(IDENTIFIER.fullmatch(candidate)) and not LONG.search(candidate)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,7 +79,9 @@ def random_spans(text: str, base: list[tuple[int, int, int]], encode, efficiency
         s = m[0]
         if known(s) or any(a < m.end() and m.start() < b for a, _, b in base):
             continue
-        if len(s) < efficiency * len(encode(s)):
+        # letters only may be a name and its value: each is tested if it is as long as a key
+        parts = PART.findall(s) if LETTERS.fullmatch(s) else [s]
+        if any(len(p) >= LEAST and not known(p) and len(p) < efficiency * len(encode(p)) for p in parts):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -167,6 +167,17 @@ def test_secrets(spark, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def test_secrets_of_letters_only(spark):
+    keys = ["QwXzKvTbLmRpNdYsHjGf", "qzxkvjwpqhtrbnmdlfys", "Xqzkvbnmwprtylkj", "QZXKVJWPQHTRBNMDLFYS", "QwXz/KvTb+LmRpNdYsHjGf==", "api-key=QwXzKvTbLmRpNdYsHjGf"]
+    words = ["internationalization", "Donaudampfschifffahrtsgesellschaft", "UnitedStatesOfAmerica", "getUserAccountById", "lorem-ipsum-dolor-sit-amet", "W-A-S-H-I-N-G-T-O-N", "a" * 31, "-" * 40, "1234567890" * 3]
+    rows = [(k, f"see {s} here") for k, s in enumerate(keys + words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    assert found == {k: f"random:4:{4 + len(s)}" if s in keys else "" for k, s in enumerate(keys + words)}
+    hidden = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert hidden == {k: "see [SECRET] here" if s in keys else t for (k, t), s in zip(rows, keys + words, strict=True)}
+
+
 def test_toxicity(spark, nothing):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randint(3, 9)))

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily. Both are iterative joins.
 
-Equal vectors are one node, so that a vector that many rows share is compared once. Nodes carry 8-bit
-codes for the graph and the search; final distances are exact, in double precision on the original vectors.
+Equal vectors are one node, so that a vector that many rows share is compared once. Nodes carry single-precision
+codes for the graph and the search, so that a few long vectors leave the others as they are; final distances are exact, in double precision on the original vectors.
 
 Building: a first graph links rows that lie close on random hyperplane orders. Each round joins the neighbours and
 (a bounded draw of) reverse neighbours of every node u and compares them with each other: neighbours of neighbours. A node keeps
@@ -32,6 +32,8 @@ PROPOSED = 10
 FRESH = 0.02
 #: Nearest nodes that a search expands; rounds of it at most; entry nodes; nodes with exact distances.
 BEAM, HOPS, ENTRIES, EXACT = 256, 40, 32, 64
+#: Components in codes at most, in those of a median vector: so far, squares stay finite in single precision.
+FAR = 1e17
 #: Queries up to this many are broadcast to the nodes that they meet.
 FEW_QUERIES = 20_000
 
@@ -62,7 +64,7 @@ def ordered(nodes: DataFrame, width: int, bits: int, seed: int) -> DataFrame:
     planes = np.random.default_rng(seed).standard_normal((width, bits + 1)).astype(np.float32)
 
     def project(batch: pa.RecordBatch) -> pa.RecordBatch:
-        y = fixed_binary(batch.column(1), width, np.int8).astype(np.float32) @ planes
+        y = fixed_binary(batch.column(1), 4 * width, np.float32) @ planes
         region = ((y[:, :bits] > 0) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=1).astype(np.int64)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(region), pa.array(y[:, bits])], ["id", "code", "region", "place"])
 
@@ -72,7 +74,7 @@ def ordered(nodes: DataFrame, width: int, bits: int, seed: int) -> DataFrame:
 
         def compared(table: pa.Table):
             ids = table["id"].to_numpy()
-            x = fixed_binary(table["code"], width, np.int8).astype(np.float32)
+            x = fixed_binary(table["code"], 4 * width, np.float32)
             src, dst, dist = [], [], []
             for at in range(0, len(ids), CHUNK):
                 d = squared(x[at : at + CHUNK], x[at : at + CHUNK])
@@ -113,7 +115,7 @@ def local_join(table: pa.Table, width: int):
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     stop = np.r_[start[1:], len(at)]
     ids, kth, fresh = table["v"].to_numpy(), table["kth"].to_numpy(), table["fresh"].to_numpy().astype(bool)
-    x = fixed_binary(table["code"], width, np.int8).astype(np.float32)
+    x = fixed_binary(table["code"], 4 * width, np.float32)
     src, dst, dist = [], [], []
     for a, b in zip(start, stop, strict=True):
         n = b - a
@@ -165,7 +167,7 @@ def measured(pairs: DataFrame, nodes: DataFrame, queries: DataFrame, width: int)
     """pairs(q, id) with the distance of their codes."""
 
     def far(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (fixed_binary(batch.column(k), width, np.int8).astype(np.float32) for k in (2, 3))
+        a, b = (fixed_binary(batch.column(k), 4 * width, np.float32) for k in (2, 3))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((a - b) ** 2).sum(axis=1))], ["q", "id", "dist"])
 
     rows = pairs.join(nodes, "id").join(queries.withColumnRenamed("code", "wanted"), "q")
@@ -218,12 +220,13 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame | None = None, *, id_
     found = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = found["n"] if found else 1
     rows = rows.where(F.size("v") == width)
-    top = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    scale = rows.agg(F.percentile_approx(F.array_max(F.transform("v", F.abs)), 0.5)).first()[0] or 1.0
     classes = work.save(rows.groupBy("v").agg(F.min("vec_id").alias("id")), "classes")
 
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.rint(batch.column(1).flatten().to_numpy().reshape(-1, width) / top * 127)
-        return pa.RecordBatch.from_arrays([batch.column(0), to_binary(x.astype(np.int8))], ["id", "code"])
+        with np.errstate(over="ignore"):
+            x = np.clip(batch.column(1).flatten().to_numpy().reshape(-1, width) / scale, -FAR, FAR)
+        return pa.RecordBatch.from_arrays([batch.column(0), to_binary(x.astype(np.float32))], ["id", "code"])
 
     nodes = work.save(in_batches(classes.select("id", "v"), coded, "id long, code binary"), "nodes")
     graph = build(nodes, width, work)

@@ -41,3 +41,21 @@ def test_few_and_none(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0], 1, ""), (1, [1.0, 3.0], 1, ""), (2, [1.0, 2.0], 1, "")], SCHEMA)
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(nearest_neighbours(frame).collect(), key=lambda r: r["rank"])] == [(1, 2, 0.0), (2, 1, 1.0)]
     assert nearest_neighbours(frame.limit(0)).count() == 0
+
+
+def test_recall_beside_a_long_vector(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 1100
+    x[8] *= 1e100
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest_neighbours(rows, every=10).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, near in found.items():
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hits += len(near & set(np.argsort(d)[:10].tolist()))
+    assert len(found) == 60 and hits >= 0.95 * 600, hits

@@ -25,28 +25,27 @@ BUCKETS = 1024
 def patterns(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
     """Packing patterns (lengths of a sequence, longest first) and their counts.
 
-    Lengths are placed longest first. Each goes to the open patterns with the least room that still hold it
-    (the fullest first: the shortest remainder), or opens a new one. The work depends on the number of
-    different lengths, not of pieces.
+    Lengths are placed longest first, each into the shortest pack: the open pattern with the most room, if that holds it, or
+    else a new one. A step moves as many packs of a pattern as there are pieces for, one piece each, so that the work
+    depends on the number of different lengths, not of pieces.
     """
     open_by_room: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     for n in sorted(histogram, reverse=True):
         left = histogram[n]
-        # rooms that hold it, the tightest first; a pattern that took it is open at a smaller room from now on
-        for room in range(n, length + 1):
-            while left and open_by_room[room]:
-                packed, count = open_by_room[room].pop()
-                used = min(left, count)
-                if count > used:
-                    open_by_room[room].append((packed, count - used))
-                fit = 1
-                while used and (fit + 1) * n <= room and left >= (fit + 1) * used:
-                    fit += 1
-                open_by_room[room - fit * n].append((packed + (n,) * fit, used))
-                left -= used * fit
-            if not left:
-                break
+        most = max((room for room, packs in open_by_room.items() if packs), default=0)
+        while left and most >= n:
+            packs = open_by_room[most]
+            if not packs:
+                most -= 1
+                continue
+            packed, count = packs.pop()
+            used = min(left, count)
+            if count > used:
+                packs.append((packed, count - used))
+            open_by_room[most - n].append(((*packed, n), used))
+            left -= used
         if left:
+            # each new pack is the emptiest until it is full
             per = length // n
             if whole := left // per:
                 open_by_room[length - per * n].append(((n,) * per, whole))

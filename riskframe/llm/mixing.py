@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source of size S and target T takes T / S copies of its documents on average. The whole part are certain
-copies of every document. The rest is a sample without replacement: a document with inclusion probability p
-and a random u gets the order u / (1 - u) / (p / (1 - p)), and in that order each document is taken whose words still
-fit what is left of the target. The random numbers are digests of seed and id.
+A source of size S and target T takes T / S copies of its words on average. The whole part are certain
+copies of every document. The rest is a sample without replacement whose size is fixed in words: a document is in it with a
+probability p in proportion to its own size, such that the expected words are the rest; where that is 1 or more, the document is
+certain, too. A document with a random u gets the order (u / (1 - u)) / (p / (1 - p)), and in that order each document is
+taken whose words still fit what is left of the rest. The random numbers are digests of seed and id.
 A pass takes all documents before the first that does not fit, which is found by sums over buckets of orders and ordering
 inside a bucket. The next pass is over those later documents that are not larger than what is then left.
 """
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe.llm.common import WORD, Work
 
-#: Buckets of a source's orders.
-BUCKETS = 4096
+#: Buckets of a source's orders for each unit of their logarithm, and rows that such a bucket holds at most, about.
+BUCKETS, ROWS = 256, 100_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -42,7 +43,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     sizes = sizes.withColumn("level", level)
     share = (F.col("total") - F.col("level.given")) * F.col("weight") / F.col("level.open")
     target = F.when(F.col("over"), (limit * F.col("source_size")).cast("double")).otherwise(share.cast("double"))
-    return sizes.select("source", "source_size", target.alias("target"))
+    return sizes.select("source", "source_size", *(c for c in ("n_docs",) if c in sizes.columns), target.alias("target"))
+
+
+def chances(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with ``least``, ``words`` and ``rate``: documents of more than ``least`` words are certain and hold ``words`` words; others
+    are in the sample with probability ``rate`` times their size.
+
+    sizes(source, size): documents. Probabilities in proportion to size that are 1 or more are made certain, largest first, and
+    the others scaled up to the rest, until all are below 1.
+    """
+    n = sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    down = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    square = F.col("n").cast("decimal(38,0)") * (F.col("size") * F.col("size")).cast("decimal(18,0)")
+    n = n.withColumn("words", F.coalesce(F.sum(F.col("n") * F.col("size")).over(down), F.lit(0))).withColumn("squares", F.sum(square.cast("decimal(38,0)")).over(up).cast("double"))
+    n = n.withColumnRenamed("source", "s").join(targets.select("source", "rest"), F.col("s").eqNullSafe(F.col("source")))
+    n = n.withColumn("left", F.col("rest") - F.col("words")).where(F.col("left") * F.col("size") < F.col("squares"))
+    first = n.groupBy("source").agg(F.max_by(F.struct(F.col("size").alias("least"), "words", (F.col("left") / F.col("squares")).alias("rate")), "size").alias("c"))
+    out = targets.join(first.select(F.col("source").alias("s"), "c.*"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return out.withColumns({"words": F.coalesce("words", F.lit(0)), "rate": F.coalesce("rate", F.lit(0.0)), "room": F.floor(F.col("rest") - F.coalesce("words", F.lit(0)))})
 
 
 def along(rows: DataFrame, limit: str, *order: str) -> DataFrame:
@@ -60,9 +80,9 @@ def along(rows: DataFrame, limit: str, *order: str) -> DataFrame:
     return rows.withColumn("more", reached + F.col("size") <= F.col(limit))
 
 
-def fitting(rows: DataFrame, gaps: DataFrame, work: Work) -> DataFrame:
-    """rows(source, bucket, k, size) with the gap(source, gap) of their source, those that are not larger than it."""
-    rows = rows.join(gaps.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("gap")))
+def fitting(rows: DataFrame, rooms: DataFrame, work: Work) -> DataFrame:
+    """rows(source, bucket, k, size) with the room of their source from rooms(source, room), those that are not larger than it."""
+    rows = rows.join(rooms.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("room")))
     return work.save(rows.drop("s"), "fitting")
 
 
@@ -71,60 +91,86 @@ def at_place(rows: DataFrame):
     return rows["source"].eqNullSafe(F.col("s")) & (rows["bucket"] == F.col("b")) & (rows["k"] == F.col("j"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, limit: int = 3, seed: str = "mix") -> DataFrame:
-    """(id_col, size, source_size, target, taken) for every row of docs; taken is a multiple of size.
-
-    size: words of the text (null: 0). Sources stand in code-point order, null last, and weigh ``weights``, repeating.
-    The number of copies is taken / size; no document has more than ``limit``. An empty document is taken with 0 words.
-    A document that does not fit is passed over, and the order goes on until none fits. Then one more document is taken,
-    that whose size is nearest to the words that are left, if it brings the source nearer to its target.
-    Rows that repeat an id are ordered by it and their size: each is a document. An empty table gives no rows.
-    """
-    work = Work(docs.sparkSession, "mixing")
+def taken_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], limit: int, seed: str, work: Work) -> DataFrame:
+    """(id, source, key, size, source_size, target, copies) for every row of docs; key is a hash of the text."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = work.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
+    rows = work.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("key"), size.alias("size")), "sizes")
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, limit)
     whole = F.floor(F.col("target") / F.col("source_size"))
     targets = targets.withColumn("whole", F.coalesce(F.when(F.col("source_size") > 0, whole), F.lit(0)))
-    targets = work.save(targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    rows = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    targets = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = work.save(chances(rows, targets), "targets")
+    # one row for each source
+    rows = rows.join(targets.drop("room").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     digest = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))), 256), 1, 13)
     u = (F.conv(digest, 16, 10).cast("double") + 0.5) / float(16**13)
-    p = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("u", u).withColumn("order", F.when(p > 0, F.col("u") / (1 - F.col("u")) / (p / (1 - p))))
-    # orders grow with u inside a source, whose documents share one p; so its buckets are those of u
-    order = ["order", "u", "id", "size"]
-    rows = along(rows.withColumn("bucket", F.floor(F.col("u") * BUCKETS)), "rest", *order)
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*order))).withColumn("more", F.col("more") & F.col("order").isNotNull())
-    rows = work.save(rows.select("id", "source", "size", "source_size", "target", "whole", "rest", "u", "bucket", "k", "more"), "ordered")
+    p = F.col("rate") * F.col("size")
+    certain = F.coalesce(F.col("size") > F.col("least"), F.lit(False)) & (F.col("size") > 0)
+    rows = rows.withColumn("u", u).withColumn("certain", certain)
+    rows = rows.withColumn("order", F.when((p > 0) & (p < 1) & ~certain, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))))
+    # orders spread over some units of their logarithm; a large source is cut finer
+    fine = F.greatest(F.lit(BUCKETS), F.floor(F.col("n_docs") / ROWS))
+    rows = rows.withColumn("bucket", F.coalesce(F.floor(F.log("order") * fine), F.pmod(F.xxhash64("id"), F.lit(BUCKETS))))
+    order = ["order", "id", "size", "key"]
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*order)))
+    rows = work.save(rows.select("id", "source", "key", "size", "source_size", "target", "whole", "certain", "order", "bucket", "k"), "ordered")
     # past a document that does not fit the order goes on: what is left is filled by those that do, until none does
-    gaps = work.save(rows.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("gap")), "gaps")
-    left, filled = fitting(rows.where("not more and size > 0 and rest > 0").select("source", "bucket", "k", "size"), gaps, work), None
+    rooms = targets.select("source", "room")
+    left, filled = fitting(rows.where("order is not null").select("source", "bucket", "k", "size"), rooms, work), None
     while not left.isEmpty():
-        passed = work.save(along(left, "gap", "k").select("source", "bucket", "k", "size", "more"), "passed")
+        passed = work.save(along(left, "room", "k").select("source", "bucket", "k", "size", "more"), "passed")
+        work.drop(left)
         found = passed.where("more")
         used = found.groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "s")
-        gaps = gaps.join(used, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
-        gaps = work.save(gaps, "gaps")
+        rooms = rooms.join(used, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
+        rooms = work.save(rooms, "rooms")
         found = found.select("source", "bucket", "k")
         filled = found if filled is None else filled.unionByName(found)
-        left = fitting(passed.where("not more").drop("more"), gaps, work)
+        left = fitting(passed.where("not more").drop("more"), rooms, work)
     if filled is not None:
         filled = work.save(filled.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("k").alias("j"), F.lit(True).alias("fills")), "filled")
-        rows = rows.join(filled, at_place(rows), "left").withColumn("more", F.col("more") | F.coalesce("fills", F.lit(False))).drop("s", "b", "j", "fills")
+        rows = rows.join(filled, at_place(rows), "left").withColumn("more", F.coalesce("fills", F.lit(False))).drop("s", "b", "j", "fills")
+    else:
+        rows = rows.withColumn("more", F.lit(False))
     # one more document for each source: the one whose size is nearest to the words that are left
+    ends = rooms.toDF("s", "room").join(targets.select("source", "rest", "words", F.col("room").alias("all")), F.col("s").eqNullSafe(F.col("source")))
+    ends = ends.select("s", (F.col("rest") - (F.col("words") + F.col("all") - F.col("room"))).alias("gap"))
     off = F.abs(F.col("size") - F.col("gap"))
-    others = rows.where("not more and size > 0 and rest > 0").join(gaps.toDF("s", "gap"), F.col("source").eqNullSafe(F.col("s"))).where(off < F.col("gap"))
-    last = others.groupBy("source").agg(F.min(F.struct(off.alias("off"), "u", "id", "size", "bucket", "k")).alias("last"))
+    others = rows.where("order is not null and not more").join(ends, F.col("source").eqNullSafe(F.col("s"))).where(off < F.col("gap"))
+    last = others.groupBy("source").agg(F.min(F.struct(off.alias("off"), "order", "id", "size", "key", "bucket", "k")).alias("last"))
     last = last.select(F.col("source").alias("s"), F.col("last.bucket").alias("b"), F.col("last.k").alias("j"), F.lit(True).alias("is_last"))
     rows = rows.join(last, at_place(rows), "left")
-    extra = (F.col("more") | F.coalesce("is_last", F.lit(False))).cast("long")
-    return rows.withColumn("taken", F.col("size") * (F.col("whole") + extra)).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    extra = (F.col("certain") & (F.col("size") > 0)).cast("long") + (F.col("more") | F.coalesce("is_last", F.lit(False))).cast("long")
+    return rows.select("id", "source", "key", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
 
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with each row as often as it is taken; the columns stay as they are. Rows that repeat an id count once each."""
-    copies = mix(docs, id_col=id_col, **options).where("taken > 0").select(F.col(id_col), (F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    copies = copies.groupBy(id_col).agg(F.max("__copies").alias("__copies"))
-    out = docs.join(copies, docs[id_col].eqNullSafe(copies[id_col])).drop(copies[id_col])
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, limit: int = 3, seed: str = "mix") -> DataFrame:
+    """(id_col, size, source_size, target, taken) for every row of docs; taken is a multiple of size.
+
+    size: words of the text (null: 0). Sources stand in code-point order, null last, and weigh ``weights``, repeating.
+    The number of copies is taken / size; no document has more than ``limit``. An empty document is taken with 0 words.
+    A document that does not fit is passed over, and the order goes on until none fits. Then one more document is taken,
+    that whose size is nearest to the words that are left, if it brings the source nearer to its target.
+    Rows that repeat an id are ordered by it, their size and text: each is a document. An empty table gives no rows.
+    """
+    rows = taken_rows(docs, id_col, text_col, source_col, weights, limit, seed, Work(docs.sparkSession, "mixing"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, limit: int = 3, seed: str = "mix") -> DataFrame:
+    """docs with each row as often as the mix takes it; the columns stay as they are. Documents without words are not in it.
+
+    Rows that repeat id, source and text stand as often as all of them are taken together.
+    """
+    work = Work(docs.sparkSession, "mixed")
+    rows = taken_rows(docs, id_col, text_col, source_col, weights, limit, seed, work).where("size > 0 and copies > 0")
+    copies = rows.groupBy("id", "source", "key").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("n"))
+    copies = work.save(copies.toDF("__id", "__source", "__key", "__copies", "__n"), "copies")
+    same = F.col("__id").eqNullSafe(F.col(id_col).cast("long")) & F.col("__source").eqNullSafe(F.col(source_col)) & (F.col("__key") == F.xxhash64(F.col(text_col)))
+    once = docs.join(copies.where("__n = 1"), same)
+    out = once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    again = copies.where("__n > 1")
+    if again.isEmpty():
+        return out
+    several = docs.join(again, same).dropDuplicates(["__id", "__source", "__key"])
+    return out.unionByName(several.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns))

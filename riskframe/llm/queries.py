@@ -26,7 +26,8 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_token_counts(table(spark, sf_dir, "documents"))
+    """Where a document stands in the stream depends on how rows are dealt out, so it is left out here."""
+    return document_token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ended")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ QUERIES = {
     "op10_mix_sources": op10_mix_sources,
 }
 OP10 = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          (('0x' || substr(sha256('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
@@ -89,19 +90,33 @@ t AS (
   SELECT source, source_size,
          CASE WHEN over_limit THEN (3 * source_size)::DOUBLE ELSE ((total - level_given) * weight)::DOUBLE / level_open END AS target
   FROM o CROSS JOIN l),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
-x AS (
-  SELECT d.doc_id, d.source, d.size, d.u, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest,
-         coalesce(sum(d.size) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached, row_number() OVER q AS k
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source WINDOW q AS (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size)),
-y AS (SELECT *, rest > 0 AND reached + size <= rest AS more FROM x),
-g AS (SELECT source AS s, any_value(rest) - coalesce(sum(CASE WHEN more THEN size END), 0) AS gap FROM y GROUP BY source),
+r AS (
+  SELECT *, target - whole * source_size AS rest
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t)),
+n AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+f AS (
+  SELECT source, size, coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS words,
+         (sum(n * size * size) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS squares
+  FROM n),
+h AS (
+  SELECT r.source AS s, max_by((f.size, f.words, (rest - words) / squares), f.size) AS c
+  FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source WHERE (rest - words) * size < squares GROUP BY r.source),
+p AS (SELECT d.*, r.* EXCLUDE (source), coalesce(c[2], 0) AS words, size > c[1] AS certain, c[3] * size AS p
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN h ON d.source IS NOT DISTINCT FROM h.s),
+o2 AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS pareto, row_number() OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id, size) AS k FROM p WHERE p > 0 AND p < 1 AND NOT certain),
+e AS (SELECT source, k, size, floor(rest - words)::BIGINT AS room FROM o2),
+g AS (
+  SELECT source, 0::BIGINT AS k, any_value(room) AS room, false AS more FROM e GROUP BY source
+  UNION ALL
+  SELECT g.source, e.k, CASE WHEN e.size <= g.room THEN g.room - e.size ELSE g.room END, e.size <= g.room FROM g JOIN e ON e.source IS NOT DISTINCT FROM g.source AND e.k = g.k + 1),
+y AS (SELECT o2.*, g.more FROM o2 JOIN g ON o2.source IS NOT DISTINCT FROM g.source AND o2.k = g.k),
+q AS (SELECT source AS s, any_value(rest) - (any_value(words) + coalesce(sum(size) FILTER (more), 0)) AS gap FROM y GROUP BY source),
 z AS (
-  SELECT source AS s, k AS j, row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), u, doc_id, size, k) AS place
-  FROM y JOIN g ON y.source IS NOT DISTINCT FROM g.s WHERE NOT more AND size > 0 AND rest > 0 AND abs(size - gap) < gap)
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN more OR j IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM y LEFT JOIN (SELECT * FROM z WHERE place = 1) last ON y.source IS NOT DISTINCT FROM last.s AND y.k = last.j
+  SELECT y.source AS s, k AS j, row_number() OVER (PARTITION BY y.source ORDER BY abs(size - gap), pareto, doc_id, size) AS place
+  FROM y JOIN q ON y.source IS NOT DISTINCT FROM q.s WHERE NOT more AND abs(size - gap) < gap),
+m AS (SELECT doc_id, size, y.source, 1 AS extra FROM y LEFT JOIN (SELECT * FROM z WHERE place = 1) last ON y.source IS NOT DISTINCT FROM last.s AND y.k = last.j WHERE more OR j IS NOT NULL)
+SELECT p.doc_id, p.size, source_size, target, (p.size * (whole + CASE WHEN certain OR extra = 1 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p LEFT JOIN m ON p.doc_id = m.doc_id AND p.source IS NOT DISTINCT FROM m.source AND p.size = m.size
 """
 
 ORACLES = {"op10_mix_sources": OP10}

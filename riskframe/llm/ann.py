@@ -23,15 +23,17 @@ from riskframe.llm.common import Work, fixed_binary, in_batches, in_groups, to_b
 from riskframe.shipping import ship
 
 #: Neighbours of a node; reverse neighbours that take part in a round; links of a node that a search follows.
-DEGREE, REVERSE, LINKS = 24, 20, 60
-#: Rows that are compared with each other for the first graph; orders for it; rounds of descent at most.
-CHUNK, ORDERS, ROUNDS = 128, 4, 5
+DEGREE, REVERSE, LINKS = 24, 12, 60
+#: Rows that are compared with each other for the first graph; orders for it, which are far cheaper than rounds; neighbours that each gives.
+CHUNK, ORDERS, PICKED = 256, 12, 10
+#: Rounds of descent at most.
+ROUNDS = 3
 #: Proposals of one node in one local join.
-PROPOSED = 10
+PROPOSED = 8
 #: Part of all edges that must be new for another round.
 FRESH = 0.02
-#: Nearest nodes that a search expands; rounds of it at most; entry nodes; nodes with exact distances.
-BEAM, HOPS, ENTRIES, EXACT = 256, 40, 32, 64
+#: Nearest nodes that a search expands; entry nodes; nodes with exact distances.
+BEAM, ENTRIES, EXACT = 256, 32, 64
 #: Components in codes at most, in those of a median vector: so far, squares stay finite in single precision.
 FAR = 1e17
 #: Queries up to this many are broadcast to the nodes that they meet.
@@ -59,48 +61,54 @@ def edges(src: list[np.ndarray], dst: list[np.ndarray], dist: list[np.ndarray])
 EDGE = "src long, dst long, dist float"
 
 
-def ordered(nodes: DataFrame, width: int, bits: int, seed: int) -> DataFrame:
+def ordered(nodes: DataFrame, width: int, bits: int, orders: int) -> DataFrame:
     """Edges between nodes that lie within one chunk of an order: by the signs of random projections, then by one more."""
-    planes = np.random.default_rng(seed).standard_normal((width, bits + 1)).astype(np.float32)
+    planes = np.random.default_rng(0).standard_normal((width, orders * (bits + 1))).astype(np.float32)
 
     def project(batch: pa.RecordBatch) -> pa.RecordBatch:
-        y = fixed_binary(batch.column(1), 4 * width, np.float32) @ planes
-        region = ((y[:, :bits] > 0) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=1).astype(np.int64)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(region), pa.array(y[:, bits])], ["id", "code", "region", "place"])
+        y = (fixed_binary(batch.column(1), 4 * width, np.float32) @ planes).reshape(batch.num_rows, orders, bits + 1)
+        region = ((y[:, :, :bits] > 0) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2).astype(np.int64)
+        row = pa.array(np.repeat(np.arange(batch.num_rows), orders))
+        seed = np.tile(np.arange(orders, dtype=np.int32), batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(seed), pa.array(region.reshape(-1)), pa.array(y[:, :, bits].reshape(-1))], ["id", "code", "seed", "region", "place"])
 
     def link(batches):
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def compared(table: pa.Table):
-            ids = table["id"].to_numpy()
+            ids, seeds = table["id"].to_numpy(), table["seed"].to_numpy()
             x = fixed_binary(table["code"], 4 * width, np.float32)
             src, dst, dist = [], [], []
             for at in range(0, len(ids), CHUNK):
-                d = squared(x[at : at + CHUNK], x[at : at + CHUNK])
+                part = slice(at, at + CHUNK)
+                d = squared(x[part], x[part])
                 n = len(d)
                 if n < 2:
                     continue
-                np.fill_diagonal(d, np.inf)
-                k = min(DEGREE, n - 1)
+                # itself, or another order that begins within the chunk
+                d[(ids[part, None] == ids[None, part]) | (seeds[part, None] != seeds[None, part])] = np.inf
+                k = min(PICKED if len(ids) > CHUNK else DEGREE, n - 1)
                 near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                src.append(np.repeat(ids[at : at + n], k))
-                dst.append(ids[at : at + n][near].reshape(-1))
-                dist.append(np.take_along_axis(d, near, 1).reshape(-1))
+                value = np.take_along_axis(d, near, 1)
+                row, col = np.nonzero(np.isfinite(value))
+                src.append(ids[part][row])
+                dst.append(ids[part][near[row, col]])
+                dist.append(value[row, col])
             if src:
                 yield edges(src, dst, dist)
 
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 32 * CHUNK:
+            if rows >= 16 * CHUNK:
                 yield from compared(pa.Table.from_batches(held))
                 held, rows = [], 0
         if rows:
             yield from compared(pa.Table.from_batches(held))
 
-    placed = in_batches(nodes, project, "id long, code binary, region long, place float")
-    return placed.repartitionByRange("region", "place").sortWithinPartitions("region", "place", "id").mapInArrow(link, EDGE)
+    placed = in_batches(nodes, project, "id long, code binary, seed int, region long, place float")
+    return placed.repartitionByRange("seed", "region", "place").sortWithinPartitions("seed", "region", "place", "id").mapInArrow(link, EDGE)
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:
@@ -140,10 +148,7 @@ def build(nodes: DataFrame, width: int, work: Work) -> DataFrame:
     """(src, dst, dist, fresh, k): the neighbour graph of nodes(id, code) by NN-descent."""
     n = nodes.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / CHUNK)))
-    found = None
-    for seed in range(ORDERS if n > CHUNK else 1):
-        part = ordered(nodes, width, bits, seed)
-        found = part if found is None else found.unionByName(part)
+    found = ordered(nodes, width, bits, ORDERS if n > CHUNK else 1)
     graph = work.save(nearest(found.withColumn("fresh", F.lit(1)), DEGREE), "graph")
     for _ in range(ROUNDS if n > CHUNK else 0):
         far = graph.groupBy("src").agg(F.max("dist").alias("kth"), F.count("*").alias("links"))
@@ -190,7 +195,8 @@ def greedy(queries: DataFrame, starts: DataFrame, nodes: DataFrame, graph: DataF
     few = queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
     asked = F.broadcast(queries) if few else queries
     seen = ranked(measured(starts.distinct(), nodes, asked, width).withColumn("done", F.lit(False)))
-    for _ in range(HOPS):
+    # ends: a round expands nodes that were not expanded before
+    while True:
         frontier = seen.where("open").select("q", F.col("id").alias("src"))
         if frontier.isEmpty():
             break
@@ -208,8 +214,9 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame | None = None, *, id_
     """(query_id, rank, vec_id, score): each query's k nearest rows found but itself, nearest first, ties to the smaller id.
 
     queries are rows of the table (ids of which are matched), by default those whose id ``every`` divides. score is the Euclidean
-    distance of the original vectors. Vectors that are null, zero, or hold null or non-finite components, null ids, and vectors
-    of another length than the most common one take no part. Of rows that repeat an id the smallest vector counts.
+    distance of the original vectors. Vectors that are null, zero, or hold null or non-finite components, and null ids take no
+    part. A vector that is shorter than the longest one stands for itself with zeros behind. Of rows that repeat an id the
+    smallest vector counts.
     Fewer candidates than k are all returned; an empty table gives no rows. Other columns are ignored.
     """
     spark = rows.sparkSession
@@ -217,9 +224,11 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame | None = None, *, id_
     work = Work(spark, "neighbours")
     rows = clean(rows, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
     rows = work.save(rows, "vectors")
-    found = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width = found["n"] if found else 1
-    rows = rows.where(F.size("v") == width)
+    sizes = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    width = sizes[1] or 1
+    if sizes[0] != sizes[1]:
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
+        rows = work.save(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     scale = rows.agg(F.percentile_approx(F.array_max(F.transform("v", F.abs)), 0.5)).first()[0] or 1.0
     classes = work.save(rows.groupBy("v").agg(F.min("vec_id").alias("id")), "classes")
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from riskframe.llm.common import Work, fixed_binary, in_batches, in_groups, keep_ids, mix64, to_binary
 from riskframe.llm.graph import connected_components
@@ -31,7 +32,7 @@ LANES = CHUNKS * WIDTH
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Rows of one block of a key's group.
 BLOCK = 2048
-#: Odd sketches hold about this many shingles; longer sets are sampled by hash.
+#: Sets of more shingles have no sketch: their pairs all go to the confirmation.
 SKETCHED = 256
 MULTIPLIERS = np.random.default_rng(8).integers(1, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -60,17 +61,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix64(least) >> np.uint64(48)).astype(np.uint16)
 
 
-def sampling(n: np.ndarray) -> np.ndarray:
-    """How many bits of a shingle's hash must be zero for it to be in the odd sketch of a set of n."""
-    return np.ceil(np.log2(np.maximum(n / SKETCHED, 1))).astype(np.int64)
-
-
 def odd_sketch(shingles: np.ndarray) -> np.ndarray:
-    """1024 parity bits. Two sketches differ in at most as many bits as the (sampled) sets in members."""
+    """1024 parity bits. Two sketches differ in at most as many bits as the sets in members. Of large sets they are not made."""
+    if len(shingles) > SKETCHED:
+        return np.zeros(128, np.uint8)
     x = shingles * np.uint64(0xD6E8FEB86659FD93)
-    bits = int(sampling(np.array([len(shingles)]))[0])
-    if bits:
-        x = x[(x >> np.uint64(64 - bits)) == 0]
     odd = np.bincount(((x >> np.uint64(20)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
     return np.packbits(odd.astype(np.uint8))
 
@@ -112,7 +107,6 @@ class Rows:
         self.n, self.percent = n, percent
         self.lanes = fixed_binary(signatures, 2 * LANES, np.uint16)
         self.sketch = fixed_binary(sketches, 128, np.uint64)
-        self.bits = sampling(n)
 
     def near(self, i: np.ndarray, j: np.ndarray, other: Rows | None = None):
         """Which pairs can be similar enough; the number of the first key they share; their distance."""
@@ -125,11 +119,10 @@ class Rows:
         ok &= distance <= MAX_DISTANCE
         chunk = (errors <= 1).argmax(axis=1)
         first = chunk * WIDTH + np.take_along_axis(equal, chunk[:, None, None], 1)[:, 0].argmin(axis=1)
-        # |A xor B| <= (|A| + |B|) (1 - s) / (1 + s) at a similarity of s; sampled, plus five deviations
-        most = (a + b) * (100 - self.percent) / (100 + self.percent) / 2.0 ** self.bits[i]
-        most = np.where(self.bits[i] > 0, most + 5 * np.sqrt(most) + 5, most)
+        # |A xor B| <= (|A| + |B|) (1 - s) / (1 + s) at a similarity of s
+        most = (a + b) * (100 - self.percent) / (100 + self.percent)
         differ = np.bitwise_count(self.sketch[i] ^ o.sketch[j]).sum(axis=1)
-        ok &= (self.bits[i] != o.bits[j]) | (differ <= most)
+        ok &= (np.maximum(a, b) > SKETCHED) | (differ <= most)
         return ok, first, distance
 
 
@@ -176,7 +169,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, work:
         return batch.select([0, 1]).filter(pa.array(keep))
 
     both = pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(members.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    return work.save(in_batches(both.select("a", "b", "x", "y"), similar, "a long, b long").distinct(), "links")
+    links = work.save(in_batches(both.select("a", "b", "x", "y"), similar, "a long, b long").distinct(), "links")
+    work.drop(members)
+    work.drop(pairs)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -222,6 +218,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # then every pair that shares a key and is not connected yet
     placed = shared.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     placed = work.save(placed, "placed")
+    work.drop(shared)
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y")
     open_keys = open_keys.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     rest = placed.join(open_keys, "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -229,15 +226,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = rest.join(test, "id").select("key", F.least("blk", "j").alias("low"), F.greatest("blk", "j").alias("high"), "blk", "component", "id", "n_shingles", "signature", "sketch")
     pairs = in_groups(rest, ["key", "low", "high"], ["component", "id"], lambda t: cross_pairs(t, percent), "a long, b long")
     links = links.unionByName(confirmed(pairs, reps, size, percent, work)).unionByName(twins)
+    work.drop(placed)
     found = connected_components(links, work)
+    work.drop(heads)
 
     out = rows.select("id", "n_shingles").join(found, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that are not the kept one of their group; the columns stay as they are."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col(id_col))
-    out = keep_ids(docs, Work(docs.sparkSession, "near-gone").save(gone, "gone"), id_col, "left_anti")
-    return out.select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without those that are not the kept one of their group; the columns stay as they are.
+
+    Rows that repeat an id are one document, of which one row stays: that whose text has the smallest hash. Null ids stay.
+    """
+    work = Work(docs.sparkSession, "near-gone")
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col(id_col))
+    out = keep_ids(docs, work.save(gone, "gone"), id_col, "left_anti").select(*docs.columns)
+    again = work.save(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "again")
+    if again.isEmpty():
+        return out
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), *(c for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))))
+    several = keep_ids(out, again, id_col).withColumn("__k", F.row_number().over(first)).where("__k = 1").select(*docs.columns)
+    return keep_ids(out, again, id_col, "left_anti").select(*docs.columns).unionByName(several)

@@ -4,7 +4,12 @@ A document's statistics are transformed to a vector. For each group the minimum-
 estimate of centre and scatter is found by concentration steps: the h rows nearest to the present estimate
 give the next one. A step is one aggregation: rows are counted by bands of their distance, with the sums that mean
 and covariance need, and the bands that hold the nearest h rows are added up for each group. So a group of any
-size costs no more than its bands, and equal input gives equal verdicts, however it is dealt out.
+size costs no more than its bands. Vectors are whole numbers of 1 / UNIT and their sums exact, so that equal input gives
+equal verdicts, however it is dealt out.
+
+Each group has two starts: medians and deviations of all its rows, and the best of many random subsets of a bounded sample.
+Both are concentrated over all rows until the determinant falls no more; the smaller one counts. Outliers are told
+from the rest where their language's distances are rarest: in the valley behind the bulk.
 """
 
 from __future__ import annotations
@@ -12,9 +17,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskframe.llm.common import Work, in_batches, in_groups, keep_ids
+from riskframe.llm.common import Work, few, in_batches, in_groups
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\r\x0b\x0c"
@@ -25,15 +30,21 @@ P = len(STATISTICS)
 PART = 0.75
 #: Groups of fewer rows share the estimate of their language, or else of all rows.
 LEAST_ROWS = 200
-#: Added to each statistic's standard deviation (squared to squared), so that one that hardly varies rejects little.
+#: Vectors are rounded to whole numbers of 1 / UNIT. A product of two is below 2**28, so sums of 2**35 rows are exact.
+UNIT = 1024
+#: Added to each statistic's standard deviation (squared to squared), so that one that hardly varies rejects little:
+#: a tenth of the size that a statistic has in junk, about.
 FLOOR = np.array([0.08, 0.08, 0.08, 0.08, 0.06])
-#: Rejected beyond this robust distance. Labelled clean texts end below 10, junk begins above 18.
-CUTOFF = 13.0
-#: Bands of the squared distance for each doubling; concentration steps.
-BANDS, STEPS = 16, 8
-#: Squared distances of a standard normal vector: the quantile at PART of chi-squared with P degrees of freedom.
-CHI2_PART = 6.6257
-MEASURED = "row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
+#: Bands of the squared distance for each doubling.
+BANDS = 16
+#: A step that lowers the logarithm of the determinant by less ends.
+SETTLED = 1e-6
+#: Rows of a group (those with the smallest hashes) of which random subsets start the estimate; so many subsets.
+START_ROWS, SUBSETS = 512, 30
+#: Squared distances of a standard normal vector: the quantiles at PART and at 0.999 of chi-squared with P degrees of freedom.
+CHI2_PART, CHI2_FAR = 6.6257, 20.515
+#: Bands that are looked at together for the valley: distances that differ by a quarter.
+STRETCH = 10
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -69,9 +80,13 @@ def measure(text: str | None) -> tuple[int, ...]:
     return n, chars, sum(map(data.count, SYMBOLS.encode())), again, repeated, lines, len(data) - len(data.translate(None, UPPER))
 
 
+def content_key(text_col: str, extra: tuple[str, ...] | list[str]) -> Column:
+    return F.xxhash64(F.col(text_col), *(F.col(c).cast("string") for c in extra))
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
-    """One row of counts for each row of docs, with its id and the columns ``extra``."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(f"g_{c}") for c in extra))
+    """One row of counts for each row of docs, with its id, its key and the columns ``extra``."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), content_key(text_col, extra).alias("key"), *(F.col(c).cast("string").alias(f"g_{c}") for c in extra))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -79,50 +94,57 @@ def measured(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> D
         keep = [0, *range(2, batch.num_columns)]
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(x, pa.int64()) for x in found)], [*(batch.schema.names[k] for k in keep), *names])
 
-    schema = ", ".join(["id long", *(f"g_{c} string" for c in extra), *(f"{n} long" for n in names)])
+    schema = ", ".join(["id long", "key long", *(f"g_{c} string" for c in extra), *(f"{n} long" for n in names)])
     return in_batches(source, count, schema)
 
 
 def vector() -> list[Column]:
-    """The transformed statistics of a row of counts."""
+    """The transformed statistics of a row of counts, in units of 1 / UNIT."""
     words = F.greatest("n_words", F.lit(1))
     chars = F.greatest("word_chars", F.lit(1))
-    return [
+    found = [
         F.log(chars / words),
         F.log1p(F.col("n_symbols") / words * 10),
         F.sqrt(F.col("n_repeat_words") / words),
         F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
         F.sqrt(F.col("n_upper") / chars),
     ]
+    return [F.round(x * UNIT).cast("long") for x in found]
 
 
 MOMENTS = [(i, j) for i in range(P) for j in range(i, P)]
-ESTIMATE = ", ".join(["grp string", *(f"m{i} double" for i in range(P)), *(f"q{i}{j} double" for i, j in MOMENTS)])
+ESTIMATE = ", ".join(["grp string", "start int", "spread double", *(f"m{i} double" for i in range(P)), *(f"q{i}{j} double" for i, j in MOMENTS)])
 
 
-def estimate_rows(names: list[str], centers: list[np.ndarray], shapes: list[np.ndarray]) -> pa.RecordBatch:
-    c, s = np.array(centers), np.array(shapes)
-    columns = [pa.array(names), *(pa.array(c[:, i]) for i in range(P)), *(pa.array(s[:, i, j] * (1 if i == j else 2)) for i, j in MOMENTS)]
-    return pa.RecordBatch.from_arrays(columns, ["grp", *(f"m{i}" for i in range(P)), *(f"q{i}{j}" for i, j in MOMENTS)])
+def estimate_rows(rows: list[tuple[str, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(group, start, centre, scatter) as rows with the inverse scatter; spread is the logarithm of its determinant."""
+    c = np.array([r[2] for r in rows])
+    q = np.array([np.linalg.inv(r[3]) for r in rows])
+    spread = [float(np.linalg.slogdet(r[3])[1]) for r in rows]
+    columns = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array(spread), *(pa.array(c[:, i]) for i in range(P)), *(pa.array(q[:, i, j] * (1 if i == j else 2)) for i, j in MOMENTS)]
+    return pa.RecordBatch.from_arrays(columns, ["grp", "start", "spread", *(f"m{i}" for i in range(P)), *(f"q{i}{j}" for i, j in MOMENTS)])
 
 
 def distance() -> Column:
     """The squared distance of x0, x1, ... under the estimate of the same row."""
-    d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
+    d = [F.col(f"x{i}") / UNIT - F.col(f"m{i}") for i in range(P)]
     out = F.lit(0.0)
     for i, j in MOMENTS:
         out = out + F.col(f"q{i}{j}") * d[i] * d[j]
     return F.greatest(out, F.lit(0.0))
 
 
-def starts(table: pa.Table):
-    """From counts by (grp, k, cell) of values in cells of 1/256: medians and deviations as a first estimate."""
-    names, centers, shapes = [], [], []
-    frame = table.to_pandas()
-    for name, rows in frame.groupby("grp", sort=True):
+def band(squared: Column) -> Column:
+    return F.floor(F.log2(squared + 2.0**-20) * BANDS)
+
+
+def medians(table: pa.Table):
+    """From counts by (grp, k, cell) of values: medians and deviations as a first estimate."""
+    rows = []
+    for name, group in table.to_pandas().groupby("grp", sort=True):
         center, scale = np.zeros(P), FLOOR.copy()
-        for k, cells in rows.groupby("k"):
-            value, n = cells["cell"].to_numpy() / 256, cells["n"].to_numpy()
+        for k, cells in group.groupby("k"):
+            value, n = cells["cell"].to_numpy() / UNIT, cells["n"].to_numpy()
             order = np.argsort(value, kind="stable")
             value, n = value[order], n[order]
             center[k] = value[np.searchsorted(np.cumsum(n), n.sum() / 2)]
@@ -130,34 +152,101 @@ def starts(table: pa.Table):
             order = np.argsort(off, kind="stable")
             mad = off[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]
             scale[k] = np.hypot(1.4826 * mad, FLOOR[k])
-        names.append(name)
-        centers.append(center)
-        shapes.append(np.diag(scale**-2.0))
-    if names:
-        yield estimate_rows(names, centers, shapes)
+        rows.append((name, 0, center, np.diag(scale**2.0)))
+    if rows:
+        yield estimate_rows(rows)
+
+
+def scatter(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    center = x.mean(axis=0)
+    return center, (x - center).T @ (x - center) / len(x) * SHRINK + np.diag(FLOOR**2)
+
+
+def best_subset(x: np.ndarray, subsets: int, part: float = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter with the smallest determinant that random subsets of P + 1 rows lead to."""
+    rng, best, h = np.random.default_rng(len(x)), None, max(1, int(np.ceil(part * len(x))))
+    for _ in range(subsets):
+        center, cov = scatter(x[rng.choice(len(x), min(len(x), P + 1), replace=False)])
+        spread = np.inf
+        while True:
+            d = x - center
+            near = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), kind="stable")[:h]
+            center, cov = scatter(x[near])
+            fresh = np.linalg.slogdet(cov)[1]
+            if fresh > spread - SETTLED:
+                break
+            spread = fresh
+        if best is None or fresh < best[0]:
+            best = (fresh, center, cov)
+    return best[1], best[2]
+
+
+def sampled(table: pa.Table):
+    """From at most START_ROWS rows of each group: the best subset's estimate."""
+    rows = []
+    for name, group in table.to_pandas().groupby("grp", sort=True):
+        x = group[[f"x{i}" for i in range(P)]].to_numpy() / UNIT
+        rows.append((name, 1, *best_subset(x, SUBSETS)))
+    if rows:
+        yield estimate_rows(rows)
 
 
 def concentrate(table: pa.Table):
-    """From counts and sums by (grp, band): the estimate of the nearest PART of each group, made consistent."""
-    names, centers, shapes = [], [], []
-    frame = table.to_pandas()
-    for name, rows in frame.groupby("grp", sort=True):
+    """From counts and sums by (grp, start, band): the estimate of the nearest PART of each group, made consistent."""
+    out = []
+    for (name, start), rows in table.to_pandas().groupby(["grp", "start"], sort=True):
         rows = rows.sort_values("band", kind="stable")
         n = rows["n"].to_numpy()
         last = int(np.searchsorted(np.cumsum(n), PART * n.sum()))
         near = rows.iloc[: last + 1]
-        count = near["n"].sum()
-        center = np.array([near[f"s{i}"].sum() for i in range(P)]) / count
+        count = int(near["n"].sum())
+        # whole numbers, so the order of rows does not matter
+        center = np.array([int(near[f"s{i}"].sum()) / count / UNIT for i in range(P)])
         cov = np.zeros((P, P))
         for i, j in MOMENTS:
-            cov[i, j] = cov[j, i] = near[f"s{i}{j}"].sum() / count - center[i] * center[j]
+            cov[i, j] = cov[j, i] = int(near[f"s{i}{j}"].sum()) / count / UNIT**2 - center[i] * center[j]
         # the nearest rows of a normal vector vary less than all: the scatter is scaled up for that
-        cov = cov * SHRINK + np.diag(FLOOR**2)
+        out.append((name, start, center, cov * SHRINK + np.diag(FLOOR**2)))
+    if out:
+        yield estimate_rows(out)
+
+
+def valley(bands: np.ndarray, n: np.ndarray) -> float:
+    """The distance that parts outliers from the rest, from counts n of rows by (sorted) bands of the squared distance.
+
+    Of all stretches of STRETCH bands behind the quantile CHI2_FAR the emptiest is taken, and of equal ones the middle of
+    the longest run. If none has a fuller one behind it there is no valley, and the outer fence of the logarithms holds: the
+    upper quartile and three times the distance of both quartiles.
+    """
+    first = int(np.ceil(np.log2(CHI2_FAR) * BANDS))
+    root = lambda b: float(2.0 ** (b / BANDS / 2))
+    far = bands >= first
+    if far.any():
+        counts = np.zeros(int(bands[-1]) - first + 1 + STRETCH, np.int64)
+        counts[bands[far] - first] = n[far]
+        sums = np.convolve(counts, np.ones(STRETCH, np.int64), "valid")
+        low = int(sums.min())
+        # a valley has a fuller stretch behind it
+        good = (sums == low) & (np.maximum.accumulate(sums[::-1])[::-1] > low)
+        at = np.flatnonzero(good)
+        if len(at):
+            runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+            run = max(runs, key=len)
+            return root(first + (run[0] + run[-1] + STRETCH) / 2)
+    upto = np.cumsum(n)
+    q1, q3 = (bands[np.searchsorted(upto, p * upto[-1])] for p in (0.25, 0.75))
+    return max(root(q3 + 3 * (q3 - q1)), float(np.sqrt(CHI2_FAR)))
+
+
+def valleys(table: pa.Table):
+    """(pool, cutoff) from counts by (pool, band)."""
+    names, cutoffs = [], []
+    for name, rows in table.to_pandas().groupby("pool", sort=True):
+        rows = rows.sort_values("band")
         names.append(name)
-        centers.append(center)
-        shapes.append(np.linalg.pinv(cov, hermitian=True))
+        cutoffs.append(valley(rows["band"].to_numpy(), rows["n"].to_numpy()))
     if names:
-        yield estimate_rows(names, centers, shapes)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(cutoffs)], ["pool", "cutoff"])
 
 
 def chi2_cdf(x: float, p: int) -> float:
@@ -174,28 +263,65 @@ def chi2_cdf(x: float, p: int) -> float:
 SHRINK = PART / chi2_cdf(CHI2_PART, P + 2)
 
 
-def outlier_distances(rows: DataFrame, work: Work) -> DataFrame:
-    """rows with grp and x0, x1, ...: their robust distance from their group, as ``distance``."""
-    cells = rows.select("grp", F.posexplode(F.array(*(F.round(F.col(f"x{i}") * 256).cast("long") for i in range(P)))).alias("k", "cell"))
-    cells = cells.groupBy("grp", "k", "cell").agg(F.count("*").alias("n"))
-    estimate = work.save(in_groups(cells, ["grp"], ["k", "cell"], starts, ESTIMATE), "start")
-    for _ in range(STEPS):
-        near = rows.join(estimate, "grp").withColumn("band", F.floor(F.log2(distance() + 2.0**-20) * BANDS))
-        sums = near.groupBy("grp", "band").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in MOMENTS))
-        estimate = work.save(in_groups(sums, ["grp"], ["band"], concentrate, ESTIMATE), "estimate")
-    return rows.join(estimate, "grp").withColumn("distance", F.sqrt(distance())).select(*rows.columns, "distance")
+def beside(rows: DataFrame, small: DataFrame, by: str) -> DataFrame:
+    """rows with the row of their group in a table of one row (or two) for each group.
 
+    It is broadcast if it is counted and of a bounded size; else rows are dealt by group and salt, so that a large
+    group is in many tasks.
+    """
+    if small.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS:
+        return rows.join(F.broadcast(small), by)
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [by, "salt"]).drop("salt")
+
+
+#: Estimates of so many groups (some 250 bytes each) are broadcast; parts of a group beyond that.
+MOST_GROUPS, SALTS = 100_000, 64
+
+
+def estimated(rows: DataFrame, work: Work) -> DataFrame:
+    """(grp, m0, ..., q00, ...): the minimum-covariance-determinant estimate of each group of rows(grp, row, x0, x1, ...)."""
+    xs = [f"x{i}" for i in range(P)]
+    cells = rows.select("grp", F.posexplode(F.array(*xs)).alias("k", "cell")).groupBy("grp", "k", "cell").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("grp").orderBy(F.xxhash64("row", *xs), "row", *xs)
+    drawn = rows.select("grp", "row", *xs).withColumn("place", F.row_number().over(order)).where(F.col("place") <= START_ROWS)
+    open_ = in_groups(cells, ["grp"], ["k", "cell"], medians, ESTIMATE).unionByName(in_groups(drawn.drop("row"), ["grp"], ["place"], sampled, ESTIMATE))
+    # the first estimates rest on other rows than a step's, so their spread is no bound
+    open_ = work.save(open_.withColumn("spread", F.lit(float("inf"))), "start")
+    settled = None
+    while not open_.isEmpty():
+        near = beside(rows, open_.drop("spread"), "grp").withColumn("band", band(distance()))
+        sums = near.groupBy("grp", "start", "band").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in MOMENTS))
+        fresh = in_groups(sums, ["grp", "start"], ["band"], concentrate, ESTIMATE)
+        both = work.save(fresh.join(open_.select("grp", "start", F.col("spread").alias("before")), ["grp", "start"]), "estimate")
+        falls = F.col("spread") < F.col("before") - SETTLED
+        done = both.where(~falls).drop("before")
+        settled = done if settled is None else settled.unionByName(done)
+        open_ = both.where(falls).drop("before")
+    if settled is None:
+        return open_
+    best = settled.groupBy("grp").agg(F.min_by(F.struct(*(c for c in settled.columns if c != "grp")), F.struct("spread", "start")).alias("e"))
+    return work.save(best.select("grp", "e.*"), "best")
 
-def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
-    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) for every row.
 
-    base_failed: under 50 words, or over half of the words in three-word windows that occur twice or more.
-    A row that did not fail is kept if its robust distance from its language and source is at most ``cutoff``; a group
-    of fewer than LEAST_ROWS such rows shares its language's estimate, or else that of all. A null language or
-    source is a value of its own. A null text has no words, so it fails; distance is null where the base failed.
-    Repeated rows and ids get a row each. An empty table gives no rows. Other columns are ignored.
+def outlier_distances(rows: DataFrame, work: Work) -> DataFrame:
+    """rows(own, pool, ...) that are judged with their robust distance from the group ``own`` and the cutoff of their ``pool``.
+
+    rows has one row for each group ``grp`` that a document counts for; it is judged where that is its own.
     """
-    work = Work(docs.sparkSession, "quality")
+    estimate = estimated(rows, work)
+    judged = beside(rows.where("grp = own"), estimate.drop("start", "spread"), "grp").withColumn("squared", distance())
+    judged = work.save(judged.select(*rows.columns, "squared"), "distances")
+    counts = judged.groupBy("pool", band(F.col("squared")).alias("band")).agg(F.count("*").alias("n"))
+    cutoffs = work.save(in_groups(counts, ["pool"], ["band"], valleys, "pool string, cutoff double"), "cutoffs")
+    return beside(judged, cutoffs, "pool").withColumn("distance", F.sqrt("squared")).drop("squared")
+
+
+JUDGED = ("id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, by: tuple[str, str], cutoff: float | None, work: Work) -> DataFrame:
+    """JUDGED, kept, distance and cutoff for every row of docs. key tells rows that share an id apart by what the verdict rests on."""
     rows = measured(docs, id_col, text_col, list(by)).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     rows = work.save(rows, "counts")
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"g_{c}")), F.lit("-"))
@@ -203,21 +329,39 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rest = rows.where("not base_failed").withColumns({f"x{i}": x for i, x in enumerate(vector())} | {"g1": first, "g2": second})
     sizes = rest.groupBy("g1", "g2").agg(F.count("*").alias("n2"))
     larger = sizes.groupBy("g1").agg(F.sum("n2").alias("n1"))
-    named = F.when(F.col("n2") >= LEAST_ROWS, F.col("g2")).when(F.col("n1") >= LEAST_ROWS, F.col("g1")).otherwise("")
-    groups = work.save(sizes.join(larger, "g1").select("g2", named.alias("own")), "groups")
+    own = F.when(F.col("n2") >= LEAST_ROWS, F.col("g2")).when(F.col("n1") >= LEAST_ROWS, F.col("g1")).otherwise("")
+    pool = F.when(F.col("n1") >= LEAST_ROWS, F.col("g1")).otherwise("")
+    groups = work.save(sizes.join(larger, "g1").select("g2", own.alias("own"), pool.alias("pool")), "groups")
     # an estimate that groups share rests on all rows of the language (or of the table), not just on theirs
-    shares = groups.where("own <> g2").select("own").distinct()
-    levels = F.explode(F.array("g2", "g1", F.lit("")))
-    wide = rest.withColumn("grp", levels).join(groups.where("own = g2").select(F.col("g2").alias("grp")).unionByName(shares.select(F.col("own").alias("grp"))).distinct(), "grp", "left_semi")
-    wide = work.save(wide.join(groups, "g2").select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "grp", "own", *(f"x{i}" for i in range(P))), "vectors")
-    judged = outlier_distances(wide, work).where("grp = own")
-    columns = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = judged.select(*columns, (F.col("distance") <= cutoff).alias("kept"), "distance")
-    failed = rows.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
-    return judged.unionByName(failed).withColumnRenamed("id", id_col)
-
-
-def drop_low_quality(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without rejected ones; the columns stay. Of rows that share an id none stays if one is rejected."""
-    gone = Work(docs.sparkSession, "quality-gone").save(quality(docs, id_col=id_col, **options).where("not kept").select(id_col), "gone")
-    return keep_ids(docs, gone, id_col, "left_anti").select(*docs.columns)
+    used = groups.select(F.col("own").alias("grp")).distinct()
+    wide = beside(rest, groups, "g2").withColumn("grp", F.explode(F.array_distinct(F.array("g2", "g1", F.lit("")))))
+    wide = beside(wide, used, "grp").withColumn("row", F.xxhash64("id", "key"))
+    wide = work.save(wide.select(*JUDGED, "grp", "own", "pool", "row", *(f"x{i}" for i in range(P))), "vectors")
+    found = outlier_distances(wide, work)
+    limit = F.col("cutoff") if cutoff is None else F.lit(float(cutoff))
+    found = found.select(*JUDGED, (F.col("distance") <= limit).alias("kept"), "distance", limit.alias("cutoff"))
+    none = F.lit(None).cast("double")
+    return found.unionByName(rows.where("base_failed").select(*JUDGED, F.lit(False).alias("kept"), none.alias("distance"), none.alias("cutoff")))
+
+
+def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("lang", "source"), cutoff: float | None = None) -> DataFrame:
+    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance, cutoff) for every row.
+
+    base_failed: under 50 words, or over half of the words in three-word windows that occur twice or more.
+    A row that did not fail is kept if its robust distance from its language and source is at most ``cutoff``; by default
+    that is the valley in its language's distances. A group of fewer than LEAST_ROWS such rows shares its language's estimate,
+    or else that of all, and a language of fewer the cutoff of all such languages. A null language or source is a value of its own.
+    A null text has no words, so it fails; distance and cutoff are null where the base failed.
+    Repeated rows and ids get a row each. An empty table gives no rows. Other columns are ignored.
+    """
+    found = judged(docs, id_col, text_col, by, cutoff, Work(docs.sparkSession, "quality"))
+    return found.drop("key").withColumnRenamed("id", id_col)
+
+
+def drop_low_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, str] = ("lang", "source"), cutoff: float | None = None) -> DataFrame:
+    """docs without rejected rows; the columns and their order stay. Of rows that share an id each is judged by itself."""
+    work = Work(docs.sparkSession, "quality")
+    found = judged(docs, id_col, text_col, by, cutoff, work)
+    gone = work.save(found.where("not kept").select("id", "key").distinct(), "gone").toDF("__id", "__key")
+    same = F.col("__id").eqNullSafe(F.col(id_col).cast("long")) & (F.col("__key") == content_key(text_col, by))
+    return docs.join(few(gone), same, "left_anti")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import Work
+from riskframe.llm.common import Work, bounded, sliced
 from riskframe.shipping import ship
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -33,14 +33,17 @@ FOREIGN = re.compile("[" + "".join(map(chr, HOMOGLYPHS)) + "！-～\U0001d400-\U
 #: Signs between letters, or digits before at least two letters.
 SIGNED = re.compile(r"(?<=[^\W\d_])[0134578@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[0134578]+(?=[^\W\d_]{2})")
 WORDS = re.compile(r"[^\W\d_]{3,}")
-#: Phrases that are no insult though a word of them may be in a lexicon.
+#: English phrases that are no insult though a word of them may be in a lexicon. A parameter of ``Lexicon``: they are not learned, since
+#: labelled rows hold too few of them; other languages and lexicons need their own.
 EXCEPTIONS = ("class clown", "clown fish", "rodeo clown", "trash can", "trash bin", "stupid question", "pond scum", "sore loser")
 PREFIXES = range(4, 9)
 #: At most so many labelled rows of each class are learned from; those with the smallest hash of their id.
 SAMPLE = {1: 4000, 0: 8000}
-#: Entries of a lexicon at most; documents an entry must be in; log-odds it must have, and may weigh at most.
+#: Entries of a lexicon at most; toxic documents an entry must be in (two may be chance); log-odds it must have (20 times as common in
+#: toxic documents as in others) and may weigh at most, so that one rare word does not outweigh all others.
 ENTRIES, LEAST, ODDS, MOST = 5000, 3, 3.0, 6.0
-#: Part of the toxic documents that an entry must be in to be a strong one.
+#: Part of the toxic documents that an entry must be in to be a strong one: those are learned first, and what they
+#: explain teaches no weak ones, so that words which merely stand beside an insult are left out.
 SHARE = 0.12
 
 
@@ -188,7 +191,7 @@ def counted(rows: DataFrame, known: Lexicon | None, size: dict[int, int], least:
             arrays = [pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, ["feature", "p", "n"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if label == 1 and strength(text, built, calm) > 0:
                     continue
@@ -199,6 +202,7 @@ def counted(rows: DataFrame, known: Lexicon | None, size: dict[int, int], least:
         yield row()
 
     ship(rows.sparkSession)
+    bounded(rows.sparkSession)
     found = rows.coalesce(12).mapInArrow(count, "feature string, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= least)
     odds = F.log((F.col("p") + 0.5) / (size[1] + 1)) - F.log((F.col("n") + 1) / (size[0] + 2))
     top = found.withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("p")), "feature").limit(ENTRIES).collect()
@@ -210,11 +214,12 @@ def strengths(rows: DataFrame, lexicon: Lexicon, extra: list[str]) -> DataFrame:
 
     def scan(batches):
         built, calm = lexicon.automaton()
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             found = [strength(t, built, calm) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.float64())], ["id", *extra, "strength"])
 
     ship(rows.sparkSession)
+    bounded(rows.sparkSession)
     source = rows.select("id", "text", *extra)
     kinds = dict(source.dtypes)
     return source.mapInArrow(scan, ", ".join(["id long", *(f"{c} {kinds[c]}" for c in extra), "strength double"]))
@@ -223,8 +228,8 @@ def strengths(rows: DataFrame, lexicon: Lexicon, extra: list[str]) -> DataFrame:
 def toxicity(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, predicted) for every row of docs: a score from 0 to 1, and 1 if it is at least 0.5.
 
-    Null and empty texts have no match and get the score of strength 0. Repeated rows get a row each, an empty table none.
-    Other columns are ignored.
+    Null and empty texts have no match and get the score of strength 0. A null id stays null. Repeated rows get a row each,
+    an empty table none. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     score = 1 / (1 + F.exp(-(F.lit(lexicon.slope) * F.col("strength") + F.lit(lexicon.offset))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,10 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, in the JVM and in Python: what a task holds does not depend on how long texts are.
+BATCH_BYTES = 4 * 1024 * 1024
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. One of our own only where the session names none."""
+    """The folder that all executors share. One of our own only where the session names none and runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="riskframe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -35,11 +43,15 @@ class Work:
     """Intermediate tables of one operator run, written to the shared folder.
 
     A written table cuts the lineage, so that a lost executor costs the tasks of one step and no more.
+    A result reads its operator's tables until it is written itself; then ``clear`` may delete them.
     """
 
+    opened: list[Work] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        Work.opened.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -51,29 +63,76 @@ class Work:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._riskframe_path)
+        self.delete(df._riskframe_path)
+
+    def delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    @classmethod
+    def clear(cls, since: int) -> None:
+        """Deletes the tables of all runs but the first ``since`` that were opened."""
+        for work in cls.opened[since:]:
+            work.delete(work.base)
+        del cls.opened[since:]
+
+
+def few(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """rows, to be broadcast if they are counted and at most so many."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
 
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join on an id column; ids are broadcast only if they are counted and few."""
-    ids = ids.select(column).distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, column, how)
+    return df.join(few(ids.select(column).distinct()), column, how)
+
+
+def sliced(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many bytes, or of one row."""
+    if batch.num_rows > 1 and batch.nbytes > most:
+        half = batch.num_rows // 2
+        yield from sliced(batch.slice(0, half), most)
+        yield from sliced(batch.slice(half), most)
+    elif batch.num_rows:
+        yield batch
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches that go to Python are cut by bytes, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def in_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with one output batch for each input batch."""
+    """mapInArrow with an output batch for each input batch of at most BATCH_BYTES (or one row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None and out.num_rows:
-                yield out
+            for part in sliced(batch):
+                if (out := f(part)) is not None and out.num_rows:
+                    yield out
 
     ship(df.sparkSession)
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]):
+    """A model in this Python worker: made when it is first asked for, and let go when another one is.
+
+    Workers are used again by later stages, so they would else keep the models of all stages.
+    """
+    if key not in HELD:
+        HELD.clear()
+        gc.collect()
+        HELD[key] = make()
+    return HELD[key]
+
+
 def in_groups(df: DataFrame, by: list[str], order: list[str], f, schema: str, partitions: int | None = None) -> DataFrame:
     """f gets pa.Table rows holding whole groups (columns ``by`` equal), sorted by ``by + order``; f yields batches.
 
@@ -109,6 +168,7 @@ def in_groups(df: DataFrame, by: list[str], order: list[str], f, schema: str, pa
             yield from f(pa.Table.from_batches(held))
 
     ship(df.sparkSession)
+    bounded(df.sparkSession)
     return dealt.sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 

@@ -15,7 +15,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import Work, in_batches, keep_ids
+from riskframe.llm.common import Work, held, in_batches, keep_ids
 from riskframe.llm.tokens import vocabulary
 
 # The base patterns, in the order of their kinds.
@@ -43,18 +43,18 @@ LONG = re.compile(r"[a-z]{15,}|[A-Z]{15,}")
 #: Numbers, rules, and letters that are spelled one by one or in pairs.
 PLAIN = re.compile(r"[0-9+/_=-]+|[+/_=-]*(?:[A-Za-z]{1,2}[+/_=-]+)+[A-Za-z]{0,2}")
 
-ENCODINGS: dict[str, object] = {}
-
-
 def encoding(path: str):
-    if path not in ENCODINGS:
+    """The tiktoken encoding of this Python worker."""
+
+    def make():
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        ENCODINGS[path] = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return ENCODINGS[path]
+        return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return held(path, make)
 
 
 def known(candidate: str) -> bool:

@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from riskframe.llm.common import held
+
 #: Chunks whose ids a Python worker remembers: the first ones it meets, among which are all that are frequent.
-CACHED = 600_000
+CACHED = 100_000
 #: A chunk begins at a space after a character that is no white space: no token reaches across such a place.
 PLACE = re.compile(r"(?<=\S)(?= )")
 #: White space before a space; a text without any, and without two spaces in a row or one at its ends, is cut at each space.
@@ -109,11 +111,6 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker."""
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+    """The encoder of this Python worker."""
+    return held(path, lambda: Encoder(path))

@@ -11,9 +11,9 @@ inside a bucket. The next pass is over those later documents that are not larger
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskframe.llm.common import WORD, Work
+from riskframe.llm.common import WORD, Work, few
 
 #: Buckets of a source's orders for each unit of their logarithm, and rows that such a bucket holds at most, about.
 BUCKETS, ROWS = 256, 100_000
@@ -91,36 +91,58 @@ def at_place(rows: DataFrame):
     return rows["source"].eqNullSafe(F.col("s")) & (rows["bucket"] == F.col("b")) & (rows["k"] == F.col("j"))
 
 
-def taken_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], limit: int, seed: str, work: Work) -> DataFrame:
-    """(id, source, key, size, source_size, target, copies) for every row of docs; key is a hash of the text."""
+#: Documents that are not as their source's rule says are broadcast up to this many (some 50 bytes each), and else joined by a shuffle.
+EXCEPTIONS = 500_000
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What the mix knows of a row: id, source, key (a hash of the text) and size (its words)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = work.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("key"), size.alias("size")), "sizes")
+    return [F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("key"), size.alias("size")]
+
+
+def ordered(rows: DataFrame, seed: str) -> DataFrame:
+    """rows(id, source, size, least, rate) with ``certain`` and ``order``: the Pareto order of those that are drawn, null for others."""
+    digest = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))), 256), 1, 13)
+    u = (F.conv(digest, 16, 10).cast("double") + 0.5) / float(16**13)
+    p = F.col("rate") * F.col("size")
+    certain = F.coalesce(F.col("size") > F.col("least"), F.lit(False)) & (F.col("size") > 0)
+    rows = rows.withColumn("u", u).withColumn("certain", certain)
+    return rows.withColumn("order", F.when((p > 0) & (p < 1) & ~F.col("certain"), (F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))).drop("u")
+
+
+PLACE = ("order", "id", "size", "key")
+
+
+def taken_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], limit: int, seed: str, work: Work) -> tuple[DataFrame, DataFrame]:
+    """(id, source, key, size, source_size, target, copies, ...) for every row of docs, and the rule of each source.
+
+    A rule (source, whole, least, rate, cut, ...) gives the copies of nearly all documents from their own columns: those that stand in
+    the order up to ``cut`` are drawn. ``ruled`` says how many copies that are; drawn documents behind it differ.
+    """
+    rows = work.save(docs.select(*sized(docs, id_col, text_col, source_col)), "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, limit)
     whole = F.floor(F.col("target") / F.col("source_size"))
     targets = targets.withColumn("whole", F.coalesce(F.when(F.col("source_size") > 0, whole), F.lit(0)))
     targets = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     targets = work.save(chances(rows, targets), "targets")
     # one row for each source
-    rows = rows.join(targets.drop("room").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    digest = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))), 256), 1, 13)
-    u = (F.conv(digest, 16, 10).cast("double") + 0.5) / float(16**13)
-    p = F.col("rate") * F.col("size")
-    certain = F.coalesce(F.col("size") > F.col("least"), F.lit(False)) & (F.col("size") > 0)
-    rows = rows.withColumn("u", u).withColumn("certain", certain)
-    rows = rows.withColumn("order", F.when((p > 0) & (p < 1) & ~certain, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))))
+    rows = ordered(rows.join(targets.drop("room").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), seed)
     # orders spread over some units of their logarithm; a large source is cut finer
     fine = F.greatest(F.lit(BUCKETS), F.floor(F.col("n_docs") / ROWS))
     rows = rows.withColumn("bucket", F.coalesce(F.floor(F.log("order") * fine), F.pmod(F.xxhash64("id"), F.lit(BUCKETS))))
-    order = ["order", "id", "size", "key"]
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*order)))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*PLACE)))
     rows = work.save(rows.select("id", "source", "key", "size", "source_size", "target", "whole", "certain", "order", "bucket", "k"), "ordered")
     # past a document that does not fit the order goes on: what is left is filled by those that do, until none does
     rooms = targets.select("source", "room")
-    left, filled = fitting(rows.where("order is not null").select("source", "bucket", "k", "size"), rooms, work), None
+    left, filled, cuts = fitting(rows.where("order is not null").select("source", "bucket", "k", "size", "order", "id", "key"), rooms, work), None, None
     while not left.isEmpty():
-        passed = work.save(along(left, "room", "k").select("source", "bucket", "k", "size", "more"), "passed")
+        passed = work.save(along(left, "room", "k").select(*(c for c in left.columns if c != "room"), "more"), "passed")
         work.drop(left)
         found = passed.where("more")
+        if cuts is None:
+            # what is drawn before the first document that does not fit; larger ones than the whole room never do
+            cuts = work.save(found.groupBy(F.col("source").alias("s")).agg(F.max(F.struct(*PLACE)).alias("cut")), "cuts")
         used = found.groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "s")
         rooms = rooms.join(used, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
         rooms = work.save(rooms, "rooms")
@@ -130,18 +152,28 @@ def taken_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, wei
     if filled is not None:
         filled = work.save(filled.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("k").alias("j"), F.lit(True).alias("fills")), "filled")
         rows = rows.join(filled, at_place(rows), "left").withColumn("more", F.coalesce("fills", F.lit(False))).drop("s", "b", "j", "fills")
+        rules = targets.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     else:
         rows = rows.withColumn("more", F.lit(False))
+        kinds = dict(rows.dtypes)
+        rules = targets.withColumn("cut", F.lit(None).cast("struct<" + ",".join(f"{c}:{kinds[c]}" for c in PLACE) + ">"))
+    rules = work.save(rules.select("source", "whole", "least", "rate", F.col("room").alias("all_room"), "cut"), "rules")
     # one more document for each source: the one whose size is nearest to the words that are left
     ends = rooms.toDF("s", "room").join(targets.select("source", "rest", "words", F.col("room").alias("all")), F.col("s").eqNullSafe(F.col("source")))
     ends = ends.select("s", (F.col("rest") - (F.col("words") + F.col("all") - F.col("room"))).alias("gap"))
     off = F.abs(F.col("size") - F.col("gap"))
     others = rows.where("order is not null and not more").join(ends, F.col("source").eqNullSafe(F.col("s"))).where(off < F.col("gap"))
-    last = others.groupBy("source").agg(F.min(F.struct(off.alias("off"), "order", "id", "size", "key", "bucket", "k")).alias("last"))
+    last = others.groupBy("source").agg(F.min(F.struct(off.alias("off"), *PLACE, "bucket", "k")).alias("last"))
     last = last.select(F.col("source").alias("s"), F.col("last.bucket").alias("b"), F.col("last.k").alias("j"), F.lit(True).alias("is_last"))
-    rows = rows.join(last, at_place(rows), "left")
-    extra = (F.col("certain") & (F.col("size") > 0)).cast("long") + (F.col("more") | F.coalesce("is_last", F.lit(False))).cast("long")
-    return rows.select("id", "source", "key", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    rows = rows.join(last, at_place(rows), "left").drop("s", "b", "j")
+    extra = F.col("certain").cast("long") + (F.col("more") | F.coalesce("is_last", F.lit(False))).cast("long")
+    return rows.withColumn("copies", F.col("whole") + extra), rules
+
+
+def drawn_by_rule() -> Column:
+    """Copies of a document by its source's rule: a row with its size, order, certain, whole, all_room and cut."""
+    before = F.col("order").isNotNull() & (F.col("size") <= F.col("all_room")) & (F.struct(*PLACE) <= F.col("cut"))
+    return F.col("whole") + F.col("certain").cast("long") + F.coalesce(before, F.lit(False)).cast("long")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, limit: int = 3, seed: str = "mix") -> DataFrame:
@@ -153,24 +185,33 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     that whose size is nearest to the words that are left, if it brings the source nearer to its target.
     Rows that repeat an id are ordered by it, their size and text: each is a document. An empty table gives no rows.
     """
-    rows = taken_rows(docs, id_col, text_col, source_col, weights, limit, seed, Work(docs.sparkSession, "mixing"))
+    rows, _ = taken_rows(docs, id_col, text_col, source_col, weights, limit, seed, Work(docs.sparkSession, "mixing"))
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, limit: int = 3, seed: str = "mix") -> DataFrame:
     """docs with each row as often as the mix takes it; the columns stay as they are. Documents without words are not in it.
 
-    Rows that repeat id, source and text stand as often as all of them are taken together.
+    Rows that repeat id, source and text stand as often as all of them are taken together. Texts are not shuffled: each row's copies
+    follow from its source's rule, and only the few that differ from it (draws past a document that did not fit, repeated rows) are joined.
     """
     work = Work(docs.sparkSession, "mixed")
-    rows = taken_rows(docs, id_col, text_col, source_col, weights, limit, seed, work).where("size > 0 and copies > 0")
-    copies = rows.groupBy("id", "source", "key").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("n"))
-    copies = work.save(copies.toDF("__id", "__source", "__key", "__copies", "__n"), "copies")
-    same = F.col("__id").eqNullSafe(F.col(id_col).cast("long")) & F.col("__source").eqNullSafe(F.col(source_col)) & (F.col("__key") == F.xxhash64(F.col(text_col)))
-    once = docs.join(copies.where("__n = 1"), same)
-    out = once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
-    again = copies.where("__n > 1")
-    if again.isEmpty():
-        return out
-    several = docs.join(again, same).dropDuplicates(["__id", "__source", "__key"])
-    return out.unionByName(several.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns))
+    rows, rules = taken_rows(docs, id_col, text_col, source_col, weights, limit, seed, work)
+    rows = rows.where("size > 0").drop("whole").join(rules.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    each = rows.select("id", "source", "key", "copies", drawn_by_rule().alias("ruled")).groupBy("id", "source", "key")
+    each = each.agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__n"), F.min("ruled").alias("ruled"))
+    odd = work.save(each.where("__n > 1 or __copies <> ruled").drop("ruled").toDF("__id", "__source", "__key", "__copies", "__n"), "odd")
+    names = ["id", "source", "key", "size"]
+    marked = docs.select("*", *(c.alias(f"__r_{n}") for c, n in zip(sized(docs, id_col, text_col, source_col), names, strict=True))).where("__r_size > 0")
+    row = F.struct(*(F.col(f"__r_{n}").alias(n) for n in names)).alias("__row")
+    marked = marked.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), row).select("__doc", "__row.*")
+    marked = marked.join(few(rules.withColumnRenamed("source", "s"), EXCEPTIONS), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    marked = ordered(marked, seed).withColumn("__rule", drawn_by_rule()).select("__doc", "id", "source", "key", "__rule")
+    same = F.col("__id").eqNullSafe(F.col("id")) & F.col("__source").eqNullSafe(F.col("source")) & (F.col("__key") == F.col("key"))
+    marked = marked.join(few(odd, EXCEPTIONS), same, "left")
+    several = marked.where("__n > 1")
+    out = marked.where("coalesce(__n, 1) = 1").select("__doc", F.coalesce("__copies", "__rule").cast("int").alias("__copies"))
+    if not odd.where("__n > 1").isEmpty():
+        out = out.unionByName(several.dropDuplicates(["id", "source", "key"]).select("__doc", "__copies"))
+    out = out.where(F.col("__copies") > 0)
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__doc.*")

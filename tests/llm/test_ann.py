@@ -18,7 +18,7 @@ def test_recall_and_ties(spark):
     x = rng.standard_normal((3000, 16)).astype(np.float32)
     x[500:1200] = x[7]  # one very common vector
     rows = [(i, [float(c) for c in v], 1, "x") for i, v in enumerate(x)]
-    bad = [(5000, None, 1, ""), (5100, [0.0] * 16, 1, ""), (5200, [float("nan")] * 16, 1, ""), (5300, [None] * 16, 1, ""), (5400, [1.0] * 3, 1, ""), (None, [1.0] * 16, 1, "")]
+    bad = [(5000, None, 1, ""), (5100, [0.0] * 16, 1, ""), (5200, [float("nan")] * 16, 1, ""), (5300, [None] * 16, 1, ""), (5350, [float("inf")] * 16, 1, ""), (None, [1.0] * 16, 1, "")]
     frame = spark.createDataFrame(rows + bad, SCHEMA)
     got = {}
     for r in nearest_neighbours(frame).collect():
@@ -59,3 +59,32 @@ def test_recall_beside_a_long_vector(spark):
         d[q] = np.inf
         hits += len(near & set(np.argsort(d)[:10].tolist()))
     assert len(found) == 60 and hits >= 0.95 * 600, hits
+
+
+def recall(spark, x, every=20):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest_neighbours(rows, every=every).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, near in found.items():
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hits += len(near & set(np.argsort(d)[:10].tolist()))
+    return hits / (10 * len(found))
+
+
+def test_recall_of_clusters_and_scales(spark):
+    rng = np.random.default_rng(2)
+    clusters = rng.standard_normal((40, 24))[rng.integers(0, 40, 2500)] * 10 + rng.standard_normal((2500, 24)) * 0.05
+    assert recall(spark, clusters) >= 0.95
+    scaled = rng.standard_normal((2500, 24)) * np.exp(2 * rng.standard_normal((2500, 1)))
+    assert recall(spark, scaled) >= 0.95
+
+
+def test_lengths_and_asked_queries(spark):
+    rows = [(0, [1.0, 2.0], ""), (1, [1.0, 2.0, 0.5], ""), (2, [4.0], ""), (3, [float("inf"), 1.0], ""), (3, [0.0, 0.0], "")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, q string")
+    asked = spark.createDataFrame([(1,), (2,), (3,), (None,), (1,)], "vec_id long")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in nearest_neighbours(frame, asked).collect())
+    assert got == [(1, 1, 0, 0.5), (1, 2, 2, round((9 + 4 + 0.25) ** 0.5, 6)), (2, 1, 0, round(13**0.5, 6)), (2, 2, 1, round(13.25**0.5, 6))]

@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
-from riskframe.llm import quality, secrets
+from riskframe.llm import secrets
 from tests.llm.test_documents import WORD, base_quality, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,7 +48,27 @@ def test_stages(spark):
     for r in packed:
         total[r.sequence_id] += r.length
     assert max(total.values()) <= 1024 and {r.doc_id for r in packed} == {r.doc_id for r in kept.collect()}
-    assert quality.CUTOFF > 0
+
+
+def test_stages_of_odd_rows(spark):
+    """Empty tables, nulls, repeated rows and ids, long texts, and columns whose names the stages use themselves."""
+    good = " ".join(f"word{k}x" for k in range(80))
+    other = " ".join(f"thing{k}y" for k in range(90))
+    rows = [(1, good, None, None, None), (1, good, "en", "a", 5), (1, other, "en", "a", 5), (None, good, "en", "a", 5), (None, None, None, None, None), (2, "", "en", "b", 0), (3, other * 2000, "en", "b", 9), (4, None, "en", "b", 0)]
+    extra = [(*r, 7, "k", 1, 2, 3.0) for r in rows]
+    schema = SCHEMA + ", id long, key string, size long, component_id long, kept double"
+    docs = spark.createDataFrame(extra, schema)
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, frame, "")
+            n = after.count()
+            if name != "packing":
+                assert after.columns == frame.columns
+            if frame.isEmpty():
+                assert n == 0
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
+    # one row of id 1, of which 3 is a near copy, all rows without an id, and one of each other document
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "4", "None", "None"]
 
 
 def test_run(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, functions as F
 
@@ -10,25 +11,51 @@ from pyspark.sql import Column, functions as F
 WORD_START, WORD_END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
+#: Matches that are gathered together: a list of n grows by BLOCK at a time, not by one, so that it is not copied n times.
+BLOCK = 256
+MATCH = "array<struct<start:int,line:int,col:int,matched:string,value:string>>"
+
+
+def moved(s: Column, text: Column) -> tuple[Column, Column, Column]:
+    """Place, line and column behind a text that begins at those of s."""
+    size = F.length(text)
+    lines = size - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    col = F.when(lines > 0, F.length(F.substring_index(text, "\n", -1))).otherwise(s["col"] + size)
+    return s["at"] + size, s["line"] + lines, col
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """All matches of a pattern that never matches nothing: array<struct<start, matched, value>>.
+    """All matches of a pattern that never matches nothing: array<struct<start, line, col, matched, value>>.
 
-    start is the 0-based code point of the match; value is the given group. Nulls give null.
+    start is the 0-based code point of the match, line and col are its 0-based line and column; value is the given group. Nulls give null.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     parts = F.split(text, pattern, -1)
     rows = F.arrays_zip(F.slice(parts, 1, F.size(whole)).alias("before"), whole.alias("matched"), value.alias("value"))
-    kind = "array<struct<start:int,matched:string,value:string>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    none = F.array().cast(MATCH)
+    state = lambda at, line, col, out: F.struct(at.alias("at"), line.alias("line"), col.alias("col"), out.alias("out"))
+    zero = F.lit(0)
 
     def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["before"])
-        row = F.struct(start.alias("start"), x["matched"].alias("matched"), x["value"].alias("value"))
-        return F.struct((start + F.length(x["matched"])).alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
+        at, line, col = moved(s, x["before"])
+        row = F.struct(at.alias("start"), line.alias("line"), col.alias("col"), x["matched"].alias("matched"), x["value"].alias("value"))
+        return state(*moved({"at": at, "line": line, "col": col}, x["matched"]), F.concat(s["out"], F.array(row)))
+
+    def join(s: Column, b: Column) -> Column:
+        """The matches of a block behind those of the blocks before it."""
+        col = lambda x: x["col"] + F.when(x["line"] == 0, s["col"]).otherwise(0)
+        out = F.transform(b["out"], lambda m: F.struct((m["start"] + s["at"]).alias("start"), (m["line"] + s["line"]).alias("line"), col(m).alias("col"), m["matched"].alias("matched"), m["value"].alias("value")))
+        return state(s["at"] + b["at"], s["line"] + b["line"], col(b), F.concat(s["out"], out))
 
-    found = F.aggregate(rows, empty, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).when(text.isNotNull(), F.array().cast(kind))
+    def gathered(r: Column) -> Column:
+        n = F.ceil(F.size(r) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(zero, n - 1), lambda k: F.aggregate(F.slice(r, k * BLOCK + 1, BLOCK), state(zero, zero, zero, none), step))
+        return F.aggregate(blocks, state(zero, zero, zero, none), join, lambda s: s["out"])
+
+    # a lambda's argument is computed once, however often the body names it
+    found = F.get(F.transform(F.array(rows), gathered), zero)
+    return F.when(text.rlike(pattern), found).when(text.isNotNull(), none)
 
 
 def line_of(text: Column, start: Column) -> Column:
@@ -55,31 +82,41 @@ def luhn(value: Column) -> Column:
     return F.coalesce(bare.rlike("^[0-9]{13,19}$") & F.call_function("luhn_check", bare), F.lit(False))
 
 
+# Addresses of well-known resolvers.
+RESOLVERS = ["1.0.0.1", "1.1.1.1", "4.2.2.1", "4.2.2.2", "8.8.4.4", "8.8.8.8", "9.9.9.9", "208.67.220.220", "208.67.222.222", "149.112.112.112"]
+
+
 def public_ipv4(value: Column) -> Column:
     """A routable IPv4 address that is no version number, documentation or well-known resolver address."""
     parts = F.split(value, r"\.")
     shaped = value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
     n = [F.get(parts, i).try_cast("int") for i in range(4)]
     a, b, c, d = n
-    resolvers = ["1.0.0.1", "1.1.1.1", "4.2.2.1", "4.2.2.2", "8.8.4.4", "8.8.8.8", "9.9.9.9", "208.67.220.220", "208.67.222.222", "149.112.112.112"]
     private = (a == 10) | (a == 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
     special = ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & ((b.isin(18, 19)) | ((b == 51) & (c == 100)))) | ((a == 203) & (b == 0) & (c == 113)) | (a >= 224)
     small = (a < 32) & (b < 32) & (c < 32) & (d < 32)
     whole = (b == 0) & (c == 0) & (d == 0)
     fits = (a <= 255) & (b <= 255) & (c <= 255) & (d <= 255)
-    return F.coalesce(shaped & fits & ~value.isin(resolvers) & (a > 2) & ~small & ~whole & ~private & ~special, F.lit(False))
+    return F.coalesce(shaped & fits & ~value.isin(RESOLVERS) & (a > 2) & ~small & ~whole & ~private & ~special, F.lit(False))
 
 
-def shannon(text: Column) -> Column:
-    """Entropy in bits of the characters of a short text; 0 for an empty one."""
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-    n = F.size(chars).cast("double")
+def shannon_of(values: Column) -> Column:
+    """Entropy in bits of an array's elements; 0 for an empty one. A sum over runs of the sorted array, so n log n."""
+    none = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    # sum over values of c log2 c, where c is how often one occurs
+    done = lambda s: s["sum"] + F.when(s["run"] > 0, s["run"] * F.log2(s["run"])).otherwise(0.0)
 
-    def part(x: Column) -> Column:
-        p = F.size(F.filter(chars, lambda y: y == x)) / n
-        return -p * F.log2(p)
+    def step(s: Column, x: Column) -> Column:
+        same = F.coalesce(s["last"] == x, F.lit(False))
+        return F.struct(x.alias("last"), F.when(same, s["run"] + 1).otherwise(F.lit(1.0)).alias("run"), F.when(same, s["sum"]).otherwise(done(s)).alias("sum"))
+
+    n = F.size(values).cast("double")
+    return F.when(F.size(values) == 0, 0.0).otherwise(F.log2(n) - F.aggregate(F.sort_array(values), none, step, done) / n)
 
-    return F.when(F.length(text) == 0, 0.0).otherwise(F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda s, x: s + x))
+
+def shannon(text: Column) -> Column:
+    """Entropy in bits of the characters of a text; 0 for an empty one."""
+    return shannon_of(F.filter(F.split(text, ""), lambda x: x != ""))
 
 
 def osa(a: Column, b: Column) -> Column:
@@ -107,9 +144,20 @@ def osa(a: Column, b: Column) -> Column:
     return F.aggregate(chars, start, row, lambda s: F.element_at(s["above"], -1))
 
 
+# Full-width signs and letters, and accented letters, with what they stand for, from Unicode's decompositions.
+WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+NARROW = "".join(map(chr, range(0x21, 0x7F)))
+ACCENTED = "".join(chr(c) for c in range(0xE0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0] in "abcdefghijklmnopqrstuvwxyz" and unicodedata.combining(unicodedata.normalize("NFKD", chr(c))[1:2] or "a"))
+PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in ACCENTED)
+
+
 def fold_lookalikes(name: Column) -> Column:
-    """Names that look alike get one form: rn and m, vv and w, 0 and o, 1, | and l, i and l, 5 and s; separators as single dashes."""
-    s = F.lower(name)
+    """Names that look alike get one form: rn and m, vv and w, 0 and o, 1, | and l, i and l, 5 and s; separators as single dashes.
+
+    Letters with accents stand for those without, full-width ones for usual ones (the compatibility forms of Latin letters).
+    """
+    s = F.lower(F.translate(name, WIDE, NARROW))
+    s = F.translate(s, ACCENTED, PLAIN)
     s = F.replace(F.replace(s, F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
     s = F.translate(s, "01i|5_ ", "olll" + "s--")
     return F.regexp_replace(s, "-+", "-")
@@ -140,7 +188,9 @@ def version_key(version: Column) -> Column:
     core = F.regexp_extract(version, r"^v?(\d+(?:\.\d+){0,2})", 1)
     part = lambda i: F.coalesce(F.get(F.split(core, r"\."), i).try_cast("int"), F.lit(0))
     pre = F.regexp_extract(version, r"^v?[0-9.]+-([^+]*)", 1)
-    return F.struct(part(0).alias("major"), part(1).alias("minor"), part(2).alias("patch"), F.when(pre == "", "~").otherwise(pre).alias("pre"))
+    # identifiers of a pre-release: numbers by value and before words
+    marks = F.transform(F.split(pre, r"\."), lambda x: F.struct(F.when(x.rlike("^[0-9]+$"), 0).otherwise(1).alias("word"), F.coalesce(F.when(x.rlike("^[0-9]+$"), x.try_cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("number"), x.alias("text")))
+    return F.struct(part(0).alias("major"), part(1).alias("minor"), part(2).alias("patch"), (pre == "").alias("release"), marks.alias("pre"))
 
 
 def round1(x: Column) -> Column:
@@ -191,11 +241,21 @@ def obfuscator_names(text: Column) -> Column:
     return (F.size(found) >= 20) & (F.size(F.array_distinct(found)) >= 5)
 
 
+#: Stands for an escape. The engine of patterns calls itself for each turn of a loop over a group, but not over a character.
+ESCAPE = "\x01"
+
+
 def escape_density(text: Column) -> Column:
-    """The first reason why a text's escapes are suspicious, or null."""
+    """The first reason why a text's escapes are suspicious, or null.
+
+    A literal that opens with 40 escapes, 150 literals of nothing but (four or more) escapes, or 500 brackets and signs in a row.
+    """
+    plain = F.regexp_replace(F.translate(text, ESCAPE, " "), r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}", ESCAPE)
+    marked = F.when(text.contains("\\x") | text.contains("\\u"), plain)
+    literals = F.regexp_count(marked, F.lit(f"(['\"]){ESCAPE}{{4,}}\\1"))
     return (
-        F.when(text.rlike(r"(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){40,}"), "run of escapes")
-        .when(text.rlike(r"[\"'](?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){150,}[\"']"), "literal of escapes")
+        F.when(marked.rlike(f"['\"`]{ESCAPE}{{40,}}"), "run of escapes")
+        .when(literals >= 150, "literals of escapes")
         .when(text.rlike(r"[\[\]()!+]{500,}"), "code of brackets")
     )
 
@@ -220,9 +280,52 @@ def sensitive(name: Column) -> Column:
 
 def lifetime_seconds(text: Column) -> Column:
     """Seconds of an expiry like expiresIn: 60 * 60 or 15 * time.Minute; null without one."""
-    product = F.regexp_extract(text, r"expiresIn['\"]?\s*[:=]\s*([0-9]+(?:\s*\*\s*[0-9]+)*)", 1)
+    product = F.regexp_extract(text, r"expiresIn['\"]?\s*[:=]\s*([0-9]+(?:\s*\*\s*[0-9]+)*+)", 1)
     seconds = F.aggregate(F.split(product, r"\s*\*\s*"), F.lit(1).cast("long"), lambda s, x: s * x.try_cast("long"))
     amount = F.regexp_extract(text, r"([0-9]+)\s*\*\s*time\.(?:Second|Minute|Hour)", 1).try_cast("long")
     unit = F.regexp_extract(text, r"[0-9]+\s*\*\s*time\.(Second|Minute|Hour)", 1)
     scale = F.when(unit == "Hour", 3600).when(unit == "Minute", 60).when(unit == "Second", 1)
     return F.when(product != "", seconds).otherwise(amount * scale)
+
+
+# Services that data is sent to or tunnelled through.
+EXFIL_HOSTS = r"(?i)(discord(app)?\.com/api/webhooks|api\.telegram\.org/bot|pastebin\.com|transfer\.sh|webhook\.site|ngrok(-free)?\.(io|app|dev)|trycloudflare\.com|pipedream\.net|requestcatcher\.com|interact\.sh|oast\.(pro|live|fun|me|site|online)|\.onion(?![A-Za-z0-9_]))"
+
+
+def url_host(url: Column) -> Column:
+    """The host of a URL in lower case, without user and port; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?\[?([^/?#@:\]]+)", 1)), F.lit(""))
+
+
+def literal_public_ip(host: Column) -> Column:
+    """A public IPv4 address as a host: not private, local, reserved, multicast or unspecified."""
+    n = F.transform(F.split(host, r"\."), lambda x: x.try_cast("int"))
+    a, b, c = (F.get(n, F.lit(i)) for i in range(3))
+    private = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & (b.isin(18, 19) | ((b == 51) & (c == 100)))) | ((a == 203) & (b == 0) & (c == 113)) | (a >= 224)
+    whole = host.rlike(r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$") & (F.array_max(n) <= 255)
+    return F.coalesce(whole & ~private, F.lit(False))
+
+
+def suspicious_target(value: Column) -> Column:
+    """Why a URL or host in code is suspicious, or null."""
+    host = F.when(value.contains("://"), url_host(value)).otherwise(F.substring_index(value, ":", 1))
+    return F.when(value.rlike(EXFIL_HOSTS), "an exfiltration or tunnelling service").when(literal_public_ip(host), "a literal public IP address")
+
+
+def declared_hosts(manifest: Column) -> Column:
+    """Hosts that a manifest (JSON) names as its repository, home page and bug tracker, which may be text or have a url."""
+
+    def raw(key: str) -> Column:
+        value, url = F.get_json_object(manifest, f"$.{key}"), F.get_json_object(manifest, f"$.{key}.url")
+        return F.coalesce(url, value)
+
+    hosts = F.array(*(url_host(F.regexp_replace(raw(k), r"^git\+", "")) for k in ("repository", "homepage", "bugs")))
+    return F.filter(hosts, lambda h: h.isNotNull())
+
+
+def trace_location(at: Column) -> Column:
+    """struct<file, line, col> of a place in a stack trace, ``fn (file:line:col)``, from 0; null if it is none."""
+    place = r"\(?([^()]+?):(\d+):(\d+)\)?$"
+    part = lambda g: F.regexp_extract(at, place, g)
+    number = lambda g: F.greatest(F.lit(0), part(g).try_cast("int") - 1)
+    return F.when(at.rlike(place), F.struct(part(1).alias("file"), number(2).alias("line"), number(3).alias("col")))

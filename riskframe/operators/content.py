@@ -63,7 +63,7 @@ def hidden_blobs(files: DataFrame, texts: DataFrame) -> DataFrame:
     blobs = blobs.select("pkg_id", "rel", F.lower(F.substring_index("rel", "/", -1)).alias("name"))
     words = texts.select("pkg_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[a-z0-9_-][a-z0-9_.-]*"), F.lit(0)))).alias("name")).distinct()
     both = blobs.join(words, ["pkg_id", "name"], "left_anti")
-    stems = both.withColumn("stem", F.regexp_replace("name", r"(\.[a-z0-9]+)+$", ""))
+    stems = both.withColumn("stem", F.regexp_replace("name", r"(?:\.[a-z0-9]+)++$", ""))
     return stems.join(words.withColumnRenamed("name", "stem"), ["pkg_id", "stem"], "left_anti").select("pkg_id", "rel")
 
 
@@ -90,15 +90,15 @@ def call_name_findings(found: DataFrame, listed: DataFrame, *, keys: tuple[str,
     return hits.join(calm, [*keys, "unless"], "left_anti").select(*keys, "line", "name", "rule_id")
 
 
-def flow_signals(edges: DataFrame, sources: DataFrame, sinks: DataFrame, mapping: DataFrame, *, rounds: int = 48) -> DataFrame:
+def flow_signals(edges: DataFrame, sources: DataFrame, sinks: DataFrame, mapping: DataFrame) -> DataFrame:
     """(pkg_id, signal_id, confidence, n): labels that reach sinks over edges(pkg_id, src, dst).
 
     sources(pkg_id, node, label), sinks(pkg_id, node, sink), mapping(label, sink, signal_id, confidence). A frontier goes on
-    from new (node, label) pairs only, so a cycle ends.
+    from new (node, label) pairs only, until there are none, so a cycle ends.
     """
     seen = sources.select("pkg_id", "node", "label").distinct()
     frontier = seen
-    for _ in range(rounds):
+    while True:
         step = frontier.join(edges, (frontier["pkg_id"] == edges["pkg_id"]) & (frontier["node"] == edges["src"])).select(frontier["pkg_id"], F.col("dst").alias("node"), "label").distinct()
         frontier = cut(step.join(seen, ["pkg_id", "node", "label"], "left_anti"))
         if frontier.isEmpty():

@@ -166,12 +166,44 @@ def fill_time(events: DataFrame) -> DataFrame:
 STATE = ("image", "cmdline", "user", "parent")
 
 
+def inherit_users(events: DataFrame, initial: DataFrame) -> DataFrame:
+    """events whose spawns without a user have that of the parent, as of the spawn; it may have its own from its parent in turn.
+
+    Each spawn begins a life of its process. Lives without a user point to the life of the parent at that time; each round lets
+    such a pointer skip to where its target points, so a chain of n takes log2(n) joins.
+    """
+    key = lambda: F.struct(F.col("process").cast("string").alias("process"), "idx")
+    born = events.where("type = 'spawn'").select("scenario", "process", "t", "idx", "user", "parent")
+    lives = born.unionByName(initial.select("scenario", "process", F.lit(None).cast("long").alias("t"), F.lit(-1).cast("long").alias("idx"), "user", "parent"))
+    asks = born.where("user is null and parent is not null").select("scenario", F.col("parent").alias("process"), "t", "idx", F.lit(0).alias("is_life"), key().alias("key"))
+    known = lives.select("scenario", "process", "t", "idx", F.lit(1).alias("is_life"), key().alias("key"))
+    before = Window.partitionBy("scenario", "process").orderBy(F.asc_nulls_first("t"), "idx", "is_life").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = asks.unionByName(known).withColumn("up", F.last(F.when(F.col("is_life") == 1, F.col("key")), ignorenulls=True).over(before)).where("is_life = 0 and up is not null")
+    up = up.select("scenario", "key", "up")
+    state = cut(lives.select("scenario", key().alias("key"), "user").join(up, ["scenario", "key"], "left"))
+    while not state.where("user is null and up is not null").isEmpty():
+        target = state.select("scenario", F.col("key").alias("up"), F.col("user").alias("up_user"), F.col("up").alias("up_up"))
+        state = cut(state.join(target, ["scenario", "up"], "left").select("scenario", "key", F.coalesce("user", "up_user").alias("user"), F.when(F.col("user").isNull() & F.col("up_user").isNull(), F.col("up_up")).alias("up")))
+    found = state.where("key.idx >= 0").select("scenario", F.col("key.idx").alias("idx"), F.col("user").alias("__user"))
+    rows = events.join(found, ["scenario", "idx"], "left").withColumn("user", F.coalesce("user", "__user"))
+    return rows.select(*events.columns)
+
+
+def unseen(events: DataFrame, initial: DataFrame) -> DataFrame:
+    """(scenario, process, n, first_idx): processes that act before any spawn of theirs and are not in the initial table."""
+    starts = events.where("type = 'spawn'").groupBy("scenario", "process").agg(F.min(F.struct("t", "idx")).alias("start"))
+    rows = events.where("type <> 'spawn'").join(initial.select("scenario", "process").distinct(), ["scenario", "process"], "left_anti").join(starts, ["scenario", "process"], "left")
+    early = rows.where(F.col("start").isNull() | (F.struct("t", "idx") < F.col("start")))
+    return early.groupBy("scenario", "process").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
+
+
 def enrich(events: DataFrame, initial: DataFrame) -> DataFrame:
     """events with p_image, p_cmdline, p_user, p_parent: the process's state as of each event, its own change included.
 
     States come from initial(scenario, process, image, cmdline, user, parent) and from spawn and exec events; a spawn sets all,
-    also to null, an exec image and command line. An unseen process has the image ``?``.
+    also to null (but a missing user is the parent's), an exec image and command line. An unseen process has the image ``?``.
     """
+    events = inherit_users(events, initial)
     before = initial.select("scenario", "process", F.lit(None).cast("long").alias("t"), F.lit(-1).cast("long").alias("idx"), F.struct(*STATE).alias("spawned"), F.lit(None).cast("struct<image:string,cmdline:string>").alias("exec"), F.lit(False).alias("real"))
     spawned = F.when(F.col("type") == "spawn", F.struct(*STATE))
     changed = F.when(F.col("type") == "exec", F.struct("image", "cmdline"))
@@ -186,23 +218,24 @@ def enrich(events: DataFrame, initial: DataFrame) -> DataFrame:
     return events.join(state, ["scenario", "idx"])
 
 
-def ancestors(processes: DataFrame, *, levels: int = 64) -> DataFrame:
+def ancestors(processes: DataFrame) -> DataFrame:
     """(scenario, process, ancestor, depth) of processes(scenario, process, parent), by doubling; cycles end where they begin.
 
-    Each round joins chains of length 2^k with themselves, so depth d takes log2(d) joins.
+    Each round joins chains of length 2^k with themselves, so depth d takes log2(d) joins. It ends when no pair is new.
     """
     step = processes.where("parent is not null and parent <> process").select("scenario", "process", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    reach, jump = step, step
-    for _ in range(max(1, (levels - 1).bit_length())):
+    reach = jump = cut(step.groupBy("scenario", "process", "ancestor").agg(F.min("depth").alias("depth")))
+    n = reach.count()
+    while True:
         on = F.col("a.scenario") == F.col("b.scenario")
         far = reach.alias("a").join(jump.alias("b"), on & (F.col("a.ancestor") == F.col("b.process"))).select("a.scenario", "a.process", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        far = far.where((F.col("process") != F.col("ancestor")) & (F.col("depth") <= levels))
+        far = far.where(F.col("process") != F.col("ancestor"))
         reach = cut(reach.unionByName(far).groupBy("scenario", "process", "ancestor").agg(F.min("depth").alias("depth")))
+        if (more := reach.count()) == n:
+            return reach
+        n = more
         jump = jump.alias("a").join(jump.alias("b"), on & (F.col("a.ancestor") == F.col("b.process"))).select("a.scenario", "a.process", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         jump = cut(jump)
-        if jump.isEmpty():
-            break
-    return reach
 
 
 def process_summary(events: DataFrame, found: DataFrame) -> DataFrame:
@@ -217,7 +250,7 @@ def process_summary(events: DataFrame, found: DataFrame) -> DataFrame:
 
 def timeline(events: DataFrame, found: DataFrame) -> DataFrame:
     """(scenario, idx, t, line, rules): a text for each event and the rules that it is part of."""
-    what = F.coalesce(F.col("path"), F.col("key"), F.col("remote"), F.col("target"), F.col("cmdline"), F.lit(""))
+    what = F.coalesce(*(F.col(c).cast("string") for c in ("path", "key", "remote", "target", "cmdline")), F.lit(""))
     line = F.rtrim(F.concat_ws(" ", F.col("process"), F.col("type"), F.col("op"), what))
     hits = found.select("scenario", "rule_id", F.explode("events").alias("idx")).groupBy("scenario", "idx").agg(F.sort_array(F.collect_set("rule_id")).alias("rules"))
     return events.select("scenario", "idx", "t", line.alias("line")).join(hits, ["scenario", "idx"], "left")

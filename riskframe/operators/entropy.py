@@ -6,8 +6,8 @@ state machines over one source's sequence, a grouped function each; sources and
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from riskframe.steps import cut
 #: The 0.995 quantile of the normal distribution.
 Z = 2.5758293035489008
 TUPLE_LEAST = 35
+#: Samples of a data set.
+DATA_SET = 1_000_000
 
 
 def upper(p, n):
@@ -55,19 +57,21 @@ def markov(bits: DataFrame) -> DataFrame:
 def tuple_counts(samples: DataFrame, *, longest: int = 4096) -> DataFrame:
     """(source_id, w, n, q, s): for each tuple length w the tuples, the highest count q and the pairs s of equal ones.
 
-    Lengths go on as long as a tuple repeats. Only places whose tuple repeats are carried on, so each step is smaller.
-    A tuple is its 64-bit hash.
+    Lengths go on as long as a tuple repeats; if one of more than ``longest`` symbols does, an error is raised. Only places whose
+    tuple repeats are carried on, so each step is smaller. A tuple is its 64-bit hash.
     """
     base = samples.select("source_id", "i", "sym")
     sizes = base.groupBy("source_id").agg(F.count("*").alias("total"))
     now = base.select("source_id", "i", F.xxhash64("sym").alias("g"))
     every = []
-    for w in range(1, longest + 1):
+    for w in itertools.count(1):
         counts = now.groupBy("source_id", "g").agg(F.count("*").alias("c"))
         row = counts.where("c > 1").groupBy("source_id").agg(F.max("c").alias("q"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("s"))
         row = row.select("source_id", F.lit(w).alias("w"), "q", "s").collect()  # one row for each source
         if not row:
             break
+        if w > longest:
+            raise ValueError(f"tuples of more than {longest} symbols repeat")
         every += [tuple(r) for r in row]
         again = now.join(counts.where("c > 1").select("source_id", "g"), ["source_id", "g"])
         ahead = base.select("source_id", (F.col("i") - w).alias("i"), "sym")
@@ -273,20 +277,20 @@ BINARY_ONLY = ("collision", "compression")
 
 
 def sequential(samples: DataFrame, estimators: tuple[str, ...] = tuple(SEQUENTIAL)) -> DataFrame:
-    """(source_id, estimator, h) of samples(source_id, i, sym) by order-dependent estimators; two of them take bits only.
+    """(source_id, data_set, estimator, h) of samples(source_id, i, sym) by order-dependent estimators; two of them take bits only.
 
-    A group is one source for one estimator, whose data sets have a million samples at most by the standard.
+    A data set is a million consecutive samples (the standard's size), so no group is larger, and all samples are used.
     """
     ship(samples.sparkSession)
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         symbols, s = np.unique(frame.sort_values("i")["sym"].to_numpy(), return_inverse=True)
-        name, k = key[1], len(symbols)
+        name, k = key[2], len(symbols)
         h = math.nan if k < 2 or (name in BINARY_ONLY and k != 2) else SEQUENTIAL[name](s, k)
-        return pd.DataFrame({"source_id": [key[0]], "estimator": [name], "h": [None if math.isnan(h) else h]})
+        return pd.DataFrame({"source_id": [key[0]], "data_set": [key[1]], "estimator": [name], "h": [None if math.isnan(h) else h]})
 
-    wide = samples.select(F.col("source_id").cast("string").alias("source_id"), "i", "sym", F.explode(F.array(*map(F.lit, estimators))).alias("estimator"))
-    return wide.groupBy("source_id", "estimator").applyInPandas(run, "source_id string, estimator string, h double")
+    wide = samples.select(F.col("source_id").cast("string").alias("source_id"), F.floor(F.col("i") / DATA_SET).alias("data_set"), "i", "sym", F.explode(F.array(*map(F.lit, estimators))).alias("estimator"))
+    return wide.groupBy("source_id", "data_set", "estimator").applyInPandas(run, "source_id string, data_set long, estimator string, h double")
 
 
 def to_bits(samples: DataFrame, width: int) -> DataFrame:
@@ -296,10 +300,11 @@ def to_bits(samples: DataFrame, width: int) -> DataFrame:
 
 
 def restart_counts(samples: DataFrame, n: int) -> DataFrame:
-    """(source_id, x_max): the highest count of a symbol in a row or column of the n by n restart matrix."""
-    rows = samples.groupBy("source_id", F.floor(F.col("i") / n).alias("k"), "sym").count()
-    columns = samples.groupBy("source_id", (F.col("i") % n).alias("k"), "sym").count()
-    return rows.unionByName(columns).groupBy("source_id").agg(F.max("count").alias("x_max"))
+    """(source_id, matrix, x_max): the highest count of a symbol in a row or column of each n by n restart matrix; n * n samples make one."""
+    cells = samples.select("source_id", F.floor(F.col("i") / (n * n)).alias("matrix"), F.floor(F.col("i") % (n * n) / n).alias("row"), (F.col("i") % n).alias("col"), "sym")
+    rows = cells.groupBy("source_id", "matrix", F.col("row").alias("k"), "sym").count()
+    columns = cells.groupBy("source_id", "matrix", F.col("col").alias("k"), "sym").count()
+    return rows.unionByName(columns).groupBy("source_id", "matrix").agg(F.max("count").alias("x_max"))
 
 
 def restart_cutoff(spark, n: int, h: float, *, alpha: float = 0.01, rounds: int = 20_000, seed: int = 1) -> int:
@@ -326,13 +331,32 @@ def restart_cutoff(spark, n: int, h: float, *, alpha: float = 0.01, rounds: int
 
 
 def assess(samples: DataFrame, width: int) -> DataFrame:
-    """(source_id, n, h_original, h_bits, h, warning): the least estimate of symbols and, per bit times width, of bits."""
+    """(source_id, n, h_original, h_bits, h, warning): the least estimate of symbols and, per bit times width, of bits.
+
+    Symbols take most common value, t-tuple, longest repeated substring and the predictors; bits those and collision, Markov and
+    compression. Symbols are first numbered without gaps. A source of one symbol has no estimate: h is 0.
+    """
+    name = F.col("source_id").cast("string")
+    order = F.dense_rank().over(Window.partitionBy("source_id").orderBy("sym")) - 1
+    codes = samples.select("source_id", "sym").distinct().select("source_id", "sym", order.cast("int").alias("code"))
+    samples = samples.join(codes, ["source_id", "sym"]).select(name.alias("source_id"), "i", F.col("code").alias("sym"))
     bits = to_bits(samples, width)
     as_samples = bits.withColumnRenamed("bit", "sym")
-    original = sequential(samples, tuple(e for e in SEQUENTIAL if e not in BINARY_ONLY)).unionByName(mcv(samples).select(F.col("source_id").cast("string").alias("source_id"), F.lit("mcv").alias("estimator"), "h"))
-    binary = sequential(as_samples).unionByName(mcv(as_samples).select(F.col("source_id").cast("string").alias("source_id"), F.lit("mcv").alias("estimator"), "h")).unionByName(markov(bits).select(F.col("source_id").cast("string").alias("source_id"), F.lit("markov").alias("estimator"), "h"))
+
+    def row(h: DataFrame, estimator: str) -> DataFrame:
+        return h.select("source_id", F.lit(estimator).alias("estimator"), "h")
+
+    def every(s: DataFrame, estimators: tuple[str, ...]) -> DataFrame:
+        t = tuples(tuple_counts(s))
+        out = sequential(s, estimators).select("source_id", "estimator", "h")
+        for part in (row(mcv(s), "mcv"), row(t.select("source_id", F.col("t_tuple").alias("h")), "t_tuple"), row(t.select("source_id", F.col("lrs").alias("h")), "lrs")):
+            out = out.unionByName(part)
+        return out
+
+    original = every(samples, tuple(e for e in SEQUENTIAL if e not in BINARY_ONLY))
+    binary = every(as_samples, tuple(SEQUENTIAL)).unionByName(row(markov(bits), "markov"))
     a = original.groupBy("source_id").agg(F.min("h").alias("h_original"))
     b = binary.groupBy("source_id").agg(F.min("h").alias("h_bits"))
-    n = samples.groupBy(F.col("source_id").cast("string").alias("source_id")).agg(F.count("*").alias("n"))
-    h = F.least("h_original", F.col("h_bits") * width)
-    return n.join(a, "source_id").join(b, "source_id").select("source_id", "n", "h_original", "h_bits", h.alias("h"), (F.col("n") < 1_000_000).alias("warning"))
+    n = samples.groupBy("source_id").agg(F.count("*").alias("n"), F.countDistinct("sym").alias("k"))
+    h = F.when(F.col("k") < 2, 0.0).otherwise(F.least("h_original", F.col("h_bits") * width))
+    return n.join(a, "source_id", "left").join(b, "source_id", "left").select("source_id", "n", "h_original", "h_bits", h.alias("h"), (F.col("n") < 1_000_000).alias("warning"))

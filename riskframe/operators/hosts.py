@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.text import under
 
-URL = r"https?://([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+URL = r"https?://([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++)"
 # Endings that are file types rather than domains, and hosts of development platforms.
 FILE_ENDINGS = ("js", "ts", "json", "md", "py", "html", "css", "png", "svg", "txt", "yml", "yaml", "xml", "map", "lock")
 PLATFORM = ("github.com", "githubusercontent.com", "microsoft.com", "visualstudio.com", "vscode.dev", "npmjs.org", "npmjs.com", "nodejs.org", "w3.org", "json-schema.org", "schemastore.org", "google.com", "googleapis.com", "mozilla.org")

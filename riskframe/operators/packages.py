@@ -13,8 +13,8 @@ PROXY_SETTINGS = r"^http\.(proxy|proxyStrictSSL|proxyAuthorization|proxySupport|
 TERMINAL_ENV = r"^terminal\.integrated\.env\."
 BROAD_FOLDER = r"^workspaceContains:(\*\*/\*|\*|\*\*|\*\*/\*\.\*)$"
 BRANDS = r"(?i)(?<![A-Za-z0-9_])(microsoft|github|google|amazon|aws|azure|jetbrains|docker|redhat|red hat|openai|anthropic)(?![A-Za-z0-9_])"
-BRAND_PUBLISHERS = r"(?i)^(microsoft|ms-[A-Za-z0-9_-]+|vscode|github|google|googlecloudtools|amazonwebservices|aws-[A-Za-z0-9_]+|jetbrains|docker|ms-azuretools|redhat|openai|anthropic)$"
-KNOWN_SCHEMA_HOSTS = r"(?i)^https?://([A-Za-z0-9_-]+\.)*(schemastore\.org|json-schema\.org|raw\.githubusercontent\.com|microsoft\.com|azure\.com|vscode-cdn\.net)/"
+BRAND_PUBLISHERS = r"(?i)^(microsoft|ms-[\w-]+|vscode|github|google|googlecloudtools|amazonwebservices|aws-\w+|jetbrains|docker|ms-azuretools|redhat|openai|anthropic)$"
+KNOWN_SCHEMA_HOSTS = r"(?i)^https?://(?:[\w-]+\.){0,126}(schemastore\.org|json-schema\.org|raw\.githubusercontent\.com|microsoft\.com|azure\.com|vscode-cdn\.net)/"
 USUAL_ENTRY = r"^(\./)?(out|dist|lib|build|bundle|src|client|extension|server|web|bin|packages?)/"
 WEIGHTS = {
     "activates-on-startup": 2, "activates-after-startup": 1, "untrusted-workspace": 1, "many-dependencies": 1, "sideloaded": 1, "uri-handler": 1, "broad-workspace-contains": 1,
@@ -44,12 +44,19 @@ def any_like(array: Column, pattern: str) -> Column:
 
 def unusual(entry: Column) -> Column:
     """Why an entry file stands in an odd place; the first reason, or null."""
+    parts = F.split(F.regexp_replace(entry, r"^\./", ""), r"[\\/]")
+    base = F.regexp_replace(F.element_at(parts, -1), r"\.[cm]?js$", "")
+    hexadecimal = base.rlike(r"(?i)^[a-f0-9]{16,}$")
+    mixed = base.rlike(r"(?i)^[a-z0-9]{12,}$") & base.rlike("[0-9]") & base.rlike("(?i)[a-z]") & ~base.rlike("(?i)(extension|index|main|bundle|client|server)")
+    usual = lambda folders: F.concat(F.array_join(folders, "/"), F.lit("/")).rlike(USUAL_ENTRY)
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     return (
-        F.when(entry.rlike(r"\.\./"), "leaves the package")
-        .when(entry.rlike(r"(^|/)\.[^./]"), "is hidden")
-        .when(entry.contains("node_modules/"), "is a dependency's")
-        .when(entry.rlike(r"(?i)\.(png|jpe?g|gif|svg|txt|md|json|css|html?)$"), "has another type's ending")
-        .when(entry.contains("/") & ~entry.rlike(USUAL_ENTRY) & ~entry.rlike(r"^\./[^/]+$"), "is in an unusual folder")
+        F.when(entry == "", None)
+        .when(F.exists(parts, lambda p: F.startswith(p, F.lit(".")) & ~p.isin(".", "..")), "is inside a hidden folder")
+        .when(F.array_contains(parts, "node_modules"), "points into node_modules")
+        .when(F.size(parts) > 5, "is unusually deeply nested")
+        .when(hexadecimal | mixed, "has a random-looking file name")
+        .when((F.size(parts) > 1) & ~usual(parts) & ~usual(folders), "is outside the usual output folders")
     )
 
 

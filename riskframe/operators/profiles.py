@@ -9,26 +9,20 @@ from riskframe.steps import cut
 OTHER = "(other)"
 
 
-def closure(nodes: DataFrame, *, levels: int = 1024) -> DataFrame:
-    """(profile_id, ancestor, node_id): every node below, and itself, of nodes(profile_id, node_id, parent_id). By doubling."""
-    jump = nodes.where("parent_id is not null").select("profile_id", "node_id", F.col("parent_id").alias("ancestor"))
-    reach = nodes.select("profile_id", "node_id", F.col("node_id").alias("ancestor")).unionByName(jump)
-    for _ in range(levels.bit_length()):
-        on = (F.col("a.profile_id") == F.col("b.profile_id")) & (F.col("a.ancestor") == F.col("b.node_id"))
-        far = reach.alias("a").join(jump.alias("b"), on).select("a.profile_id", "a.node_id", "b.ancestor")
-        reach = cut(reach.unionByName(far).distinct())
-        jump = jump.alias("a").join(jump.alias("b"), on).select("a.profile_id", "a.node_id", "b.ancestor")
-        jump = cut(jump)
-        if jump.isEmpty():
-            break
-    return reach.select("profile_id", "ancestor", "node_id")
-
-
 def tree_totals(nodes: DataFrame) -> DataFrame:
-    """nodes with total (the self times of a node and all below) and size."""
-    below = closure(nodes).join(nodes.select("profile_id", "node_id", "self"), ["profile_id", "node_id"])
-    sums = below.groupBy("profile_id", F.col("ancestor").alias("node_id")).agg(F.sum("self").alias("total"), F.count("*").alias("size"))
-    return nodes.drop("total", "size").join(sums, ["profile_id", "node_id"])
+    """nodes(profile_id, node_id, parent_id, self) with total (the self times of a node and all below) and size.
+
+    After round k a node has the sums over all less than 2^k levels below it, and points to its ancestor 2^k levels above. That one
+    gets those sums added, so a tree of depth d takes log2(d) joins of as many rows as nodes. Parents must not form a cycle.
+    """
+    key = ["profile_id", "node_id"]
+    state = cut(nodes.select(*key, F.col("parent_id").alias("up"), F.col("self").alias("total"), F.lit(1).cast("long").alias("size")))
+    while not state.where("up is not null").isEmpty():
+        below = state.where("up is not null").groupBy("profile_id", F.col("up").alias("node_id")).agg(F.sum("total").alias("more"), F.sum("size").alias("n"))
+        ups = state.select("profile_id", F.col("node_id").alias("up"), F.col("up").alias("up_up"))
+        state = state.join(below, key, "left").join(ups, ["profile_id", "up"], "left")
+        state = cut(state.select(*key, F.col("up_up").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), (F.col("size") + F.coalesce("n", F.lit(0))).alias("size")))
+    return nodes.drop("total", "size").join(state.select(*key, "total", "size"), key)
 
 
 def folded(nodes: DataFrame, *, depth: int = 8, children: int = 50, least: float = 1e-5) -> DataFrame:
@@ -85,11 +79,11 @@ TAG = r"@sca(-ref)?\(\s*([A-Za-z0-9_.-]+)\s*(?:,\s*\"([^\"]*)\")?\s*\)"
 
 def tags(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, line, ref, id, description): tags @sca(id, "text") and @sca-ref(id)."""
-    from riskframe.functions.text import line_of, matches
+    from riskframe.functions.text import matches
 
-    found = docs.where(F.col(text_col).contains("@sca")).select(id_col, text_col, F.explode(matches(F.col(text_col), TAG)).alias("m"))
+    found = docs.where(F.col(text_col).contains("@sca")).select(id_col, F.explode(matches(F.col(text_col), TAG)).alias("m"))
     part = lambda g: F.regexp_extract("m.matched", TAG, g)
-    return found.select(id_col, line_of(F.col(text_col), F.col("m.start")).alias("line"), (part(1) != "").alias("ref"), part(2).alias("id"), F.nullif(part(3), F.lit("")).alias("description"))
+    return found.select(id_col, F.col("m.line").alias("line"), (part(1) != "").alias("ref"), part(2).alias("id"), F.nullif(part(3), F.lit("")).alias("description"))
 
 
 def tag_points(tags: DataFrame) -> DataFrame:

@@ -91,6 +91,11 @@ def score(signals: DataFrame, vectors: DataFrame, *, pkg: str = "pkg_id", allowe
     return rows.select(pkg, F.when(quiet, 0.0).otherwise(total).alias("score"), name.alias("level"), (capped & ~quiet).alias("capped"), ok.alias("allowlisted"), (ok & (forced >= 0)).alias("allowlist_overridden"))
 
 
+def combined(static: DataFrame, runtime: DataFrame, vectors: DataFrame, *, pkg: str = "pkg_id", **options) -> DataFrame:
+    """Risk of what was found in the code and of what a run showed, together: (pkg, signal_id, weight, message, count, force, ord) each."""
+    return score(merge(static.unionByName(runtime), pkg=pkg), vectors, pkg=pkg, **options)
+
+
 def ranking(risk: DataFrame, *, pkg: str = "pkg_id") -> DataFrame:
     """Gravest first: level, score, id."""
     return risk.orderBy(F.desc(level_rank(F.col("level"))), F.desc("score"), pkg)
@@ -127,6 +132,12 @@ def score_summary(risk: DataFrame) -> DataFrame:
     return upto.agg(F.max("total").alias("n"), F.min("score").alias("least"), middle.alias("median"), F.max("score").alias("most"))
 
 
+def capability_groups(signals: DataFrame, groups: DataFrame, *, pkg: str = "pkg_id") -> DataFrame:
+    """(capability, n): packages with a signal of each group(capability, signal_id)."""
+    hit = signals.select(pkg, "signal_id").join(groups, "signal_id").groupBy("capability").agg(F.countDistinct(pkg).alias("n"))
+    return groups.select("capability").distinct().join(hit, "capability", "left").fillna(0, ["n"])
+
+
 def inventory(risk: DataFrame, by: str) -> DataFrame:
     """Packages and levels by a column."""
     return risk.groupBy(by).agg(F.count("*").alias("n"), *(F.count_if(F.col("level") == x).alias(x) for x in ("high", "medium", "low")))

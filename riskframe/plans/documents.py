@@ -11,7 +11,8 @@ from riskframe.operators.rules import Rule
 W = (tx.WORD_START, tx.WORD_END)
 PAN = Rule("pci/pan", f"{W[0]}[0-9]{{13,19}}{W[1]}", severity="error", message="card number {{value}}", validate="luhn")
 IP = Rule("net/ip", f"{W[0]}[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}}{W[1]}", message="address {{value}}", validate="publicIpv4")
-EMAIL = Rule("pii/email", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", severity="info", message="address {{value}}")
+# An address begins where its characters do: else each of a long run would be tried as a beginning.
+EMAIL = Rule("pii/email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", severity="info", message="address {{value}}")
 TOKEN = Rule("secret/token", r"(?:token|password) ?= ?\"?[0-9a-f]{16,}", severity="error")
 LICENSE = Rule("doc/license", r"[Ll]icensed? under|MIT License", kind="absent", severity="hint", unless=r"\|")
 ANGRY = Rule("doc/shout", r"[A-Z]{4,}!!", when=r"!!", unless=r"\$\$\$", severity="hint")
@@ -112,9 +113,12 @@ def page_hosts(spark, d):
 
 
 def escape_reasons(spark, d):
-    """Escape-density and name markers over pages and documents."""
-    both = docs(spark, d).select(F.lit("documents").alias("origin"), "text").unionByName(spark.read.parquet(f"{d}/pages.parquet").select(F.lit("pages").alias("origin"), F.col("html").alias("text")))
-    reason = F.coalesce(tx.escape_density(F.col("text")), F.when(tx.obfuscator_names(F.col("text")), "names"), F.lit("none"))
+    """Escape-density and name markers over documents, a third of them written as escapes, and pages."""
+    text, k = F.col("text"), F.col("doc_id") % 3
+    escaped = F.concat(F.lit('"'), F.regexp_replace(F.lower(F.hex(F.encode(text, "UTF-8"))), "(....)", r"\\u$1"), F.lit('"'))
+    d1 = docs(spark, d).select(F.lit("documents").alias("origin"), F.when(k == 0, escaped).when(k == 1, F.regexp_replace(text, " ([a-f]{1,2})", " _0xab12$1")).otherwise(text).alias("text"))
+    both = d1.unionByName(spark.read.parquet(f"{d}/pages.parquet").select(F.lit("pages").alias("origin"), F.col("html").alias("text")))
+    reason = F.coalesce(tx.escape_density(text), F.when(tx.obfuscator_names(text), "names"), F.lit("none"))
     return both.groupBy("origin", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -147,7 +151,8 @@ ORACLES = {
       m AS (SELECT page_id, line::INT AS line, unnest(regexp_extract_all(body, 'https?://([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1)) AS h FROM l),
       k AS (SELECT page_id, lower(h) AS host, line FROM m WHERE NOT regexp_matches(h, '^[0-9.]+$') AND list_last(string_split(lower(h), '.')) NOT IN ({FILE_LIKE}))
       SELECT page_id, host, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'first-party' WHEN {" OR ".join(f"host = '{x}' OR ends_with(host, '.{x}')" for x in hosts.PLATFORM)} THEN 'platform' ELSE 'third-party' END AS kind, count(*) AS n, min(line) AS first_line FROM k GROUP BY page_id, host""",
-    "escape_reasons": r"""SELECT origin, CASE WHEN regexp_matches(text, '(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){40,}') THEN 'run of escapes' WHEN regexp_matches(text, '[\[\]()!+]{500,}') THEN 'code of brackets'
-      WHEN len(regexp_extract_all(text, '_0x[0-9a-f]{4,6}')) >= 20 AND len(list_distinct(regexp_extract_all(text, '_0x[0-9a-f]{4,6}'))) >= 5 THEN 'names' ELSE 'none' END AS reason, count(*) AS n
-      FROM (SELECT 'documents' AS origin, text FROM documents UNION ALL SELECT 'pages', html FROM pages) GROUP BY ALL""",
+    "escape_reasons": r"""WITH t AS (SELECT 'documents' AS origin, CASE doc_id % 3 WHEN 0 THEN '"' || regexp_replace(lower(hex(encode(text))), '(....)', '\\u\1', 'g') || '"' WHEN 1 THEN regexp_replace(text, ' ([a-f]{1,2})', ' _0xab12\1', 'g') ELSE text END AS text FROM documents UNION ALL SELECT 'pages', html FROM pages)
+      SELECT origin, CASE WHEN regexp_matches(text, '[''"`](?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){40,}') THEN 'run of escapes'
+      WHEN len(regexp_extract_all(text, '"(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){4,}"')) >= 150 THEN 'literals of escapes' WHEN regexp_matches(text, '[\[\]()!+]{500,}') THEN 'code of brackets'
+      WHEN len(regexp_extract_all(text, '_0x[0-9a-f]{4,6}')) >= 20 AND len(list_distinct(regexp_extract_all(text, '_0x[0-9a-f]{4,6}'))) >= 5 THEN 'names' ELSE 'none' END AS reason, count(*) AS n FROM t GROUP BY ALL""",
 }

@@ -11,13 +11,22 @@ def t(spark, d, name) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def symbols(spark, d) -> DataFrame:
+    """Quantities modulo 16 as symbols, a source for each return flag."""
+    return t(spark, d, "lineitem").select(F.col("l_returnflag").alias("source_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr("int(l_quantity) % 16").alias("sym"))
+
+
 def samples(spark, d) -> DataFrame:
-    """Quantities modulo 16 as symbols, a source for each return flag, in key order."""
+    """symbols in key order. Places are numbered by ranges of orders, so that a source of any size is in many tasks."""
     from pyspark.sql import Window
 
-    li = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("source_id"), "l_orderkey", "l_linenumber", F.expr("int(l_quantity) % 16").alias("sym"), "l_partkey", "l_suppkey")
-    order = Window.partitionBy("source_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "sym")
-    return li.select("source_id", (F.row_number().over(order) - 1).cast("long").alias("i"), "sym")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "sym"]
+    li = symbols(spark, d).withColumn("part", F.floor(F.col("l_orderkey") / 20_000))
+    before = Window.partitionBy("source_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = li.groupBy("source_id", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.select("source_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("source_id", "part").orderBy(*keys))
+    return li.withColumn("k", place).join(sizes, ["source_id", "part"]).select("source_id", (F.col("first") + F.col("k") - 1).cast("long").alias("i"), "sym")
 
 
 SAMPLES = "s AS (SELECT l_returnflag AS source_id, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT % 16) - 1 AS i, l_quantity::INT % 16 AS sym FROM lineitem)"
@@ -25,7 +34,7 @@ UPPER = "least(1.0, {p} + 2.5758293035489008 * sqrt({p} * (1 - {p}) / ({n} - 1))
 
 
 def mcv(spark, d):
-    return entropy.mcv(samples(spark, d)).select("source_id", F.round("h", 9).alias("h"))
+    return entropy.mcv(symbols(spark, d)).select("source_id", F.round("h", 9).alias("h"))
 
 
 def markov(spark, d):
@@ -34,7 +43,7 @@ def markov(spark, d):
 
 
 def tuple_stats(spark, d):
-    return entropy.tuple_counts(samples(spark, d), longest=4).select("source_id", "w", "n", "q", F.col("s").cast("long").alias("s"))
+    return entropy.tuple_counts(samples(spark, d)).select("source_id", "w", "n", "q", F.col("s").cast("long").alias("s"))
 
 
 def tuple_estimates(spark, d):
@@ -47,12 +56,11 @@ def sequential_estimates(spark, d):
 
 
 def restart_rows(spark, d):
-    s = samples(spark, d).where("i < 10000")
-    return entropy.restart_counts(s, 100)
+    return entropy.restart_counts(samples(spark, d), 100)
 
 
 def sym_histogram(spark, d):
-    return puf.histogram(samples(spark, d).withColumn("x", F.col("sym") / 15), "x", 10)
+    return puf.histogram(symbols(spark, d).withColumn("x", F.col("sym") / 15), "x", 10)
 
 
 def bits(spark, d) -> DataFrame:
@@ -168,7 +176,18 @@ def evidence_chain(spark, d):
 
 
 def runtime_signals(spark, d):
-    """Pages as a run's connections, their hosts' first label as the run."""
+    """Events as what a user's run did: errors start processes, purchases touch files, signups run code, views go to hosts, clicks read the clipboard."""
+    e = t(spark, d, "events")
+    k, of = F.col("event_id"), lambda kind: F.col("event_type") == kind
+    kind = F.when(of("error"), "spawn").when(of("purchase"), "fs").when(of("signup"), "eval").when(of("view"), F.when(k % 10 == 0, "udp-send").otherwise("http")).otherwise("clipboard")
+    path = F.when(of("error"), F.when(k % 2 == 0, "/bin/sh").otherwise("/usr/bin/git")).when(of("purchase"), F.when(k % 3 == 0, "/home/u/.ssh/id").when(k % 3 == 1, "/box/tmp").otherwise("/etc/x"))
+    host = F.when(of("view") & (k % 10 != 0), F.when(k % 4 == 0, "a.example.net").when(k % 4 == 1, "x.duckdns.org").when(k % 4 == 2, "93.184.216.34").otherwise("far.example.org"))
+    rows = e.select(F.col("user_id").alias("run_id"), kind.alias("kind"), path.alias("path"), F.when(k % 2 == 0, "write").otherwise("read").alias("op"), host.alias("host"), (F.col("value") * 400).cast("long").alias("bytes"), F.repeat(F.lit("x"), (F.col("value") * 20).cast("int")).alias("text"))
+    return runtime.runtime_signals(rows, declared=("example.net",), sandbox=("/box/",)).select("run_id", "signal_id", "weight", "n", "force")
+
+
+def page_connections(spark, d):
+    """Pages as a run's connections, their hosts' last labels as the run."""
     p = t(spark, d, "pages")
     host = F.lower(F.regexp_extract("url", "^[a-z]+://([A-Za-z0-9.-]+)", 1))
     e = p.select(F.substring_index(host, ".", -2).alias("run_id"), F.lit("http").alias("kind"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("op"), host.alias("host"), F.length("html").alias("bytes"), F.lit(None).cast("string").alias("text"))
@@ -185,23 +204,26 @@ def flow_reach(spark, d):
     o, li, p = t(spark, d, "orders"), t(spark, d, "lineitem"), t(spark, d, "part")
     edges = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst")).unionByName(li.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")))
     edges = edges.withColumn("pkg_id", F.lit("x"))
-    sources = t(spark, d, "customer").where("c_custkey % 40 = 0").select(F.lit("x").alias("pkg_id"), F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_mktsegment").alias("label"))
+    sources = t(spark, d, "customer").select(F.lit("x").alias("pkg_id"), F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_mktsegment").alias("label"))
     sinks = p.where("p_size > 30").select(F.lit("x").alias("pkg_id"), F.concat(F.lit("p"), "p_partkey").alias("node"), F.col("p_brand").alias("sink"))
     mapping = spark.createDataFrame([("BUILDING", "Brand#11", "a", 0.9), ("BUILDING", "Brand#12", "a", 0.5), ("MACHINERY", "Brand#11", "b", 0.7)], "label string, sink string, signal_id string, confidence double")
     return content.flow_signals(edges, sources, sinks, mapping)
 
 
-QUERIES = {f.__name__: f for f in (mcv, markov, tuple_stats, tuple_estimates, sequential_estimates, restart_rows, sym_histogram, puf_uniqueness, puf_reliability, bit_aliasing, puf_uniformity, puf_unstable, self_time, triggers_by_site, tree_totals, tag_points, advisory_signals, protestware, pick_versions, tamper_verdict, verify_hashes, evidence_chain, runtime_signals, indicator_hits, flow_reach)}
+QUERIES = {f.__name__: f for f in (mcv, markov, tuple_stats, tuple_estimates, sequential_estimates, restart_rows, sym_histogram, puf_uniqueness, puf_reliability, bit_aliasing, puf_uniformity, puf_unstable, self_time, triggers_by_site, tree_totals, tag_points, advisory_signals, protestware, pick_versions, tamper_verdict, verify_hashes, evidence_chain, runtime_signals, page_connections, indicator_hits, flow_reach)}
 
-GRAM = ", ".join(f"lead(sym, {k}) OVER o" for k in range(1, 4))
+# No tuple of 20 repeats at the size at which results are compared.
+TUPLES = """g AS (SELECT source_id, i, list(sym) OVER (PARTITION BY source_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS t FROM s),
+      wt AS (SELECT source_id, w, t[1:w] AS t FROM g, (SELECT unnest(range(1, 21)) AS w) WHERE len(t) >= w), k AS (SELECT source_id, w, t, count(*) AS c FROM wt GROUP BY ALL),
+      tuples AS (SELECT source_id, w::INT AS w, sum(c)::BIGINT AS n, max(c) AS q, sum(c * (c - 1) // 2)::BIGINT AS s FROM k GROUP BY source_id, w HAVING max(c) > 1)"""
 ORACLES = {
     "mcv": f"WITH {SAMPLES}, c AS (SELECT source_id, sym, count(*) AS c FROM s GROUP BY ALL), m AS (SELECT source_id, max(c) / sum(c) AS p, sum(c) AS n FROM c GROUP BY 1) SELECT source_id, round(-log2({UPPER.format(p='p', n='n')}), 9) AS h FROM m",
     "markov": f"""WITH {SAMPLES}, x AS (SELECT source_id, sym % 2 AS a, lead(sym % 2) OVER (PARTITION BY source_id ORDER BY i) AS b FROM s), c AS (SELECT source_id, avg(a) AS p1, avg(b) FILTER (a = 0) AS p01, avg(b) FILTER (a = 1) AS p11 FROM x GROUP BY 1)
       SELECT source_id, round(least(1.0, -greatest(log2(1 - p1) + 127 * log2(1 - p01), log2(1 - p1) + 64 * log2(p01) + 63 * log2(1 - p11), log2(1 - p1) + log2(p01) + 126 * log2(p11), log2(p1) + log2(1 - p11) + 126 * log2(1 - p01), log2(p1) + 64 * log2(1 - p11) + 63 * log2(p01), log2(p1) + 127 * log2(p11)) / 128), 9) AS h FROM c""",
-    "tuple_stats": f"""WITH {SAMPLES}, g AS (SELECT source_id, i, sym AS a, lead(sym, 1) OVER o AS b, lead(sym, 2) OVER o AS c, lead(sym, 3) OVER o AS e FROM s WINDOW o AS (PARTITION BY source_id ORDER BY i)),
-      w AS (SELECT source_id, 1 AS w, [a] AS t FROM g UNION ALL SELECT source_id, 2, [a, b] FROM g WHERE b IS NOT NULL UNION ALL SELECT source_id, 3, [a, b, c] FROM g WHERE c IS NOT NULL UNION ALL SELECT source_id, 4, [a, b, c, e] FROM g WHERE e IS NOT NULL),
-      k AS (SELECT source_id, w, t, count(*) AS c FROM w GROUP BY ALL) SELECT source_id, w, sum(c)::BIGINT AS n, max(c) AS q, sum(c * (c - 1) // 2)::BIGINT AS s FROM k GROUP BY ALL""",
-    "restart_rows": f"WITH {SAMPLES}, a AS (SELECT source_id, i // 100 AS k, sym, count(*) AS c FROM s WHERE i < 10000 GROUP BY ALL UNION ALL SELECT source_id, i % 100, sym, count(*) FROM s WHERE i < 10000 GROUP BY ALL) SELECT source_id, max(c) AS x_max FROM a GROUP BY 1",
+    "tuple_stats": f"WITH {SAMPLES}, {TUPLES} SELECT * FROM tuples",
+    "tuple_estimates": f"""WITH {SAMPLES}, {TUPLES}, e AS (SELECT source_id, max(n) FILTER (w = 1) AS total, max(power(q / n, 1 / w)) FILTER (q >= 35) AS p, max(power(s / (n * (n - 1) / 2), 1 / w)) FILTER (q < 35) AS r FROM tuples GROUP BY 1)
+      SELECT source_id, round(-log2({UPPER.format(p="p", n="total")}), 9) AS t_tuple, round(-log2({UPPER.format(p="r", n="total")}), 9) AS lrs FROM e""",
+    "restart_rows": f"WITH {SAMPLES}, a AS (SELECT source_id, i // 10000 AS matrix, i % 10000 // 100 AS k, sym, count(*) AS c FROM s GROUP BY ALL UNION ALL SELECT source_id, i // 10000, i % 100, sym, count(*) FROM s GROUP BY ALL) SELECT source_id, matrix, max(c) AS x_max FROM a GROUP BY ALL",
     "sym_histogram": "SELECT least(9, floor((l_quantity::INT % 16) / 15 * 10))::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1",
     "puf_uniqueness": f"WITH {BITS} SELECT round(avg((x.bit <> y.bit)::INT), 9) AS uniqueness FROM f x JOIN f y ON x.pos = y.pos AND x.device < y.device",
     "puf_reliability": f"WITH {BITS} SELECT b.device, b.read, round(avg((b.bit <> f.bit)::INT), 9) AS errors FROM b JOIN f ON b.device = f.device AND b.pos = f.pos WHERE b.read > 1 GROUP BY ALL",
@@ -221,9 +243,15 @@ ORACLES = {
     "evidence_chain": """WITH s AS (SELECT DISTINCT user_id AS pkg_id, event_type AS sig FROM events WHERE event_type IN ('error', 'signup', 'purchase') AND value > 20), r AS (SELECT DISTINCT user_id AS pkg_id, event_type AS rid FROM events WHERE event_type IN ('click', 'view') AND value > 150)
       SELECT s.pkg_id, sig AS signal_id, CASE WHEN sig = 'purchase' THEN 'no-runtime-check' WHEN r.rid IS NOT NULL THEN 'confirmed' ELSE 'not-observed' END AS verdict, coalesce(r.rid, '') AS evidence FROM s LEFT JOIN r ON r.pkg_id = s.pkg_id AND r.rid = 'click' AND sig <> 'purchase'
       UNION ALL SELECT pkg_id, rid, 'runtime-only', rid FROM r WHERE rid = 'view' OR pkg_id NOT IN (SELECT pkg_id FROM s WHERE sig <> 'purchase')""",
-    "runtime_signals": "WITH h AS (SELECT lower(regexp_extract(url, '^[a-z]+://([A-Za-z0-9.-]+)', 1)) AS host, length(html) AS bytes FROM pages), x AS (SELECT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS run_id, host, bytes FROM h WHERE host <> 'example.net' AND NOT ends_with(host, '.example.net')) SELECT run_id, 'dns-and-http-destinations' AS signal_id, max(CASE WHEN bytes >= 65536 THEN 10.0::DOUBLE ELSE 2.0::DOUBLE END) AS weight, count(*) AS n, CASE WHEN max(bytes) >= 65536 THEN 'high' END AS force FROM x GROUP BY run_id",
+    "runtime_signals": """WITH e AS (SELECT user_id AS run_id, event_type AS y, event_id AS k, trunc(value * 400) AS bytes, trunc(value * 20) AS len FROM events),
+      s AS (SELECT run_id, 'child-process-spawned' AS signal_id, CASE WHEN k % 2 = 0 THEN 7 ELSE 2 END AS w FROM e WHERE y = 'error'
+        UNION ALL SELECT run_id, 'fs-access-violation', CASE WHEN k % 3 = 0 THEN 8 WHEN k % 2 = 0 THEN 6 ELSE 3 END FROM e WHERE y = 'purchase' AND k % 3 <> 1
+        UNION ALL SELECT run_id, 'dynamic-eval-execution', CASE WHEN len > 2000 THEN 6 ELSE 2 END FROM e WHERE y = 'signup'
+        UNION ALL SELECT run_id, 'dns-and-http-destinations', CASE WHEN bytes >= 65536 THEN 10 WHEN k % 4 = 1 THEN 6 WHEN k % 4 = 2 THEN 5 ELSE 2 END FROM e WHERE y = 'view' AND k % 10 <> 0 AND k % 4 <> 0
+        UNION ALL SELECT run_id, 'network-raw-socket', 4 FROM e WHERE y = 'view' AND k % 10 = 0 UNION ALL SELECT run_id, 'clipboard-poll-frequency', 3 FROM e WHERE y = 'click'),
+      g AS (SELECT run_id, signal_id, count(*) AS n, max(w) AS w FROM s GROUP BY ALL), x AS (SELECT run_id, signal_id, n, (CASE WHEN signal_id = 'clipboard-poll-frequency' AND n > 1 THEN 6 ELSE w END)::DOUBLE AS weight FROM g) SELECT *, CASE WHEN weight >= 7 THEN 'high' END AS force FROM x""",
+    "page_connections": "WITH h AS (SELECT lower(regexp_extract(url, '^[a-z]+://([A-Za-z0-9.-]+)', 1)) AS host, length(html) AS bytes FROM pages), x AS (SELECT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS run_id, host, bytes FROM h WHERE host <> 'example.net' AND NOT ends_with(host, '.example.net')) SELECT run_id, 'dns-and-http-destinations' AS signal_id, max(CASE WHEN bytes >= 65536 THEN 10.0::DOUBLE ELSE 2.0::DOUBLE END) AS weight, count(*) AS n, CASE WHEN max(bytes) >= 65536 THEN 'high' END AS force FROM x GROUP BY run_id",
     "indicator_hits": """WITH p AS (SELECT page_id, lower(html) AS h FROM pages) SELECT page_id, 'nav-and-ad' AS rule_id FROM p WHERE contains(h, '<nav>') AND contains(h, 'class="ad"') AND contains(h, 'track(') UNION ALL SELECT page_id, 'two-of' FROM p WHERE contains(h, 'href="/the')::INT + contains(h, '<b>')::INT + contains(h, '&amp;')::INT >= 3""",
-    "flow_reach": """WITH m(label, sink, signal_id, confidence) AS (VALUES ('BUILDING', 'Brand#11', 'a', 0.9::DOUBLE), ('BUILDING', 'Brand#12', 'a', 0.5::DOUBLE), ('MACHINERY', 'Brand#11', 'b', 0.7::DOUBLE)), r AS (SELECT DISTINCT p_partkey, p_brand AS sink, c_mktsegment AS label FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE c_custkey % 40 = 0 AND p_size > 30)
+    "flow_reach": """WITH m(label, sink, signal_id, confidence) AS (VALUES ('BUILDING', 'Brand#11', 'a', 0.9::DOUBLE), ('BUILDING', 'Brand#12', 'a', 0.5::DOUBLE), ('MACHINERY', 'Brand#11', 'b', 0.7::DOUBLE)), r AS (SELECT DISTINCT p_partkey, p_brand AS sink, c_mktsegment AS label FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size > 30)
       SELECT signal_id, 'x' AS pkg_id, max(confidence) AS confidence, count(DISTINCT (p_partkey, label)) AS n FROM r JOIN m USING (label, sink) GROUP BY signal_id""",
 }
-del GRAM

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskframe.operators import changes, detect, names, score
 from riskframe.operators.detect import DetectionRule
+from riskframe.streaming.detect import rate_stream
 
 HOUR = 3_600_000
 # Weights of event types as signals, and the category of each.
@@ -121,9 +122,9 @@ def external_signals(spark, d):
 
 
 def allowlist(spark, d):
-    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("id"), (F.col("s_nationkey") % 3).cast("string").alias("version"))
-    entries = s.where("crc32(cast(id as binary)) % 3 = 0").select(F.upper("id").alias("id"), F.when(F.crc32(F.col("id").cast("binary")) % 2 == 0, "1").alias("version"))
-    return score.is_allowlisted(s, entries, pkg="id")
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("id"), (F.col("s_nationkey") % 3).cast("string").alias("version"), "s_suppkey")
+    entries = s.where("s_suppkey % 3 = 0").select(F.upper("id").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "1").alias("version"))
+    return score.is_allowlisted(s.select("id", "version"), entries, pkg="id")
 
 
 def known_bad(spark, d):
@@ -164,11 +165,11 @@ def bench_judge(spark, d):
 
 
 def content_diff(spark, d):
-    """Documents of two sources by their number in the source; the hash is of the first line's words."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'")
-    files = docs.groupBy("source", F.col("doc_id") % 97).agg(F.min_by("text", "doc_id").alias("text")).toDF("source", "rel", "text").select("source", "rel", F.sha2(F.substring_index("text", "\n", 1), 256).alias("sha256"))
-    side = lambda s: files.where(F.col("source") == s).select(F.lit("p").alias("pkg_id"), "rel", "sha256")
-    return changes.diff_files(side("src1"), side("src2"))
+    """Documents of even ids as published files, the next odd ones as installed; the hash is of the whole text."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    files = docs.select("source", F.concat_ws("/", "lang", F.floor(F.col("doc_id") / 2)).alias("rel"), F.sha2("text", 256).alias("sha256"), (F.col("doc_id") % 2 == 0).alias("even"))
+    side = lambda test: files.where(test).select(F.col("source").alias("pkg_id"), "rel", "sha256")
+    return changes.diff_files(side("even"), side("not even"))
 
 
 def guard_verdict(spark, d):
@@ -222,12 +223,14 @@ def ancestor_chain(spark, d):
 
 
 def clipboard_rate(spark, d):
-    e = events(spark, d).where("event_type = 'click'")
-    return e.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")).where("n > 1").select("user_id", F.unix_seconds(F.col("hour").cast("timestamp")).alias("hour"), "n")
+    e = events(spark, d).where("event_type = 'click'").select(F.col("user_id").alias("process"), F.col("ts").cast("timestamp").alias("ts"))
+    found = rate_stream(e, width="1 hour").where("n > 1")
+    return found.select(F.col("process").alias("user_id"), F.unix_seconds("start").alias("hour"), "n")
 
 
 QUERIES = {f.__name__: f for f in (signal_rollup, merge_signals, category_scores, boosts, risk_ranking, signal_prevalence, score_summary, level_inventory, population_outliers, external_signals, allowlist, known_bad, trusted_publisher, typosquat, list_diff, bench_judge, content_diff, guard_verdict, threshold_detect, threshold_windows, sequence_detect, match_detect, asof_state, ancestor_chain, clipboard_rate)}
 
+FOLD = "regexp_replace(translate(replace(replace(lower({0}), 'rn', 'm'), 'vv', 'w'), '01i|5_ ', 'ollls--'), '-+', '-', 'g')"
 PE = "WITH pe AS (SELECT event_id AS idx, epoch_us(ts) // 1000 AS t, event_type AS type, user_id AS process, value FROM events)"
 FIRED = PE + """, x AS (SELECT a.process, a.t, a.idx, (SELECT count(*) FROM pe b WHERE b.type = 'error' AND b.process = a.process AND b.t >= a.t - 86400000 AND (b.t, b.idx) <= (a.t, a.idx)) AS total FROM pe a WHERE a.type = 'error'),
 f AS (SELECT process, min((t, idx, total)) AS f FROM x WHERE total >= 3 GROUP BY 1)"""
@@ -258,8 +261,8 @@ ORACLES = {
       j AS (SELECT coalesce(c.name, b.name) AS name, b.name AS bn, c.name AS cn, c.ns / b.ns AS ratio, c.mem / b.mem AS mr FROM c FULL JOIN b ON c.name = b.name)
       SELECT name, CASE WHEN bn IS NULL THEN 'added' WHEN cn IS NULL THEN 'removed' WHEN ratio > 1 + 0.05 THEN 'regression' WHEN ratio < 1 - 0.05 THEN 'improvement' ELSE 'invariant' END AS verdict,
       CASE WHEN bn IS NULL THEN 'added' WHEN cn IS NULL THEN 'removed' WHEN mr > 1 + 0.01 THEN 'regression' WHEN mr < 1 - 0.01 THEN 'improvement' ELSE 'invariant' END AS memory_verdict, round(ratio, 6) AS ratio FROM j""",
-    "content_diff": """WITH f AS (SELECT source, doc_id % 97 AS rel, sha256(string_split(min_by(text, doc_id), chr(10))[1]) AS h FROM documents WHERE lang = 'en' GROUP BY ALL), a AS (SELECT * FROM f WHERE source = 'src1'), b AS (SELECT * FROM f WHERE source = 'src2')
-      SELECT 'p' AS pkg_id, coalesce(a.rel, b.rel) AS rel, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'missing' ELSE 'modified' END AS status FROM a FULL JOIN b ON a.rel = b.rel WHERE a.h IS DISTINCT FROM b.h""",
+    "content_diff": """WITH f AS (SELECT source, lang || '/' || (doc_id // 2) AS rel, sha256(text) AS h, doc_id % 2 AS odd FROM documents), a AS (SELECT * FROM f WHERE odd = 0), b AS (SELECT * FROM f WHERE odd = 1)
+      SELECT coalesce(a.source, b.source) AS pkg_id, coalesce(a.rel, b.rel) AS rel, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'missing' ELSE 'modified' END AS status FROM a FULL JOIN b ON a.rel = b.rel AND a.source = b.source WHERE a.h IS DISTINCT FROM b.h""",
     "guard_verdict": """WITH p AS (SELECT p_brand || '.' || p_partkey AS id, p_brand, p_size, p_retailprice, CASE p_size % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'changed' ELSE 'unchanged' END AS status,
       (p_brand = 'Brand#11' OR p_brand || '.' || p_partkey = 'Brand#22.5')::INT + (p_size % 2 <> 0)::INT AS n, CASE WHEN p_size = 7 THEN NULL WHEN p_retailprice > 1700 THEN 'high' WHEN p_retailprice > 1200 THEN 'medium' ELSE 'low' END AS level FROM part)
       SELECT id, status, level, n::BIGINT AS n_violations, CASE WHEN n > 0 THEN 'fail' WHEN level IS NULL THEN 'error' WHEN level = 'high' THEN 'fail' ELSE 'pass' END AS verdict FROM p WHERE status <> 'unchanged'""",
@@ -273,6 +276,10 @@ ORACLES = {
       SELECT x.idx, x.process, CASE WHEN x.c[2] IS NOT NULL THEN 'click' WHEN x.s[2] IS NOT NULL THEN 'signup' ELSE '?' END AS p_image, p.value::VARCHAR AS p_cmdline FROM x LEFT JOIN pe p ON p.idx = coalesce(x.c[2], x.s[2])""",
     "ancestor_chain": "WITH RECURSIVE a AS (SELECT p_partkey AS process, p_partkey // 2 AS ancestor, 1 AS depth FROM part WHERE p_partkey > 1 UNION ALL SELECT process, ancestor // 2, depth + 1 FROM a WHERE ancestor > 1) SELECT process, ancestor, depth FROM a",
     "clipboard_rate": "SELECT user_id, epoch(date_trunc('hour', ts))::BIGINT AS hour, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY ALL HAVING count(*) > 1",
+    "allowlist": "WITH e AS (SELECT s_name AS id, CASE WHEN s_suppkey % 2 = 0 THEN '1' END AS v FROM supplier WHERE s_suppkey % 3 = 0) SELECT s_name AS id, (s_nationkey % 3)::VARCHAR AS version FROM supplier WHERE EXISTS (FROM e WHERE e.id = s_name AND (v IS NULL OR v = (s_nationkey % 3)::VARCHAR))",
+    "typosquat": f"""WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) >= 3 GROUP BY w), p AS (SELECT lower('y.' || w) AS target, rank() OVER (ORDER BY n DESC, w) AS ord FROM w),
+      i AS (SELECT DISTINCT lower('x.' || regexp_replace(w, '(.)(.)$', '\\2\\1')) AS id FROM w), j AS (SELECT id, target, ord, {FOLD.format("id")} = {FOLD.format("target")} AS alike, damerau_levenshtein(id, target) AS dist, CASE WHEN length(target) < 10 THEN 1 ELSE 2 END AS most FROM i CROSS JOIN p),
+      k AS (SELECT id, target, CASE WHEN alike THEN 'homoglyph' ELSE 'distance' END AS reason, CASE WHEN alike THEN 0 ELSE dist END::INT AS distance, row_number() OVER (PARTITION BY id ORDER BY alike DESC, CASE WHEN alike THEN 0 ELSE dist END, ord) AS r FROM j WHERE alike OR dist <= most) SELECT id, target, reason, distance FROM k WHERE r = 1""",
     "known_bad": "SELECT c_name AS pkg_id, 'known-bad' AS signal_id, CASE c_custkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 6 ELSE 0 END AS weight, CASE c_custkey % 3 WHEN 0 THEN 'high' END AS force FROM customer WHERE c_nationkey = 3",
     "trusted_publisher": "SELECT c_name AS pkg_id, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'trusted-publisher' ELSE 'unknown-publisher' END AS signal_id, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN -2 ELSE 0 END AS weight FROM customer WHERE NOT (c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AND c_custkey % 4 = 0)",
 }

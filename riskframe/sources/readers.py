@@ -45,17 +45,25 @@ def read_documents(spark: SparkSession, path: str, *, ignore: list[str] | None =
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*(?=/)", ""), "^" + re.escape(root) + "/", "")
     files = files.withColumn("rel", rel).where(~F.col("rel").rlike(r"(?:^|/)(?:\.[^/]+|" + "|".join(SKIPPED) + ")/"))
     files = ignore_filter(files, ignore or [])
-    text = files.where(F.locate("00", F.hex(F.substring("content", 1, 4096))) % 2 != 1)
+    text = files.where(~F.contains(F.substring("content", 1, 4096), F.lit(b"\x00")))
     return text.select("path", "rel", language_of(F.col("rel")).alias("language"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("size"))
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
-    """(pkg_id, publisher, name, version, path, manifest) of install folders; folders listed in .obsolete and bad JSON are left out."""
+    """(pkg_id, publisher, name, version, path, manifest) of install folders; folders that are not active (extensions.json, else .obsolete) and bad JSON are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "package.json").load(path)
     text = F.decode("content", "UTF-8")
     rows = files.select(F.regexp_replace("path", "/package\\.json$", "").alias("path"), text.alias("manifest")).where(~F.col("path").contains("/node_modules/"))
     field = lambda k: F.get_json_object("manifest", f"$.{k}")
     rows = rows.select(F.lower(F.concat_ws(".", field("publisher"), field("name"))).alias("pkg_id"), field("publisher").alias("publisher"), field("name").alias("name"), field("version").alias("version"), "path", "manifest").where("name is not null and publisher is not null")
+    # where a folder lists what is active, that counts, else what is obsolete
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "extensions.json").load(path)
+    listed = listed.select(F.regexp_replace("path", "/extensions\\.json$", "").alias("folder"), F.from_json(F.decode("content", "UTF-8"), "array<struct<relativeLocation:string>>").alias("entries")).where("entries is not null")
+    active = listed.select(F.concat_ws("/", "folder", F.explode("entries.relativeLocation")).alias("path"))
+    folder = F.regexp_replace("path", "/[^/]+$", "")
+    rows = rows.withColumn("folder", folder)
+    chosen = rows.join(listed.select("folder"), "folder", "left_semi").join(active, "path", "left_semi")
+    rows = rows.join(listed.select("folder"), "folder", "left_anti").unionByName(chosen).drop("folder")
     gone = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ".obsolete").load(path)
     gone = gone.select(F.regexp_replace("path", "/\\.obsolete$", "").alias("folder"), F.explode(F.from_json(F.decode("content", "UTF-8"), "map<string,boolean>")).alias("name", "flag")).where("flag").select(F.concat_ws("/", "folder", "name").alias("path"))
     return rows.join(gone, "path", "left_anti")
@@ -66,7 +74,7 @@ def read_list_entries(spark: SparkSession, path: str, rev: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
     entry = r"^(-)?([A-Za-z0-9][\w-]*\.[\w.-]+?)(?:@([\w.+-]+))?$"
     # strings are kept, comments and commas before an end go
-    bare = F.regexp_replace(F.regexp_replace("text", r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', "$1"), r",(\s*[}\]])", "$1")
+    bare = F.regexp_replace(F.regexp_replace("text", r'("(?:[^"\\]++|\\.)*+")|//[^\n]*|/\*[\s\S]*?\*/', "$1"), r",(\s*[}\]])", "$1")
     found = lambda key: F.transform(F.from_json(F.get_json_object(bare, key), "array<string>"), lambda x: x)
     lists = files.where(F.col("file").endswith(".json")).select("file", F.lit("json").alias("kind"), F.explode(F.concat(F.coalesce(found("$.recommendations"), F.array().cast("array<string>")), F.transform(F.coalesce(found("$.unwantedRecommendations"), F.array().cast("array<string>")), lambda x: F.concat(F.lit("-"), x)))).alias("body"), "text")
     lists = lists.withColumn("line", F.lit(0)).drop("text")
@@ -218,8 +226,15 @@ def npm_inventory(files: DataFrame) -> DataFrame:
     return mine.unionByName(rows.join(mine, ["pkg_id", "name", "version"], "left_anti").select(*mine.columns))
 
 
+#: White space outside strings, and what installers add. A string is taken whole, so that what it holds stays.
+SPACE_OR_STRING = r'("(?:[^"\\]++|\\.)*+")|\s+'
+INSIDE = r'[^{}"]++|"(?:[^"\\]++|\\.)*+"'
+#: Objects in it may hold objects in turn, two levels deep.
+METADATA = rf',?"__metadata":\{{(?:{INSIDE}|\{{(?:{INSIDE}|\{{(?:{INSIDE})*+\}})*+\}})*+\}}'
+
+
 def file_hashes(files: DataFrame) -> DataFrame:
-    """(pkg_id, rel, sha256) of files(pkg_id, rel, content); package.json without what installers add, .vsixmanifest left out."""
-    plain = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), r',?\s*"__metadata"\s*:\s*\{[^{}]*\}', ""), r"\s+", "")
-    data = F.when(F.col("rel") == "package.json", F.encode(plain, "UTF-8")).otherwise(F.col("content"))
+    """(pkg_id, rel, sha256) of files(pkg_id, rel, content); package.json without white space between its tokens and what installers add, .vsixmanifest left out."""
+    plain = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), SPACE_OR_STRING, "$1"), METADATA, "")
+    data = F.when(F.col("rel") == "package.json", F.encode(F.regexp_replace(plain, r"^\{,", "{"), "UTF-8")).otherwise(F.col("content"))
     return files.where(~F.col("rel").endswith(".vsixmanifest")).select("pkg_id", "rel", F.sha2(data, 256).alias("sha256"))

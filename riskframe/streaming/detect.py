@@ -1,6 +1,8 @@
 """Live detection over event streams: matches, thresholds that fire once, sequences, rates.
 
-Batch and stream agree if no event is late. State is kept by key and dropped by event time.
+Batch and stream agree if no event is late. State is kept by key. With ``late``, the time by which events may be late, events carry
+a watermark and a key's state is dropped once no event can meet it any more; without, it stays. A rule without ``within`` needs its state
+for ever.
 """
 
 from __future__ import annotations
@@ -8,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,8 +18,13 @@ from riskframe.operators.detect import DetectionRule, condition
 
 FIRING = "rule_id string, grp string, t long, idx long, total long"
 COMPLETED = "rule_id string, grp string, first long, last long, t long"
-#: Open sequences of a key at most; the oldest goes first.
-PARTIALS = 200
+
+
+def expire(handle: StatefulProcessorHandle, at: int) -> None:
+    """One timer for the key: that at which its newest event is too old for any other."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old[0] if isinstance(old, (tuple, list)) else old)
+    handle.registerTimer(at)
 
 
 def match_stream(events: DataFrame, rule: DetectionRule) -> DataFrame:
@@ -27,10 +35,11 @@ def match_stream(events: DataFrame, rule: DetectionRule) -> DataFrame:
 class Threshold(StatefulProcessor):
     """The events of the trailing window, and whether the key has fired."""
 
-    def __init__(self, rule: DetectionRule):
-        self.rule = rule
+    def __init__(self, rule: DetectionRule, timed: bool):
+        self.rule, self.timed = rule, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.events = handle.getListState("events", "t long, idx long, n long")
         self.fired = handle.getValueState("fired", "fired boolean")
 
@@ -51,6 +60,12 @@ class Threshold(StatefulProcessor):
                 return
         if held:
             self.events.put(held)
+            if self.timed:
+                expire(self.handle, held[-1][0] + self.rule.within + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.events.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -59,10 +74,11 @@ class Threshold(StatefulProcessor):
 class Sequence(StatefulProcessor):
     """Open partial sequences of a key: how many steps are done, where the first one stood."""
 
-    def __init__(self, rule: DetectionRule):
-        self.rule = rule
+    def __init__(self, rule: DetectionRule, timed: bool):
+        self.rule, self.timed = rule, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.partials = handle.getListState("partials", "step int, t0 long, first long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -83,32 +99,46 @@ class Sequence(StatefulProcessor):
                     kept.append((step, t0, first))
             partials = kept
             if fits[0]:
-                partials = [*partials, (1, t, idx)][-PARTIALS:]
+                partials.append((1, t, idx))
         if partials:
             self.partials.put(partials)
+            if self.timed:
+                expire(self.handle, max(p[1] for p in partials) + self.rule.within + 1)
         else:
             self.partials.clear()
         if done:
             yield pd.DataFrame([(self.rule.rule_id, key[0], *d) for d in done], columns=["rule_id", "grp", "first", "last", "t"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.partials.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def threshold_stream(events: DataFrame, rule: DetectionRule) -> DataFrame:
+def stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, late: str | None) -> DataFrame:
+    """rows(grp, t, ...) by grp through a processor; with ``late`` in event time, which t in ms gives."""
+    if late is None:
+        return rows.groupBy("grp").transformWithStateInPandas(processor, schema, "Append", "None")
+    timed = rows.withColumn("ts", F.timestamp_millis("t")).withWatermark("ts", late)
+    return timed.groupBy("grp").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def threshold_stream(events: DataFrame, rule: DetectionRule, late: str | None = None) -> DataFrame:
     """First firings by group of a stream of (t, idx, process, ...)."""
     n = F.coalesce(F.col("count"), F.lit(1)) if "count" in events.columns else F.lit(1)
     grp = F.col(rule.group).cast("string") if rule.group else F.lit("all")
-    rows = events.where(condition(rule.match or {})).select(grp.alias("grp"), "t", "idx", n.cast("long").alias("n"))
-    return rows.groupBy("grp").transformWithStateInPandas(Threshold(rule), FIRING, "Append", "None")
+    rows = events.where(condition(rule.match or {})).select(grp.alias("grp"), F.col("t").cast("long").alias("t"), "idx", n.cast("long").alias("n"))
+    return stateful(rows, Threshold(rule, late is not None and rule.within is not None), FIRING, late)
 
 
-def sequence_stream(events: DataFrame, rule: DetectionRule, key: str) -> DataFrame:
+def sequence_stream(events: DataFrame, rule: DetectionRule, key: str, late: str | None = None) -> DataFrame:
     """Completed sequences by a key that all steps share."""
     steps = [condition(s).alias(f"s{k}") for k, s in enumerate(rule.steps)]
-    rows = events.select(F.col(key).cast("string").alias("grp"), "t", "idx", *steps)
+    rows = events.select(F.col(key).cast("string").alias("grp"), F.col("t").cast("long").alias("t"), "idx", *steps)
     rows = rows.where(" or ".join(f"s{k}" for k in range(len(rule.steps))))
-    return rows.groupBy("grp").transformWithStateInPandas(Sequence(rule), COMPLETED, "Append", "None")
+    return stateful(rows, Sequence(rule, late is not None and rule.within is not None), COMPLETED, late)
 
 
 def rate_stream(events: DataFrame, *, late: str = "1 minute", width: str = "1 minute") -> DataFrame:
@@ -117,8 +147,29 @@ def rate_stream(events: DataFrame, *, late: str = "1 minute", width: str = "1 mi
 
 
 def rescan(batch: DataFrame, cache: DataFrame, scan):
-    """For foreachBatch: findings of files that the cache does not hold, and the cache's new keys."""
+    """Findings of files(key, ...) that the cache does not hold, and the cache's new keys."""
     from riskframe.operators.content import incremental
 
     fresh, _ = incremental(batch, cache)
     return scan(fresh), fresh.select("key")
+
+
+def rescan_stream(files: DataFrame, scan, cache: str, out: str, checkpoint: str):
+    """A query to be started: each batch of a stream of files(key, ...) is scanned but for what the cache (a Parquet folder) holds.
+
+    Findings are appended to ``out`` before keys are to ``cache``, so a batch that is run again after a failure repeats findings
+    at most, and loses none.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh_batch = batch.dropDuplicates(["key"])
+        try:
+            known = spark.read.parquet(cache)
+        except AnalysisException:
+            known = batch.select("key").where("false")
+        found, keys = rescan(fresh_batch, known, scan)
+        found.write.mode("append").parquet(out)
+        keys.write.mode("append").parquet(cache)
+
+    return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

@@ -49,6 +49,22 @@ def read_documents(spark: SparkSession, path: str, *, ignore: list[str] | None =
     return text.select("path", "rel", language_of(F.col("rel")).alias("language"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("size"))
 
 
+def dot_files(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(path, text) of the files of a hidden name in a folder or in those just below it.
+
+    Spark's listings leave hidden files out, so the driver reads them: one small file for each install folder.
+    """
+    found = []
+    for glob in (f"{path}/{name}", f"{path}/*/{name}"):
+        place = spark._jvm.org.apache.hadoop.fs.Path(glob)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in system.globStatus(place) or ():
+            stream = system.open(status.getPath())
+            found.append((status.getPath().toString(), spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return spark.createDataFrame(found, "path string, text string")
+
+
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """(pkg_id, publisher, name, version, path, manifest) of install folders; folders that are not active (extensions.json, else .obsolete) and bad JSON are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "package.json").load(path)
@@ -59,13 +75,13 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
     # where a folder lists what is active, that counts, else what is obsolete
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "extensions.json").load(path)
     listed = listed.select(F.regexp_replace("path", "/extensions\\.json$", "").alias("folder"), F.from_json(F.decode("content", "UTF-8"), "array<struct<relativeLocation:string>>").alias("entries")).where("entries is not null")
-    active = listed.select(F.concat_ws("/", "folder", F.explode("entries.relativeLocation")).alias("path"))
+    active = listed.select("folder", F.explode("entries.relativeLocation").alias("name")).select(F.concat_ws("/", "folder", "name").alias("path"))
     folder = F.regexp_replace("path", "/[^/]+$", "")
     rows = rows.withColumn("folder", folder)
     chosen = rows.join(listed.select("folder"), "folder", "left_semi").join(active, "path", "left_semi")
     rows = rows.join(listed.select("folder"), "folder", "left_anti").unionByName(chosen).drop("folder")
-    gone = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ".obsolete").load(path)
-    gone = gone.select(F.regexp_replace("path", "/\\.obsolete$", "").alias("folder"), F.explode(F.from_json(F.decode("content", "UTF-8"), "map<string,boolean>")).alias("name", "flag")).where("flag").select(F.concat_ws("/", "folder", "name").alias("path"))
+    gone = dot_files(spark, path, ".obsolete")
+    gone = gone.select(F.regexp_replace("path", "/\\.obsolete$", "").alias("folder"), F.explode(F.from_json("text", "map<string,boolean>")).alias("name", "flag")).where("flag").select(F.concat_ws("/", "folder", "name").alias("path"))
     return rows.join(gone, "path", "left_anti")
 
 

@@ -111,3 +111,42 @@ def test_stream_agrees_on_sequences(spark, frame, tmp_path, rocks):
     got = run_stream(spark, frame.coalesce(1), tmp_path / "in", "sequence_out", lambda s: live.sequence_stream(s, rule, "process"))
     want = {(r.events[0], r.t) for r in detect.detect_sequence(frame, rule, key=("process",)).collect()}
     assert {(r.first, r.t) for r in got} == want and want
+
+
+def test_timed_streams_agree_and_drop_state(spark, frame, tmp_path, rocks):
+    """With a watermark results are the same; afterwards no key holds state that no event can meet."""
+    got = run_stream(spark, frame.coalesce(1), tmp_path / "in", "timed_out", lambda s: live.threshold_stream(s, THRESHOLD, "0 seconds"))
+    want = {(r.grp, r.t, r.idx) for r in detect.threshold_firings(frame, THRESHOLD).collect()}
+    assert {(r.grp, r.t, r.idx) for r in got} == want and want
+    rule = DetectionRule("steps", "sequence", steps=({"type": "^network$"}, {"type": "^exec$"}, {"type": "^file$"}), within=40)
+    got = run_stream(spark, frame.coalesce(1), tmp_path / "in2", "timed_steps", lambda s: live.sequence_stream(s, rule, "process", "0 seconds"))
+    want = {(r.events[0], r.t) for r in detect.detect_sequence(frame, rule, key=("process",)).collect()}
+    assert {(r.first, r.t) for r in got} == want and want
+
+
+def test_many_open_sequences(spark, tmp_path, rocks):
+    """No partial sequence is dropped, however many are open."""
+    rows = [("s", k, k, "network", "a") for k in range(500)] + [("s", 500, 500, "exec", "a")]
+    frame = spark.createDataFrame([(*r, *([None] * 10)) for r in rows], SCHEMA)
+    rule = DetectionRule("pair", "sequence", steps=({"type": "^network$"}, {"type": "^exec$"}), within=1000)
+    got = run_stream(spark, frame.coalesce(1), tmp_path / "in", "pairs_out", lambda s: live.sequence_stream(s, rule, "process"))
+    assert len(got) == 500 == detect.detect_sequence(frame, rule, key=("process",)).count()
+
+
+def test_matches_rates_and_rescans(spark, tmp_path):
+    frame = spark.createDataFrame(events(n=60), SCHEMA)
+    rule = DetectionRule("file", "match", match={"type": "^file$"})
+    got = run_stream(spark, frame.coalesce(1), tmp_path / "in", "match_out", lambda s: live.match_stream(s, rule))
+    assert {r.idx for r in got} == {r[1] for r in events(n=60) if r[3] == "file"}
+    timed = frame.select("process", F.timestamp_millis(F.col("t") * 10_000).alias("ts"))
+    want = {(r.process, r.n) for r in live.rate_stream(timed).collect()}
+    assert sum(n for _, n in want) <= 60 and want
+    files = frame.select(F.concat("type", "process").alias("key"), "idx")
+    files.coalesce(1).write.json(str(tmp_path / "files"))
+    scan = lambda fresh: fresh.select("key", "idx")
+    for k in range(2):
+        # the second run starts anew and finds all of it in the cache
+        stream = spark.readStream.schema(files.schema).json(str(tmp_path / "files"))
+        live.rescan_stream(stream, scan, str(tmp_path / "cache"), str(tmp_path / "out"), str(tmp_path / f"state{k}")).trigger(availableNow=True).start().awaitTermination(120)
+    keys = files.select("key").distinct().count()
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == keys == spark.read.schema("key string, idx long").parquet(str(tmp_path / "out")).count()

@@ -100,23 +100,26 @@ def public_ipv4(value: Column) -> Column:
     return F.coalesce(shaped & fits & ~value.isin(RESOLVERS) & (a > 2) & ~small & ~whole & ~private & ~special, F.lit(False))
 
 
-def shannon_of(values: Column) -> Column:
-    """Entropy in bits of an array's elements; 0 for an empty one. A sum over runs of the sorted array, so n log n."""
-    none = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-    # sum over values of c log2 c, where c is how often one occurs
-    done = lambda s: s["sum"] + F.when(s["run"] > 0, s["run"] * F.log2(s["run"])).otherwise(0.0)
+def once(value: Column, body) -> Column:
+    """body(value), where a lambda's argument holds the value, so that it is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(s: Column, x: Column) -> Column:
-        same = F.coalesce(s["last"] == x, F.lit(False))
-        return F.struct(x.alias("last"), F.when(same, s["run"] + 1).otherwise(F.lit(1.0)).alias("run"), F.when(same, s["sum"]).otherwise(done(s)).alias("sum"))
 
-    n = F.size(values).cast("double")
-    return F.when(F.size(values) == 0, 0.0).otherwise(F.log2(n) - F.aggregate(F.sort_array(values), none, step, done) / n)
+def entropy(distinct: Column, n: Column, count) -> Column:
+    """Entropy in bits from different values, their number and how often each occurs."""
+    total = F.aggregate(F.transform(distinct, lambda x: count(x).cast("double")), F.lit(0.0), lambda s, c: s + c * F.log2(c))
+    return F.when(n == 0, 0.0).otherwise(F.log2(n.cast("double")) - total / n)
+
+
+def shannon_of(values: Column) -> Column:
+    """Entropy in bits of an array's elements; 0 for an empty one. A pass for each different value, which suits few of them."""
+    return once(values, lambda v: entropy(F.array_distinct(v), F.size(v), lambda x: F.size(v) - F.size(F.array_remove(v, x))))
 
 
 def shannon(text: Column) -> Column:
-    """Entropy in bits of the characters of a text; 0 for an empty one."""
-    return shannon_of(F.filter(F.split(text, ""), lambda x: x != ""))
+    """Entropy in bits of the characters of a text; 0 for an empty one. A pass over the text for each different character."""
+    chars = lambda s: F.filter(F.array_distinct(F.split(s, "")), lambda x: x != "")
+    return once(text, lambda s: entropy(chars(s), F.length(s), lambda x: F.length(s) - F.length(F.replace(s, x, F.lit("")))))
 
 
 def osa(a: Column, b: Column) -> Column:

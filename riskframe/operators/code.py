@@ -33,11 +33,6 @@ def blobs(text: Column) -> Column:
     return F.transform(tx.matches(text, BLOB, 2), row)
 
 
-def once(value: Column, body) -> Column:
-    """body(value), where a lambda's argument holds the value, so that it is computed once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def packed_payloads(found: Column) -> Column:
     """Of blobs those of high entropy beside an evaluation."""
     return F.filter(found, lambda b: b["sink"].isNotNull() & (b["entropy"] >= F.when(b["hex"], HEX_ENTROPY).otherwise(BLOB_ENTROPY)))
@@ -45,7 +40,7 @@ def packed_payloads(found: Column) -> Column:
 
 def first_of(found: Column) -> Column:
     """struct<count, start, line, length, entropy> of a text's literals, or null without any."""
-    return once(found, lambda f: F.when(F.size(f) > 0, F.struct(F.size(f).alias("count"), *(F.get(f, F.lit(0))[c].alias(c) for c in ("start", "line", "length", "entropy")))))
+    return tx.once(found, lambda f: F.when(F.size(f) > 0, F.struct(F.size(f).alias("count"), *(F.get(f, F.lit(0))[c].alias(c) for c in ("start", "line", "length", "entropy")))))
 
 
 def encoded_blob(found: Column) -> Column:
@@ -78,12 +73,13 @@ def code_findings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return F.struct(*cells)
 
     nothing = F.array().cast(f"array<{FINDING}>")
-    one = lambda rule, found: once(found, lambda s: F.when(s.isNotNull(), F.array(row(rule, s, s["count"], none.cast("string")))).otherwise(nothing))
-    payloads = once(blobs(text), lambda b: F.concat(F.transform(packed_payloads(b), lambda x: row("packed-payload", x, F.lit(1), x["sink"])), one("encoded-blob", encoded_blob(b))))
+    one = lambda rule, found: tx.once(found, lambda s: F.when(s.isNotNull(), F.array(row(rule, s, s["count"], none.cast("string")))).otherwise(nothing))
+    payloads = tx.once(blobs(text), lambda b: F.concat(F.transform(packed_payloads(b), lambda x: row("packed-payload", x, F.lit(1), x["sink"])), one("encoded-blob", encoded_blob(b))))
     found = F.concat(
         F.coalesce(payloads, nothing),
         one("high-entropy-literal", high_entropy_literal(text)),
         F.when(tx.obfuscator_names(text), F.array(row("names", None, F.lit(1), none.cast("string")))).otherwise(nothing),
-        once(tx.escape_density(text), lambda r: F.when(r.isNotNull(), F.array(row("escapes", None, F.lit(1), r))).otherwise(nothing)),
+        tx.once(tx.escape_density(text), lambda r: F.when(r.isNotNull(), F.array(row("escapes", None, F.lit(1), r))).otherwise(nothing)),
     )
-    return docs.select(id_col, *keep, F.inline(found))
+    # not inline: for that one Spark adds filters on the array, which compute it again
+    return docs.select(id_col, *keep, F.inline_outer(found)).where("rule_id is not null")

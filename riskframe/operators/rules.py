@@ -182,7 +182,8 @@ def scan(docs: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", text_col
     path, language = (F.col(c) if c else None for c in (path_col, language_col))
     arrays = [F.when(applies(r, text, path, language), findings_of(r, text)) for r in rules if r.rule_id not in disabled]
     arrays = [F.coalesce(a.cast(FINDING), F.array().cast(FINDING)) for a in arrays]
-    found = docs.select(id_col, *keep, F.explode(F.flatten(F.array(*arrays)) if arrays else F.array().cast(FINDING)).alias("f"))
+    # not explode: for that one Spark adds filters on the array, which compute it again
+    found = docs.select(id_col, *keep, F.explode_outer(F.flatten(F.array(*arrays)) if arrays else F.array().cast(FINDING)).alias("f")).where("f is not null")
     return found.select(id_col, *keep, "f.rule_id", "f.severity", "f.message", "f.start", "f.line", "f.col", "f.matched", "f.value")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.llm.ann import nearest_neighbours
 from riskframe.llm.common import table
+from riskframe.llm.conversations import damaged, repair_report
 from riskframe.llm.licenses import find_licenses
 from riskframe.llm.mixing import mix
 from riskframe.llm.near_dedup import near_duplicates
@@ -13,6 +14,7 @@ from riskframe.llm.packing import pack
 from riskframe.llm.pii import replace_entities
 from riskframe.llm.quality import quality
 from riskframe.llm.secrets import find_secrets
+from riskframe.llm.sentence_pieces import decode_pieces, encode_pieces, ids_digest
 from riskframe.llm.token_scan import document_token_counts
 from riskframe.llm.toxicity import held_out, learn, toxicity
 
@@ -60,6 +62,16 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(conversations), conversations)
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decode_pieces(encode_pieces(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_nn_descent": op1_nn_descent,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -71,6 +83,8 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_mix_sources": op10_mix_sources,
+    "op11_repair_turns": op11_repair_turns,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 OP10 = r"""
 WITH RECURSIVE d AS (
@@ -118,5 +132,52 @@ m AS (SELECT doc_id, size, y.source, 1 AS extra FROM y LEFT JOIN (SELECT * FROM
 SELECT p.doc_id, p.size, source_size, target, (p.size * (whole + CASE WHEN certain OR extra = 1 THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM p LEFT JOIN m ON p.doc_id = m.doc_id AND p.source IS NOT DISTINCT FROM m.source AND p.size = m.size
 """
+#: Row by row, each state of the structure keeps its cheapest (cost, audit, repaired lines); insertions come before a row or at the end.
+OP11 = r"""
+WITH RECURSIVE filled AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+coded AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) % 20 AS kind
+  FROM filled),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows),
+judged AS (
+  SELECT *, left(role, 1) AS initial, rtrim(text, E' \t\n\x0b\x0c\r') AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed),
+faulty AS (
+  SELECT *, CASE WHEN body = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault FROM judged),
+moves(state, pre, entered, ins) AS (VALUES
+  ('0', '', '0', ''), ('0', 'I', 'u', 'user:'), ('0', 'II', 'a', E'user:\nassistant:'),
+  ('s', '', 's', ''), ('s', 'I', 'u', 'user:'), ('s', 'II', 'a', E'user:\nassistant:'),
+  ('u', '', 'u', ''), ('u', 'I', 'a', 'assistant:'), ('a', '', 'a', ''), ('a', 'I', 'u', 'user:')),
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, '0' AS state, {'cost': 0::BIGINT, 'audit': '', 'done': ''} AS way FROM (SELECT DISTINCT conv_id FROM rows)
+  UNION ALL
+  SELECT conv_id, i, state, min(way) FROM (
+    SELECT b.conv_id, f.i, e.o.state AS state,
+           {'cost': b.way.cost + 5 * len(m.pre) + e.o.cost, 'audit': b.way.audit || m.pre || e.o.edit,
+            'done': b.way.done || CASE WHEN m.ins = '' THEN '' ELSE m.ins || E'\n' END || CASE WHEN e.o.line IS NULL THEN '' ELSE e.o.line || E'\n' END} AS way
+    FROM best b JOIN faulty f ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = b.i + 1 JOIN moves m ON m.state = b.state,
+    LATERAL (SELECT CASE WHEN m.entered = 'u' THEN 'a' ELSE 'u' END AS want, CASE WHEN f.fault = 't' THEN 5 ELSE 0 END AS more) w,
+    LATERAL (SELECT unnest([
+      {'edit': 'D', 'cost': 2, 'state': m.entered, 'line': NULL::VARCHAR, 'ok': true},
+      {'edit': 'K', 'cost': more, 'state': CASE WHEN f.initial = 's' THEN 's' ELSE want END, 'line': f.role || ':' || f.text, 'ok': f.fault NOT IN ('b', 'd') AND (f.initial = want OR f.initial = 's' AND m.entered = '0')},
+      {'edit': 'R', 'cost': 1 + more, 'state': want, 'line': CASE WHEN want = 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text, 'ok': f.fault NOT IN ('b', 'd')}]) AS o) e
+    WHERE e.o.ok)
+  GROUP BY conv_id, i, state),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+             count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+ends AS (
+  SELECT n.conv_id, min({'cost': way.cost + 5 * len(pre), 'audit': way.audit || pre, 'done': way.done || CASE WHEN ins = '' THEN '' ELSE ins || E'\n' END}) AS way
+  FROM best JOIN n ON best.conv_id IS NOT DISTINCT FROM n.conv_id AND i = n JOIN moves ON moves.state = best.state WHERE entered IN ('0', 'a') GROUP BY n.conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(way.cost, 0)::BIGINT AS cost, coalesce(way.audit, '') AS audit, sha256(CASE WHEN coalesce(way.done, '') = '' THEN '' ELSE left(way.done, len(way.done) - 1) END) AS repaired_sha256
+FROM ids LEFT JOIN n ON ids.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN ends ON ids.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""
 
-ORACLES = {"op10_mix_sources": OP10}
+ORACLES = {"op10_mix_sources": OP10, "op11_repair_turns": OP11}

@@ -228,7 +228,9 @@ class Repair:
         order = [F.asc_nulls_first("conv"), F.asc_nulls_first("turn"), F.substring("role", 1, 64), F.substring("text", 1, 256), F.col("digest"), F.col("salt")]
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()).drop("salt")
         self.rows = rows = work.save(rows, "rows")
-        self.blocks = work.save(self.chosen(work, work.save(self.parts(rows), "parts")), "chosen")
+        # many tasks, however few bytes: the search costs more than reading
+        parts = self.parts(rows).repartition(int(work.spark.conf.get("spark.sql.shuffle.partitions")), "conv", "block")
+        self.blocks = work.save(self.chosen(work, work.save(parts, "parts")), "chosen")
         self.steps = in_batches(self.blocks.select("conv", "start", "initials", "enter", "audit"), steps_of, "conv long, pos long, step int, edit string, role string")
 
     @staticmethod

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskframe.llm.ann import nearest_neighbours
 from riskframe.llm.common import table
 from riskframe.llm.conversations import damaged, repair_report
+from riskframe.llm.hard_negatives import mine_hard_negatives
 from riskframe.llm.licenses import find_licenses
 from riskframe.llm.mixing import mix
 from riskframe.llm.near_dedup import near_duplicates
@@ -67,6 +68,13 @@ def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(conversations), conversations)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has another label than its own."""
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label").cast("long") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decode_pieces(encode_pieces(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -84,6 +92,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_mix_sources": op10_mix_sources,
     "op11_repair_turns": op11_repair_turns,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
 OP10 = r"""
@@ -179,5 +188,18 @@ SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coal
        coalesce(way.cost, 0)::BIGINT AS cost, coalesce(way.audit, '') AS audit, sha256(CASE WHEN coalesce(way.done, '') = '' THEN '' ELSE left(way.done, len(way.done) - 1) END) AS repaired_sha256
 FROM ids LEFT JOIN n ON ids.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN ends ON ids.conv_id IS NOT DISTINCT FROM ends.conv_id
 """
+OP12 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_sum(list_transform(range(1, 1 + greatest(len(a.e), len(r.e))), lambda i: coalesce(a.e[i], 0) * coalesce(r.e[i], 0)))::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT * FROM n WHERE rank <= 5
+"""
 
-ORACLES = {"op10_mix_sources": OP10, "op11_repair_turns": OP11}
+ORACLES = {"op12_hard_negatives": OP12, "op10_mix_sources": OP10, "op11_repair_turns": OP11}

@@ -6,13 +6,13 @@ state machines over one source's sequence, a grouped function each; sources and
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from riskframe.operators.suffixes import common_prefixes, repeats
 from riskframe.shipping import ship
 from riskframe.steps import cut
 
@@ -21,6 +21,8 @@ Z = 2.5758293035489008
 TUPLE_LEAST = 35
 #: Samples of a data set.
 DATA_SET = 1_000_000
+#: Different symbols of all sources that may be broadcast.
+BROADCAST_CODES = 100_000
 
 
 def upper(p, n):
@@ -54,30 +56,15 @@ def markov(bits: DataFrame) -> DataFrame:
     return c.select("source_id", F.least(F.lit(1.0), -F.greatest(*paths) / 128).alias("h"))
 
 
-def tuple_counts(samples: DataFrame, *, longest: int = 4096) -> DataFrame:
-    """(source_id, w, n, q, s): for each tuple length w the tuples, the highest count q and the pairs s of equal ones.
+def tuple_counts(samples: DataFrame) -> DataFrame:
+    """(source_id, w, n, q, s, total): for each tuple length w the tuples, the highest count q and the pairs s of equal ones.
 
-    Lengths go on as long as a tuple repeats; if one of more than ``longest`` symbols does, an error is raised. Only places whose
-    tuple repeats are carried on, so each step is smaller. A tuple is its 64-bit hash.
+    Lengths go on as long as a tuple repeats, however long that is; a source in which none does has no row. ``i`` numbers the
+    samples of a source from 0.
     """
-    base = samples.select("source_id", "i", "sym")
-    sizes = base.groupBy("source_id").agg(F.count("*").alias("total"))
-    now = base.select("source_id", "i", F.xxhash64("sym").alias("g"))
-    every = []
-    for w in itertools.count(1):
-        counts = now.groupBy("source_id", "g").agg(F.count("*").alias("c"))
-        row = counts.where("c > 1").groupBy("source_id").agg(F.max("c").alias("q"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("s"))
-        row = row.select("source_id", F.lit(w).alias("w"), "q", "s").collect()  # one row for each source
-        if not row:
-            break
-        if w > longest:
-            raise ValueError(f"tuples of more than {longest} symbols repeat")
-        every += [tuple(r) for r in row]
-        again = now.join(counts.where("c > 1").select("source_id", "g"), ["source_id", "g"])
-        ahead = base.select("source_id", (F.col("i") - w).alias("i"), "sym")
-        now = cut(again.join(ahead, ["source_id", "i"]).select("source_id", "i", F.xxhash64("g", "sym").alias("g")))
-    out = samples.sparkSession.createDataFrame(every, "source_id string, w int, q long, s double")
-    return out.join(sizes.withColumn("source_id", F.col("source_id").cast("string")), "source_id").select("source_id", "w", (F.col("total") - F.col("w") + 1).alias("n"), "q", "s", "total")
+    sizes = samples.groupBy(F.col("source_id").cast("string").alias("source_id")).agg(F.count("*").alias("total"))
+    found = repeats(common_prefixes(samples))
+    return found.join(sizes, "source_id").select("source_id", F.col("w").cast("int").alias("w"), (F.col("total") - F.col("w") + 1).alias("n"), "q", F.col("s").cast("double").alias("s"), "total")
 
 
 def tuples(counts: DataFrame) -> DataFrame:
@@ -293,10 +280,11 @@ def sequential(samples: DataFrame, estimators: tuple[str, ...] = tuple(SEQUENTIA
     return wide.groupBy("source_id", "data_set", "estimator").applyInPandas(run, "source_id string, data_set long, estimator string, h double")
 
 
-def to_bits(samples: DataFrame, width: int) -> DataFrame:
-    """(source_id, i, bit): the bits of symbols, the highest first."""
-    bits = samples.select("source_id", "i", "sym", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j"))
-    return bits.select("source_id", (F.col("i") * width + F.col("j")).alias("i"), F.expr(f"getbit(sym, {width - 1} - j)").cast("int").alias("bit"))
+def to_bits(samples: DataFrame, width: int | str) -> DataFrame:
+    """(source_id, i, bit): the bits of symbols, the highest first. The width is a number or a column's name."""
+    w = F.col(width) if isinstance(width, str) else F.lit(width)
+    bits = samples.select("source_id", "i", "sym", w.alias("__w")).select("*", F.explode(F.sequence(F.lit(0), F.col("__w") - 1)).alias("j"))
+    return bits.select("source_id", (F.col("i") * F.col("__w") + F.col("j")).alias("i"), F.expr("getbit(sym, __w - 1 - j)").cast("int").alias("bit"))
 
 
 def restart_counts(samples: DataFrame, n: int) -> DataFrame:
@@ -330,33 +318,43 @@ def restart_cutoff(spark, n: int, h: float, *, alpha: float = 0.01, rounds: int
     return ranked.where(F.col("above") <= max(1.0, level * rounds)).agg(F.min("x")).first()[0] or n
 
 
-def assess(samples: DataFrame, width: int) -> DataFrame:
-    """(source_id, n, h_original, h_bits, h, warning): the least estimate of symbols and, per bit times width, of bits.
+def assess(samples: DataFrame, width: int | None = None, *, all_bits: bool = False) -> DataFrame:
+    """(source_id, n, k, width, h_original, h_bits, h, warning): the least estimate of symbols and, per bit times width, of bits.
 
-    Symbols take most common value, t-tuple, longest repeated substring and the predictors; bits those and collision, Markov and
-    compression. Symbols are first numbered without gaps. A source of one symbol has no estimate: h is 0.
+    A source's width is that given, or the least of 1 to 8 bits that holds its largest symbol; symbols are cut to it. k is the number
+    of different ones. Symbols take most common value, t-tuple, longest repeated substring and the predictors, and if there are two
+    of them also collision, Markov and compression; bits, of sources with more, take all. Of the bits the first million count, or all.
+    A source of one symbol has no estimate: h is 0. No estimate exceeds the width.
     """
     name = F.col("source_id").cast("string")
-    order = F.dense_rank().over(Window.partitionBy("source_id").orderBy("sym")) - 1
-    codes = samples.select("source_id", "sym").distinct().select("source_id", "sym", order.cast("int").alias("code"))
-    samples = samples.join(codes, ["source_id", "sym"]).select(name.alias("source_id"), "i", F.col("code").alias("sym"))
-    bits = to_bits(samples, width)
-    as_samples = bits.withColumnRenamed("bit", "sym")
+    widths = samples.groupBy(name.alias("source_id")).agg(F.count("*").alias("n"), F.max("sym").alias("top"))
+    least = F.greatest(F.lit(1), F.least(F.lit(8), F.length(F.bin(F.col("top").cast("long")))))
+    widths = widths.select("source_id", "n", (F.lit(width) if width else least).cast("int").alias("width"))
+    # a row for each source
+    cut_to = samples.select(name.alias("source_id"), F.col("i").cast("long").alias("i"), F.col("sym").cast("long").alias("sym")).join(widths, "source_id")
+    cut_to = cut_to.withColumn("sym", F.col("sym").bitwiseAND(F.expr("shiftleft(1, width) - 1")))
+    codes = cut_to.select("source_id", "sym").distinct()
+    order = Window.partitionBy("source_id")
+    codes = codes.select("source_id", "sym", (F.dense_rank().over(order.orderBy("sym")) - 1).cast("int").alias("code"), F.count("*").over(order).alias("k"))
+    rows = cut_to.join(F.broadcast(codes) if codes.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES else codes, ["source_id", "sym"])
+    rows = cut(rows.select("source_id", "i", "sym", "code", "k", "width"))
+    sizes = cut(widths.join(rows.groupBy("source_id").agg(F.first("k").alias("k")), "source_id"))
 
     def row(h: DataFrame, estimator: str) -> DataFrame:
         return h.select("source_id", F.lit(estimator).alias("estimator"), "h")
 
-    def every(s: DataFrame, estimators: tuple[str, ...]) -> DataFrame:
+    def every(s: DataFrame) -> DataFrame:
         t = tuples(tuple_counts(s))
-        out = sequential(s, estimators).select("source_id", "estimator", "h")
-        for part in (row(mcv(s), "mcv"), row(t.select("source_id", F.col("t_tuple").alias("h")), "t_tuple"), row(t.select("source_id", F.col("lrs").alias("h")), "lrs")):
+        out = sequential(s).select("source_id", "estimator", "h")
+        for part in (row(mcv(s), "mcv"), row(t.select("source_id", F.col("t_tuple").alias("h")), "t_tuple"), row(t.select("source_id", F.col("lrs").alias("h")), "lrs"), row(markov(s.withColumnRenamed("sym", "bit")), "markov")):
             out = out.unionByName(part)
         return out
 
-    original = every(samples, tuple(e for e in SEQUENTIAL if e not in BINARY_ONLY))
-    binary = every(as_samples, tuple(SEQUENTIAL)).unionByName(row(markov(bits), "markov"))
-    a = original.groupBy("source_id").agg(F.min("h").alias("h_original"))
-    b = binary.groupBy("source_id").agg(F.min("h").alias("h_bits"))
-    n = samples.groupBy("source_id").agg(F.count("*").alias("n"), F.countDistinct("sym").alias("k"))
-    h = F.when(F.col("k") < 2, 0.0).otherwise(F.least("h_original", F.col("h_bits") * width))
-    return n.join(a, "source_id", "left").join(b, "source_id", "left").select("source_id", "n", "h_original", "h_bits", h.alias("h"), (F.col("n") < 1_000_000).alias("warning"))
+    original = every(rows.where("k > 1").select("source_id", "i", F.col("code").alias("sym")))
+    original = original.join(sizes, "source_id").where(F.col("k").eqNullSafe(2) | ~F.col("estimator").isin(*BINARY_ONLY, "markov"))
+    bits = to_bits(rows.where("k > 2"), "width")
+    binary = every((bits if all_bits else bits.where(F.col("i") < DATA_SET)).withColumnRenamed("bit", "sym"))
+    a = original.groupBy("source_id").agg(F.least(F.min("h"), F.first("width").cast("double")).alias("h_original"))
+    b = binary.groupBy("source_id").agg(F.least(F.min("h"), F.lit(1.0)).alias("h_bits"))
+    h = F.when(F.col("k") < 2, 0.0).otherwise(F.least(F.col("width").cast("double"), "h_original", F.col("h_bits") * F.col("width")))
+    return sizes.join(a, "source_id", "left").join(b, "source_id", "left").select("source_id", "n", "k", "width", "h_original", "h_bits", h.alias("h"), (F.col("n") < DATA_SET).alias("warning"))

@@ -180,12 +180,13 @@ def test_assessment_takes_tuples(spark):
     rnd = random.Random(4)
     block = [rnd.randrange(4) for _ in range(12)]
     noisy = [s for _ in range(60) for s in (*block, *(rnd.randrange(4) for _ in range(3)))]
-    rows = [("p", i, s * 10) for i, s in enumerate(noisy)] + [("one", i, 7) for i in range(12)]
+    rows = [("p", i, s) for i, s in enumerate(noisy)] + [("one", i, 7) for i in range(5000)] + [("two", i, 5 + s // 2) for i, s in enumerate(noisy)]
     frame = spark.createDataFrame(rows, "source_id string, i long, sym int")
-    got = {r.source_id: r for r in entropy.assess(frame, 2).collect()}
+    got = {r.source_id: r for r in entropy.assess(frame).collect()}
     t = entropy.tuples(entropy.tuple_counts(frame.where("source_id = 'p'"))).first()
-    assert got["p"].h_original <= min(t.t_tuple, t.lrs) + 1e-12 and got["p"].h <= 2 * got["p"].h_bits and got["p"].warning
-    assert got["one"].h == 0.0
+    assert got["p"].h_original <= min(t.t_tuple, t.lrs) + 1e-12 and got["p"].width == 2 and got["p"].h <= 2 * got["p"].h_bits and got["p"].warning
+    assert got["one"].h == 0.0 and (got["one"].k, got["one"].width) == (1, 3)
+    assert (got["two"].k, got["two"].width, got["two"].h_bits) == (2, 3, None) and got["two"].h == got["two"].h_original <= 1.0
 
 
 def test_entry_without_optional_packages():

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskframe.operators.suffixes import common_prefixes, repeats
+from riskframe.operators.suffixes import prefixes_of, repeats, symbol_blocks
 from riskframe.shipping import ship
 from riskframe.steps import cut
 
@@ -62,8 +62,9 @@ def tuple_counts(samples: DataFrame) -> DataFrame:
     Lengths go on as long as a tuple repeats, however long that is; a source in which none does has no row. ``i`` numbers the
     samples of a source from 0.
     """
-    sizes = samples.groupBy(F.col("source_id").cast("string").alias("source_id")).agg(F.count("*").alias("total"))
-    found = repeats(common_prefixes(samples))
+    blocks = cut(symbol_blocks(samples))
+    sizes = blocks.groupBy("source_id").agg((F.sum(F.length("names")) / 8).cast("long").alias("total"))
+    found = repeats(prefixes_of(blocks))
     return found.join(sizes, "source_id").select("source_id", F.col("w").cast("int").alias("w"), (F.col("total") - F.col("w") + 1).alias("n"), "q", F.col("s").cast("double").alias("s"), "total")
 
 

@@ -156,7 +156,12 @@ def common_prefixes(samples: DataFrame) -> DataFrame:
 
     ``i`` numbers the samples of a source without gaps from 0; a symbol is a whole number. No samples give no rows.
     """
-    blocks, levels, h = cut(symbol_blocks(samples)), [], 1
+    return prefixes_of(cut(symbol_blocks(samples)))
+
+
+def prefixes_of(blocks: DataFrame) -> DataFrame:
+    """common_prefixes of symbol_blocks."""
+    levels, h = [], 1
     total = blocks.agg(F.sum(F.length("names") / 8)).first()[0]
     while True:
         keys = cut(keys_of(blocks, h))

@@ -26,14 +26,14 @@ from riskframe.shipping import ship
 DEGREE, REVERSE, LINKS = 24, 12, 60
 #: Rows that are compared with each other for the first graph; orders for it, which are far cheaper than rounds; neighbours that each gives.
 CHUNK, ORDERS, PICKED = 256, 12, 10
-#: Rounds of descent at most.
-ROUNDS = 3
 #: Proposals of one node in one local join.
 PROPOSED = 8
 #: Part of all edges that must be new for another round.
 FRESH = 0.02
 #: Nearest nodes that a search expands; entry nodes; nodes with exact distances.
 BEAM, ENTRIES, EXACT = 256, 32, 64
+#: Squared distances of codes may be wrong by this part, or by its square in units of the median vector.
+ROUNDING = 1e-5
 #: Components in codes at most, in those of a median vector: so far, squares stay finite in single precision.
 FAR = 1e17
 #: Queries up to this many are broadcast to the nodes that they meet.
@@ -49,7 +49,9 @@ def clean(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances between the rows of a and of b."""
+    """Squared distances between the rows of a and of b, in double precision and about their middle, so that a common offset cancels nothing."""
+    middle = np.median(b, axis=0).astype(float)
+    a, b = a - middle, b - middle
     out = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
     return np.maximum(out, 0)
 
@@ -150,7 +152,7 @@ def build(nodes: DataFrame, width: int, work: Work) -> DataFrame:
     bits = max(0, math.ceil(math.log2(max(n, 1) / CHUNK)))
     found = ordered(nodes, width, bits, ORDERS if n > CHUNK else 1)
     graph = work.save(nearest(found.withColumn("fresh", F.lit(1)), DEGREE), "graph")
-    for _ in range(ROUNDS if n > CHUNK else 0):
+    while True:
         far = graph.groupBy("src").agg(F.max("dist").alias("kth"), F.count("*").alias("links"))
         far = far.select(F.col("src").alias("v"), F.when(F.col("links") >= DEGREE, F.col("kth")).otherwise(float("inf")).cast("float").alias("kth"))
         draw = Window.partitionBy("dst").orderBy(F.desc("fresh"), F.xxhash64("src", "dst"))
@@ -163,9 +165,8 @@ def build(nodes: DataFrame, width: int, work: Work) -> DataFrame:
         fresh = work.save(nearest(graph.select("src", "dst", "dist", F.lit(0).alias("fresh")).unionByName(proposed), DEGREE), "graph")
         work.drop(graph)
         graph = fresh
-        if graph.agg(F.avg("fresh")).first()[0] < FRESH:
-            break
-    return graph
+        if (graph.agg(F.avg("fresh")).first()[0] or 0.0) < FRESH:
+            return graph
 
 
 def measured(pairs: DataFrame, nodes: DataFrame, queries: DataFrame, width: int) -> DataFrame:
@@ -229,12 +230,18 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame | None = None, *, id_
     if sizes[0] != sizes[1]:
         rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
         rows = work.save(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    scale = rows.agg(F.percentile_approx(F.array_max(F.transform("v", F.abs)), 0.5)).first()[0] or 1.0
+    # codes are about the components' medians and in units of the median vector: an offset or a few long vectors cost no precision
+    middles = rows.select(F.posexplode("v").alias("c", "x")).groupBy("c").agg(F.percentile_approx("x", 0.5).alias("m")).collect()
+    centre = np.zeros(width)
+    for r in middles:
+        centre[r.c] = r.m
+    away = F.array_max(F.transform(F.zip_with("v", F.lit(centre.tolist()), lambda x, m: x - m), F.abs))
+    scale = rows.select(away.alias("a")).where("a > 0 and a < double('infinity')").agg(F.percentile_approx("a", 0.5)).first()[0] or 1.0
     classes = work.save(rows.groupBy("v").agg(F.min("vec_id").alias("id")), "classes")
 
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
-            x = np.clip(batch.column(1).flatten().to_numpy().reshape(-1, width) / scale, -FAR, FAR)
+            x = np.clip((batch.column(1).flatten().to_numpy().reshape(-1, width) - centre) / scale, -FAR, FAR)
         return pa.RecordBatch.from_arrays([batch.column(0), to_binary(x.astype(np.float32))], ["id", "code"])
 
     nodes = work.save(in_batches(classes.select("id", "v"), coded, "id long, code binary"), "nodes")
@@ -254,10 +261,17 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame | None = None, *, id_
     entries = nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).select("id")
     starts = wanted.select("q").crossJoin(F.broadcast(entries)).unionByName(wanted.select("q", F.col("q").alias("id")))
     near = greedy(wanted, starts, nodes, graph, width, work, beam)
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id"))).where(F.col("k") <= EXACT)
+    # nodes that rounding may have put behind the last one come along
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("dist", "id")))
+    last = F.max(F.when(F.col("k") <= EXACT, F.col("dist"))).over(Window.partitionBy("q"))
+    near = near.withColumn("last", last).where(F.col("dist") <= F.col("last") * (1 + ROUNDING) + ROUNDING * ROUNDING)
     near = work.save(near.select(F.col("q").alias("node"), F.col("id").alias("near")), "near")
     pairs = asked.join(near, "node").join(members.withColumnRenamed("node", "near"), "near").where("vec_id <> query_id")
-    score = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    pairs = pairs.select("query_id", "vec_id", score.alias("score"))
+    pairs = pairs.select("query_id", "vec_id", F.zip_with("v", "w", lambda a, b: a - b).alias("gap"))
+    norm = lambda m: F.sqrt(F.aggregate("gap", F.lit(0.0), lambda s, x: s + (x / m) * (x / m)))
+    # where squares leave the range of a double they are taken of parts of the largest difference
+    largest, plain = F.array_max(F.transform("gap", F.abs)), norm(F.lit(1.0))
+    odd = (plain == float("inf")) & (largest < float("inf")) | (plain < 1e-150) & (largest > 0)
+    pairs = pairs.select("query_id", "vec_id", F.when(odd, largest * norm(largest)).otherwise(plain).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

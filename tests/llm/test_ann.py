@@ -88,3 +88,40 @@ def test_lengths_and_asked_queries(spark):
     asked = spark.createDataFrame([(1,), (2,), (3,), (None,), (1,)], "vec_id long")
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in nearest_neighbours(frame, asked).collect())
     assert got == [(1, 1, 0, 0.5), (1, 2, 2, round((9 + 4 + 0.25) ** 0.5, 6)), (2, 1, 0, round(13**0.5, 6)), (2, 2, 1, round(13.25**0.5, 6))]
+
+
+def recall_of(spark, x, every):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest_neighbours(rows, every=every).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, near in found.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(near & set(np.argsort(d, kind="stable")[:10].tolist()))
+    return hits / (10 * len(range(0, len(x), every)))
+
+
+def test_recall_far_from_the_origin(spark):
+    """What single precision holds of such vectors are their common offset and little else."""
+    rng = np.random.default_rng(6)
+    assert recall_of(spark, 1000 + 0.01 * rng.standard_normal((3000, 16)), 50) >= 0.95
+
+
+def test_recall_of_near_equal_vectors(spark):
+    rng = np.random.default_rng(7)
+    assert recall_of(spark, rng.standard_normal(8) + 1e-10 * rng.standard_normal((200, 8)), 10) >= 0.95
+
+
+def test_recall_of_tight_clusters(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((20, 12))
+    assert recall_of(spark, centres[np.arange(2000) % 20] + 1e-3 * rng.standard_normal((2000, 12)), 50) >= 0.95
+
+
+def test_distances_beyond_squares(spark):
+    rows = spark.createDataFrame([(0, [1e307, 1.0]), (1, [-1e307, 1.0]), (2, [1.0, 1.0]), (100, [1e-200, 0.0]), (101, [3e-200, 0.0])], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id): (r["rank"], r.score) for r in nearest_neighbours(rows).collect()}
+    assert found[0, 2][1] == 1e307 and found[0, 1] == (4, 2e307)
+    assert found[100, 101] == (1, 2e-200)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from riskframe.operators.rules import java_error
 from riskframe.steps import cut
 
 Condition = dict[str, object]
@@ -18,8 +18,8 @@ Condition = dict[str, object]
 class DetectionRule:
     """kind: match, threshold (at least ``count`` within ``within`` ms per group) or sequence (of ``steps``, all within ``within``).
 
-    A condition maps fields to a value or a list of values of which one must fit: text is a pattern that is looked for in
-    any case; numbers and booleans must be equal, but a number for ``count`` is the least. ``$X`` in a step binds a variable, or must equal it.
+    A condition maps fields to a value or a list of values of which one must fit: text is a pattern (``(?i)`` before it: in any
+    case); numbers and booleans must be equal, but a number for ``count`` is the least. ``$X`` in a step binds a variable, or must equal it.
     ``group`` names the column that a threshold is counted by; None counts all.
     """
 
@@ -37,26 +37,37 @@ def is_variable(value: object) -> bool:
     return isinstance(value, str) and value.startswith("$")
 
 
-def condition(fields: Condition, column: Callable[[str], Column] = F.col, ancestors: Column | None = None) -> Column:
-    """A condition as a Column over event rows; a missing field is no match. Variables are left to the sequence join."""
+def options_of(values: object) -> list:
+    """The values that a field is tested against; variables are bound elsewhere."""
+    return [v for v in (values if isinstance(values, (list, tuple)) else [values]) if not is_variable(v)]
+
+
+def one_test(c: Column, name: str, value: object) -> Column:
+    """Whether a field fits a value."""
+    if isinstance(value, bool):
+        return c == F.lit(value)
+    if isinstance(value, (int, float)):
+        return c >= value if name.endswith("count") else c == value
+    return c.cast("string").rlike(value)
 
-    def one(c: Column, name: str, value: object) -> Column:
-        if isinstance(value, bool):
-            return c == F.lit(value)
-        if isinstance(value, (int, float)):
-            return c >= value if name.endswith("count") else c == value
-        return c.cast("string").rlike(f"(?i){value}")
 
+def condition(fields: Condition, column: Callable[[str], Column] = F.col, ancestors: Column | None = None) -> Column:
+    """A condition as a Column over event rows; a missing field is no match. Variables are left to the sequence join.
+
+    A field ``ancestor.x`` is looked for in an array of ancestors, or, if there is none, in a flag that ``column`` names (see ``lives.scoped``).
+    """
     tests = []
     for name, values in fields.items():
-        options = [v for v in (values if isinstance(values, (list, tuple)) else [values]) if not is_variable(v)]
+        options = options_of(values)
         if not options:
             continue
-        if name.startswith("ancestor.") and ancestors is not None:
+        if name.startswith("ancestor.") and ancestors is None:
+            tests.append(column(name, options))
+        elif name.startswith("ancestor."):
             field = name.split(".", 1)[1]
-            tests.append(F.exists(ancestors, lambda a, o=options, n=name, f=field: reduce(lambda x, y: x | y, (F.coalesce(one(a[f], n, v), F.lit(False)) for v in o))))
+            tests.append(F.exists(ancestors, lambda a, o=options, n=name, f=field: reduce(lambda x, y: x | y, (F.coalesce(one_test(a[f], n, v), F.lit(False)) for v in o))))
         else:
-            tests.append(reduce(lambda x, y: x | y, (one(column(name), name, v) for v in options)))
+            tests.append(reduce(lambda x, y: x | y, (one_test(column(name), name, v) for v in options)))
     return F.coalesce(reduce(lambda x, y: x & y, tests, F.lit(True)), F.lit(False))
 
 
@@ -72,19 +83,19 @@ def detections(rows: DataFrame, rule: DetectionRule, t: Column, events: Column,
     return rows.select("scenario", F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), t.alias("t"), events.alias("events"), F.array_distinct(processes).alias("processes"))
 
 
-def detect_match(events: DataFrame, rule: DetectionRule, ancestors: Column | None = None) -> DataFrame:
+def detect_match(events: DataFrame, rule: DetectionRule, ancestors: Column | None = None, column: Callable[..., Column] = F.col) -> DataFrame:
     """One detection for each event(scenario, idx, t, process, ...) that fits."""
-    return detections(events.where(condition(rule.match or {}, ancestors=ancestors)), rule, F.col("t"), F.array("idx"), F.array("process"))
+    return detections(events.where(condition(rule.match or {}, column, ancestors)), rule, F.col("t"), F.array("idx"), F.array("process"))
 
 
-def threshold_firings(events: DataFrame, rule: DetectionRule, ancestors: Column | None = None) -> DataFrame:
+def threshold_firings(events: DataFrame, rule: DetectionRule, ancestors: Column | None = None, column: Callable[..., Column] = F.col) -> DataFrame:
     """(scenario, grp, t, idx): the first event of each group at which the trailing sum of counts reaches the rule's.
 
     The window reaches ``within`` ms back, both ends included. Events at the same time count only up to the event itself.
     """
     n = F.coalesce(F.col("count"), F.lit(1)) if "count" in events.columns else F.lit(1)
-    grp = F.col(rule.group).cast("string") if rule.group else F.lit("all")
-    rows = events.where(condition(rule.match or {}, ancestors=ancestors)).select("scenario", grp.alias("grp"), "t", "idx", n.cast("long").alias("n"))
+    grp = column(rule.group).cast("string") if rule.group else F.lit("all")
+    rows = events.where(condition(rule.match or {}, column, ancestors)).select("scenario", grp.alias("grp"), "t", "idx", n.cast("long").alias("n"))
     span = Window.partitionBy("scenario", "grp").orderBy("t")
     span = span.rangeBetween(-rule.within, 0) if rule.within is not None else span.rangeBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy("scenario", "grp", "t").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
@@ -93,59 +104,95 @@ def threshold_firings(events: DataFrame, rule: DetectionRule, ancestors: Column
     return fired.select("scenario", "grp", F.col("f.t").alias("t"), F.col("f.idx").alias("idx"), F.col("f.total").alias("total"))
 
 
-def detect_threshold(events: DataFrame, rule: DetectionRule, ancestors: Column | None = None) -> DataFrame:
+def detect_threshold(events: DataFrame, rule: DetectionRule, ancestors: Column | None = None, column: Callable[..., Column] = F.col) -> DataFrame:
     """One detection for each group, at its first firing, with the window's events and processes."""
-    fired = threshold_firings(events, rule, ancestors).toDF("scenario", "grp", "f_t", "f_idx", "total")
-    grp = F.col(rule.group).cast("string") if rule.group else F.lit("all")
-    rows = events.where(condition(rule.match or {}, ancestors=ancestors)).withColumn("grp", grp).join(fired, ["scenario", "grp"])
+    fired = threshold_firings(events, rule, ancestors, column).toDF("scenario", "grp", "f_t", "f_idx", "total")
+    grp = column(rule.group).cast("string") if rule.group else F.lit("all")
+    rows = events.where(condition(rule.match or {}, column, ancestors)).withColumn("grp", grp).join(fired, ["scenario", "grp"])
     inside = F.col("t") >= F.col("f_t") - rule.within if rule.within is not None else F.lit(True)
     rows = rows.where(inside & (F.struct("t", "idx") <= F.struct(F.col("f_t").alias("t"), F.col("f_idx").alias("idx"))))
     found = rows.groupBy("scenario", "grp", "f_t").agg(F.sort_array(F.collect_list(F.struct("t", "idx", "process"))).alias("w"))
     return detections(found, rule, F.col("f_t"), F.transform("w", lambda x: x["idx"]), F.transform("w", lambda x: x["process"]))
 
 
-def detect_sequence(events: DataFrame, rule: DetectionRule, ancestors: Column | None = None, key: tuple[str, ...] = ()) -> DataFrame:
+def detect_sequence(events: DataFrame, rule: DetectionRule, ancestors: Column | None = None, key: tuple[str, ...] = (), column: Callable[..., Column] = F.col) -> DataFrame:
     """For each event of the first step the earliest completion by later events of the other steps, all within the rule's span.
 
-    Steps are joined one after the other on scenario, bound variables (equal keys) and ``key`` columns, if given, that all
-    steps share; a bucket of the time bounds what a join pairs. Of several paths to a completion the earliest is taken.
+    Of several paths to a completion the earliest is taken. ``key`` columns, if given, must be equal in all steps. No step repeats
+    an event. Where all variables are in all steps, no event meets another one: see ``next_steps``.
     """
+    fits = [condition(s, column, ancestors) for s in rule.steps]
+    variables = [bindings(s) for s in rule.steps]
+    if all(v.keys() == variables[0].keys() for v in variables):
+        return next_steps(events, rule, fits, variables, key, column)
+    return joined_steps(events, rule, fits, variables, key, column)
+
+
+def next_steps(events: DataFrame, rule: DetectionRule, fits: list[Column], variables: list[dict[str, str]], key: tuple[str, ...], column: Callable[..., Column]) -> DataFrame:
+    """Sequences whose steps share all variables, by one sort of the events by scenario, key and variables, latest first.
+
+    Coming from the end, each step's event knows the nearest event of the next step and the path that leads on from it: a
+    window for each step over the same order. A nearer event is never worse, since all that completes a later one completes it.
+    """
+    n = len(fits)
+    names = sorted(variables[0])
+    # an event is a row for each step that it fits, with the step's own fields for the variables
+    steps = F.array(*(F.when(fit, F.struct(F.lit(k).alias("step"), F.struct(F.lit(0).alias("none"), *(column(bound[v]).cast("string").alias(v[1:]) for v in names)).alias("vars"))) for k, (fit, bound) in enumerate(zip(fits, variables, strict=True))))
+    rows = events.select("scenario", *key, "t", "idx", "process", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("s"))
+    rows = rows.select("scenario", *key, "t", "idx", "process", "s.step", *(F.col(f"s.vars.{v[1:]}").alias(f"v_{v[1:]}") for v in names))
+    for v in names:
+        rows = rows.where(F.col(f"v_{v[1:]}").isNotNull())
+    # the step of an event comes before its next one, which so is no successor
+    after = Window.partitionBy("scenario", *key, *(f"v_{v[1:]}" for v in names)).orderBy(F.desc("t"), F.desc("idx"), "step").rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda more: F.struct(*more[:1], F.concat(F.array("idx"), *more[1:2]).alias("events"), F.concat(F.array("process"), *more[2:]).alias("processes"))
+    rows = rows.withColumn("path", F.when(F.col("step") == n - 1, own([F.col("t").alias("t")])))
+    for k in range(n - 2, -1, -1):
+        rows = rows.withColumn("on", F.last(F.when(F.col("step") == k + 1, F.col("path")), ignorenulls=True).over(after))
+        rows = rows.withColumn("path", F.when((F.col("step") == k) & F.col("on").isNotNull(), own([F.col("on.t").alias("t"), F.col("on.events"), F.col("on.processes")])).otherwise(F.col("path")))
+    done = rows.where("step = 0 and path is not null")
+    if rule.within is not None:
+        done = done.where(F.col("path.t") <= F.col("t") + rule.within)
+    return detections(done, rule, F.col("path.t"), F.col("path.events"), F.col("path.processes"))
+
+
+def joined_steps(events: DataFrame, rule: DetectionRule, fits: list[Column], variables: list[dict[str, str]], key: tuple[str, ...], column: Callable[..., Column]) -> DataFrame:
+    """Sequences of which some steps lack a variable: steps are joined one after the other, within buckets of time if there is a span."""
     bound: dict[str, str] = {}
-    first = rule.steps[0]
-    variables = bindings(first)
-    rows = events.where(condition(first, ancestors=ancestors))
-    path = rows.select("scenario", *key, F.col("t").alias("t0"), F.col("idx").alias("i0"), F.struct("t", "idx").alias("at"), F.array("idx").alias("events"), F.array("process").alias("processes"), *(F.col(f).alias(f"v_{v[1:]}") for v, f in variables.items()))
-    bound |= {v: f"v_{v[1:]}" for v in variables}
-    for k, step in enumerate(rule.steps[1:], 1):
-        variables = bindings(step)
-        names = {v: f for v, f in variables.items() if v in bound}
-        fresh = {v: f for v, f in variables.items() if v not in bound}
-        hits = events.where(condition(step, ancestors=ancestors)).select("scenario", *key, F.col("t").alias("s_t"), F.struct("t", "idx").alias("s_at"), F.col("idx").alias("s_idx"), F.col("process").alias("s_process"), *(F.col(f).alias(f"s_{v[1:]}") for v, f in variables.items()))
+    rows = events.where(fits[0])
+    path = rows.select("scenario", *key, F.col("t").alias("t0"), F.col("idx").alias("i0"), F.struct("t", "idx").alias("at"), F.array("idx").alias("events"), F.array("process").alias("processes"), *(column(f).alias(f"v_{v[1:]}") for v, f in variables[0].items()))
+    bound |= {v: f"v_{v[1:]}" for v in variables[0]}
+    for k, (fit, own) in enumerate(zip(fits[1:], variables[1:], strict=True), 1):
+        names = {v: f for v, f in own.items() if v in bound}
+        fresh = {v: f for v, f in own.items() if v not in bound}
+        hits = events.where(fit).select("scenario", *key, F.col("t").alias("s_t"), F.struct("t", "idx").alias("s_at"), F.col("idx").alias("s_idx"), F.col("process").alias("s_process"), *(column(f).alias(f"w_{v[1:]}") for v, f in own.items()))
         on = ["scenario", *key]
         if rule.within is not None:
             size = max(1, rule.within)
             hits = hits.withColumn("bucket", F.floor(F.col("s_t") / size))
             path = path.withColumn("bucket", F.explode(F.array(F.floor(F.col("t0") / size), F.floor(F.col("t0") / size) + 1)))
             on.append("bucket")
+        for v in names:
+            # equal variables are join keys
+            hits = hits.withColumn(bound[v], F.col(f"w_{v[1:]}").cast("string"))
+            path = path.withColumn(bound[v], F.col(bound[v]).cast("string"))
+            on.append(bound[v])
         joined = path.join(hits, on).where(F.col("s_at") > F.col("at"))
         if rule.within is not None:
             joined = joined.where(F.col("s_t") <= F.col("t0") + rule.within)
-        for v in names:
-            joined = joined.where(F.col(bound[v]) == F.col(f"s_{v[1:]}"))
         final = k == len(rule.steps) - 1
         keep = [F.col(c) for c in ("scenario", *key, "t0", "i0")]
-        joined = joined.select(*keep, F.col("s_at").alias("at"), F.concat("events", F.array("s_idx")).alias("events"), F.concat("processes", F.array("s_process")).alias("processes"), *(F.col(c) for c in bound.values()), *(F.col(f"s_{v[1:]}").alias(f"v_{v[1:]}") for v in fresh))
+        joined = joined.select(*keep, F.col("s_at").alias("at"), F.concat("events", F.array("s_idx")).alias("events"), F.concat("processes", F.array("s_process")).alias("processes"), *(F.col(c) for c in bound.values()), *(F.col(f"w_{v[1:]}").alias(f"v_{v[1:]}") for v in fresh))
         bound |= {v: f"v_{v[1:]}" for v in fresh}
         # the earliest arrival for the same start and variables leads to every completion that a later one leads to
         groups = ["scenario", *key, "t0", "i0"] + ([] if final else list(bound.values()))
-        path = joined.groupBy(*groups).agg(F.min(F.struct("at", "events", "processes", *([] if not final else []))).alias("p")).select(*groups, "p.at", "p.events", "p.processes")
+        path = joined.groupBy(*groups).agg(F.min(F.struct("at", "events", "processes")).alias("p")).select(*groups, "p.at", "p.events", "p.processes")
     return detections(path, rule, F.col("at.t"), F.col("events"), F.col("processes"))
 
 
-def detect(events: DataFrame, rules: list[DetectionRule], ancestors: Column | None = None) -> DataFrame:
+def detect(events: DataFrame, rules: list[DetectionRule], ancestors: Column | None = None, column: Callable[..., Column] = F.col) -> DataFrame:
     """Detections of all rules: (scenario, rule_id, severity, t, events, processes)."""
     by_kind = {"match": detect_match, "threshold": detect_threshold, "sequence": detect_sequence}
-    return reduce(DataFrame.unionByName, (by_kind[r.kind](events, r, ancestors) for r in rules))
+    return reduce(DataFrame.unionByName, (by_kind[r.kind](events, r, ancestors, column=column) for r in rules))
 
 
 def missing_detections(found: DataFrame, expected: DataFrame) -> DataFrame:
@@ -256,7 +303,7 @@ def timeline(events: DataFrame, found: DataFrame) -> DataFrame:
     return events.select("scenario", "idx", "t", line.alias("line")).join(hits, ["scenario", "idx"], "left")
 
 
-def valid_rule(rule: DetectionRule) -> str | None:
+def valid_rule(spark: SparkSession, rule: DetectionRule) -> str | None:
     """Why a rule can't run, or null."""
     if rule.kind not in ("match", "threshold", "sequence"):
         return "kind"
@@ -266,8 +313,6 @@ def valid_rule(rule: DetectionRule) -> str | None:
         for values in step.values():
             for v in values if isinstance(values, (list, tuple)) else [values]:
                 if isinstance(v, str) and not is_variable(v):
-                    try:
-                        re.compile(v)
-                    except re.error:
+                    if java_error(spark, v):
                         return "pattern"
     return None

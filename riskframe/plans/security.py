@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.operators import changes, detect, names, score
+from riskframe.operators import changes, detect, lives, names, score
 from riskframe.operators.detect import DetectionRule
 from riskframe.streaming.detect import rate_stream
 
@@ -202,8 +202,40 @@ def sequence_detect(spark, d):
     return found.select(F.get("processes", F.lit(0)).alias("process"), F.get("events", F.lit(0)).alias("first_event"), F.get("events", F.lit(2)).alias("last_event"), "t")
 
 
+def sequence_unbounded(spark, d):
+    """Purchase, error and signup of one user, however far apart."""
+    rule = DetectionRule("ever", "sequence", steps=({"type": "^purchase$", "process": "$U"}, {"type": "^error$", "process": "$U"}, {"type": "^signup$", "process": "$U"}))
+    found = detect.detect_sequence(process_events(spark, d), rule)
+    return found.select(F.get("processes", F.lit(0)).alias("process"), *(F.get("events", F.lit(k)).alias(f"event{k}") for k in range(3)), "t")
+
+
+def tree_events(spark, d) -> DataFrame:
+    """Events as those of a process tree: a signup is a spawn by the process that its properties name, a click a change of image, a purchase ends that process."""
+    e = events(spark, d)
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ("signup", "spawn", "click", "exec", "purchase", "terminate"))), F.col("event_type")), "event_type")
+    image = F.when(kind == "spawn", F.concat(F.lit("v"), F.floor("value").cast("string"))).when(kind == "exec", F.concat(F.lit("c"), k.cast("string")))
+    none = F.lit(None).cast("string")
+    return e.select(F.lit("all").alias("scenario"), F.col("event_id").alias("idx"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), kind.alias("type"), F.col("user_id").cast("long").alias("process"), F.when(kind == "spawn", k).alias("parent"), F.when(kind == "terminate", k).alias("target"), image.alias("image"), none.alias("cmdline"), F.when(kind == "spawn", "u").alias("user"))
+
+
+SCOPES = (
+    DetectionRule("below-changed", "match", match={"type": "^(view|error)$", "ancestor.image": "^c[1-3]"}),
+    DetectionRule("ends-changed", "match", match={"type": "^terminate$", "target.image": "^c", "parent.image": ["^v1", "^c[45]"]}),
+)
+
+
+def scope_detect(spark, d):
+    """Conditions on parents, targets and ancestors as of each event."""
+    e = tree_events(spark, d)
+    none = e.select("scenario", "process", "image", "cmdline", "user", "parent").where("false")
+    rules = list(SCOPES)
+    found = detect.detect(lives.scoped(e, none, rules), rules, column=lives.scope_column(rules))
+    return found.select("rule_id", F.get("events", F.lit(0)).alias("idx"), F.get("processes", F.lit(0)).alias("process"))
+
+
 def match_detect(spark, d):
-    rule = DetectionRule("large", "match", match={"type": ["^purchase$", "^ERROR$"]})
+    rule = DetectionRule("large", "match", match={"type": ["^purchase$", "(?i)^ERROR$"]})
     found = detect.detect_match(process_events(spark, d).where("value > 100"), rule)
     return found.select("rule_id", "t", F.get("events", F.lit(0)).alias("idx"), F.get("processes", F.lit(0)).alias("process"))
 
@@ -228,7 +260,7 @@ def clipboard_rate(spark, d):
     return found.select(F.col("process").alias("user_id"), F.unix_seconds("start").alias("hour"), "n")
 
 
-QUERIES = {f.__name__: f for f in (signal_rollup, merge_signals, category_scores, boosts, risk_ranking, signal_prevalence, score_summary, level_inventory, population_outliers, external_signals, allowlist, known_bad, trusted_publisher, typosquat, list_diff, bench_judge, content_diff, guard_verdict, threshold_detect, threshold_windows, sequence_detect, match_detect, asof_state, ancestor_chain, clipboard_rate)}
+QUERIES = {f.__name__: f for f in (signal_rollup, merge_signals, category_scores, boosts, risk_ranking, signal_prevalence, score_summary, level_inventory, population_outliers, external_signals, allowlist, known_bad, trusted_publisher, typosquat, list_diff, bench_judge, content_diff, guard_verdict, threshold_detect, threshold_windows, sequence_detect, sequence_unbounded, scope_detect, match_detect, asof_state, ancestor_chain, clipboard_rate)}
 
 FOLD = "regexp_replace(translate(replace(replace(lower({0}), 'rn', 'm'), 'vv', 'w'), '01i|5_ ', 'ollls--'), '-+', '-', 'g')"
 PE = "WITH pe AS (SELECT event_id AS idx, epoch_us(ts) // 1000 AS t, event_type AS type, user_id AS process, value FROM events)"
@@ -270,6 +302,23 @@ ORACLES = {
     "threshold_windows": FIRED + """ SELECT f.process, f.f[1] AS t, count(*)::INT AS n, min(pe.idx) AS first_event FROM f JOIN pe ON pe.process = f.process AND pe.type = 'error' AND pe.t >= f.f[1] - 86400000 AND (pe.t, pe.idx) <= (f.f[1], f.f[2]) GROUP BY ALL""",
     "sequence_detect": PE + """, j AS (SELECT a.process, a.idx AS first_event, min((c.t, c.idx)) AS c FROM pe a JOIN pe b ON b.process = a.process AND b.type = 'purchase' AND (b.t, b.idx) > (a.t, a.idx) AND b.t <= a.t + 172800000
       JOIN pe c ON c.process = a.process AND c.type = 'error' AND (c.t, c.idx) > (b.t, b.idx) AND c.t <= a.t + 172800000 WHERE a.type = 'signup' GROUP BY ALL) SELECT process, first_event, c[2] AS last_event, c[1] AS t FROM j""",
+    "sequence_unbounded": PE + """, n AS (SELECT process, type, idx, t, row_number() OVER (PARTITION BY process ORDER BY t, idx) AS o FROM pe),
+      a AS (SELECT *, min(o) FILTER (type = 'signup') OVER w AS next_signup FROM n WINDOW w AS (PARTITION BY process ORDER BY o DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      b AS (SELECT *, min(o) FILTER (type = 'error' AND next_signup IS NOT NULL) OVER w AS next_error FROM a WINDOW w AS (PARTITION BY process ORDER BY o DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT b.process, b.idx AS event0, e.idx AS event1, s.idx AS event2, s.t FROM b JOIN b e ON e.process = b.process AND e.o = b.next_error JOIN b s ON s.process = b.process AND s.o = e.next_signup WHERE b.type = 'purchase'""",
+    "scope_detect": """WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id) AS o, event_id AS idx, user_id AS process, (props->>'k')::BIGINT AS k, event_type AS type, value FROM events),
+      f AS (SELECT process, min(o) AS o FROM e GROUP BY process),
+      c AS (SELECT e.o, e.process, e.k, e.type, e.type = 'signup' OR f.o IS NOT NULL AS begins, CASE e.type WHEN 'signup' THEN 'v' || floor(value)::BIGINT WHEN 'click' THEN 'c' || k ELSE '?' END AS image
+        FROM e LEFT JOIN f ON f.process = e.process AND f.o = e.o WHERE e.type IN ('signup', 'click') OR f.o IS NOT NULL),
+      v AS (SELECT *, max(o) FILTER (begins) OVER (PARTITION BY process ORDER BY o) AS life FROM c),
+      spans AS (SELECT life, image, o AS since, coalesce(lead(o) OVER (PARTITION BY life ORDER BY o), 1e18::BIGINT) AS until FROM v),
+      born AS (SELECT life, process, CASE WHEN type = 'signup' THEN k END AS parent FROM v WHERE o = life),
+      up AS (SELECT b.life, p.life AS up FROM born b JOIN LATERAL (SELECT max(life) AS life FROM born x WHERE x.process = b.parent AND x.life < b.life) p ON true WHERE p.life IS NOT NULL),
+      above AS (SELECT life, up FROM up UNION ALL SELECT a.life, u.up FROM above a JOIN up u ON u.life = a.up),
+      own AS (SELECT e.*, v.life, b.parent FROM e ASOF JOIN v ON v.process = e.process AND e.o >= v.o JOIN born b ON b.life = v.life)
+      SELECT DISTINCT 'below-changed' AS rule_id, own.idx, own.process FROM own JOIN above a ON a.life = own.life JOIN spans s ON s.life = a.up AND own.o >= s.since AND own.o < s.until WHERE own.type IN ('view', 'error') AND regexp_matches(s.image, '^c[1-3]')
+      UNION ALL SELECT 'ends-changed', x.idx, x.process FROM (SELECT own.*, p.image AS parent_image FROM own ASOF JOIN v p ON p.process = own.parent AND own.o >= p.o WHERE own.type = 'purchase') x ASOF JOIN v t ON t.process = x.k AND x.o >= t.o
+      WHERE regexp_matches(t.image, '^c') AND regexp_matches(x.parent_image, '^v1|^c[45]')""",
     "match_detect": PE + " SELECT 'large' AS rule_id, t, idx, process FROM pe WHERE type IN ('purchase', 'error') AND value > 100",
     "asof_state": PE + """, s AS (SELECT e.idx, e.process, max((t0.t, t0.idx)) AS s FROM pe e LEFT JOIN pe t0 ON t0.process = e.process AND t0.type = 'signup' AND (t0.t, t0.idx) < (e.t, e.idx) WHERE e.type = 'error' GROUP BY ALL),
       x AS (SELECT s.idx, s.process, s.s, max((c.t, c.idx)) AS c FROM s JOIN pe e ON e.idx = s.idx LEFT JOIN pe c ON c.process = s.process AND c.type = 'click' AND (c.t, c.idx) < (e.t, e.idx) AND (s.s[2] IS NULL OR (c.t, c.idx) > s.s) GROUP BY ALL)

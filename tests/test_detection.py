@@ -150,3 +150,75 @@ def test_matches_rates_and_rescans(spark, tmp_path):
         live.rescan_stream(stream, scan, str(tmp_path / "cache"), str(tmp_path / "out"), str(tmp_path / f"state{k}")).trigger(availableNow=True).start().awaitTermination(120)
     keys = files.select("key").distinct().count()
     assert spark.read.parquet(str(tmp_path / "cache")).count() == keys == spark.read.schema("key string, idx long").parquet(str(tmp_path / "out")).count()
+
+
+def test_rescan_writes_a_batch_once(spark, tmp_path):
+    """A failure between the findings and the keys, a run after it, and compaction: no finding twice."""
+    for k in range(4):
+        spark.createDataFrame([(f"k{j}", j) for j in range(3 * k, 3 * k + 5)], "key string, idx long").coalesce(1).write.mode("append").json(str(tmp_path / "files"))
+    calls = []
+
+    def scan(fresh):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return fresh.select("key", "idx")
+
+    cache, out = str(tmp_path / "cache"), str(tmp_path / "out")
+    start = lambda state: live.rescan_stream(spark.readStream.schema("key string, idx long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "files")), scan, cache, out, str(tmp_path / state), compact=1).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="lost"):
+        start("state").awaitTermination(120)
+    # findings of the third batch, as if it had failed after writing them
+    start("state").awaitTermination(120)
+    found = sorted(r.key for r in live.committed(spark, out, "key string, idx long").collect())
+    assert found == sorted(f"k{j}" for j in range(14))
+    start("other").awaitTermination(120)
+    assert live.committed(spark, out, "key string, idx long").count() == 14
+
+
+@pytest.mark.parametrize("variables", [({}, {}, {}), ({"P": "process"}, {"P": "parent"}, {"P": "target"}), ({"P": "process"}, {}, {"P": "target"}), ({}, {"Q": "process"}, {"Q": "target"})])
+def test_stream_sequences_with_variables(spark, tmp_path, rocks, variables):
+    """A thousand short streams in one, in several batches, against the batch operator."""
+    rnd = random.Random(9)
+    rows = []
+    for s in range(1000):
+        t = 0
+        for k in range(9):
+            t += rnd.choice([0, 1, 4])
+            rows.append((str(s), k, t, rnd.choice(["x", "y", "xy"]), rnd.choice("ab"), rnd.choice(["a", "b", None]), rnd.choice("ab")))
+    frame = spark.createDataFrame(rows, "scenario string, idx long, t long, type string, process string, parent string, target string")
+    rule = DetectionRule("r", "sequence", within=10, steps=tuple({"type": p} | {f: f"${v}" for v, f in own.items()} for p, own in zip("xyx", variables)))
+    got = run_stream(spark, frame.repartition(2), tmp_path / "in", "variables_out", lambda s: live.sequence_stream(s.where("idx is not null"), rule))
+    want = sorted((int(r.scenario), r.events[0], r.events[-1], r.t) for r in detect.detect_sequence(frame, rule).collect())
+    found = sorted((r["first"], r["last"], r.t) for r in got)
+    assert found == sorted(w[1:] for w in want) and want
+
+
+@pytest.mark.parametrize("late", [None, "30 seconds"])
+def test_process_table_on_a_stream(spark, tmp_path, rocks, late):
+    """States as of events equal those of the batch operator; with a watermark batches may come out of order."""
+    rnd = random.Random(11)
+    t, rows = 0, []
+    for k in range(300):
+        t += rnd.choice([0, 1, 400])
+        kind = rnd.choice(["spawn", "exec", "file"])
+        rows.append(("s", k, t, kind, rnd.choice("abcd"), rnd.choice("xyz") if kind == "spawn" else None, f"i{k}" if kind != "file" else None, f"c{k}" if kind != "file" else None, rnd.choice(["u", "v", None]) if kind == "spawn" else None))
+    start = [("s", "x", "ix", "c", "root", None), ("s", "a", "ia", "c", "user", "x"), ("s", "y", "iy", "c", None, None)]
+    events = spark.createDataFrame(rows, "scenario string, idx long, t long, type string, process string, parent string, image string, cmdline string, user string")
+    initial = spark.createDataFrame(start, "scenario string, process string, image string, cmdline string, user string, parent string")
+    # a last event far off lets the watermark pass all others
+    flush = spark.createDataFrame([("s", 1000 + k, 10**9 * (k + 1), "file", "end", None, None, None, None) for k in range(2)], events.schema)
+    source = events.orderBy(F.rand(3)).coalesce(1) if late else events.coalesce(1)
+    folder = tmp_path / "in"
+    source.write.parquet(str(folder))
+    for part in flush.collect():
+        if late:
+            spark.createDataFrame([part], events.schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    query = live.enrich_stream(stream, initial, late, 10**6).writeStream.format("memory").queryName("table_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination(240)
+    assert query.exception() is None
+    pick = lambda r: (r.p_image, r.p_cmdline, r.p_user, r.p_parent, r.user)
+    got = {r.idx: pick(r) for r in spark.table("table_out").where("idx < 1000").collect()}
+    want = {r.idx: pick(r) for r in detect.enrich(events, initial).collect()}
+    assert got == want

@@ -48,6 +48,11 @@ class Rule:
         flags = "".join(f for f in self.flags if f in "ims")
         return (f"(?{flags})" if flags else "") + self.pattern
 
+    @property
+    def anchor_regex(self) -> str:
+        """The anchor with the rule's flags; by default lines begin and end where texts do."""
+        return f"(?{''.join(f for f in self.flags if f in 'ims') or 'm'}){self.anchor}"
+
 
 KINDS = ("pattern", "absent")
 PATTERNS = {"pattern": "pattern", "anchor": "anchor", "unless": "unless", "when": "when", "pathPattern": "path_pattern", "excludePathPattern": "exclude_path_pattern"}
@@ -165,7 +170,7 @@ def findings_of(rule: Rule, text: Column) -> Column:
         return F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), message.alias("message"), *where, matched.alias("matched"), value.alias("value"))
 
     if rule.kind == "absent":
-        first = F.get(tx.matches(text, rule.anchor), F.lit(0)) if rule.anchor else None
+        first = F.get(tx.matches(text, rule.anchor_regex), F.lit(0)) if rule.anchor else None
         place = {k: F.coalesce(first[k], F.lit(0)) if rule.anchor else F.lit(0) for k in ("start", "line", "col")}
         one = F.array(row(place, F.lit(""), F.lit("")))
         flags = rule.regex if rule.flags else f"(?m){rule.pattern}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions import text as tx
-from riskframe.operators import hosts, rules
+from riskframe.operators import hosts, pack_scan, rules
 from riskframe.operators.rules import Rule
 
 W = (tx.WORD_START, tx.WORD_END)
@@ -18,6 +18,14 @@ LICENSE = Rule("doc/license", r"[Ll]icensed? under|MIT License", kind="absent",
 ANGRY = Rule("doc/shout", r"[A-Z]{4,}!!", when=r"!!", unless=r"\$\$\$", severity="hint")
 RULES = [PAN, IP, EMAIL, TOKEN]
 
+#: Rules about documents that run beside the shipped pack.
+DOCUMENT_PACK = {
+    "word/license": r"(?i)licen[cs]ed? under", "word/copyright": r"(?i)copyright \(c\)", "word/warranty": r"WARRANTY|WARRANTIES", "word/permission": r"Permission is hereby", "word/apache": r"Apache License",
+    "word/password": r"(?i)\b(?:password|passwd)\b", "word/token": r"(?i)\btoken\b", "word/secret": r"\bsecret\b", "word/key": r"\bapi_?key\b", "word/access": r"AKIA[A-Z0-9]{16}",
+    "shape/mail": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+", "shape/link": r"https?://[a-z0-9.-]+", "shape/hex": r"\b[0-9a-f]{32,}\b", "shape/phone": r"\+[0-9]{1,3} [0-9]+", "shape/table": r"\| [^|\n]* \|",
+    "shape/shout": r"[A-Z]{5,}", "shape/repeat": r"!!+|\?\?+", "shape/date": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", "shape/money": r"[$€][0-9]+", "shape/version": r"(?i)version [0-9]+",
+}
+
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
@@ -53,6 +61,14 @@ PUBLIC = f"""(SELECT a <= 255 AND b <= 255 AND c <= 255 AND e <= 255 AND a > 2 A
 PER_LINE = " SELECT doc_id, line, v AS value, count(*) AS n FROM h GROUP BY ALL"
 
 
+def pack_findings(spark, d):
+    """Findings of the rules about documents in a scan with all shipped rules."""
+    own = [Rule(k, p, severity="info", message="{{match}}") for k, p in DOCUMENT_PACK.items()]
+    found = pack_scan.scan_pack(docs(spark, d), [*pack_scan.shipped_rules(spark), *own])
+    found = found.where(F.col("rule_id").isin(*DOCUMENT_PACK))
+    return found.groupBy("rule_id", "doc_id").agg(F.count("*").alias("n"), F.min(F.struct("start", "line", "col", "matched")).alias("f")).select("rule_id", "doc_id", "n", F.col("f.line").alias("first_line"), F.col("f.matched").alias("first_match"))
+
+
 def ip_findings(spark, d):
     return per_line(rules.scan(docs(spark, d), [IP]))
 
@@ -122,7 +138,7 @@ def escape_reasons(spark, d):
     return both.groupBy("origin", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (pan_findings, ip_findings, email_findings, absent_rule, when_unless_rules, suppression, finding_summary, fail_gate, disabled_rules, shannon_by_source, host_inventory, page_hosts, escape_reasons)}
+QUERIES = {f.__name__: f for f in (pan_findings, pack_findings, ip_findings, email_findings, absent_rule, when_unless_rules, suppression, finding_summary, fail_gate, disabled_rules, shannon_by_source, host_inventory, page_hosts, escape_reasons)}
 
 ALL_RULES = f"""
 WITH l AS ({LINES}), m AS (
@@ -133,7 +149,9 @@ WITH l AS ({LINES}), m AS (
 h AS (SELECT * FROM m WHERE CASE rule_id WHEN 'pci/pan' THEN {LUHN} WHEN 'net/ip' THEN {PUBLIC} ELSE true END)
 """
 FILE_LIKE = ", ".join(f"'{x}'" for x in hosts.FILE_ENDINGS)
+PACK_SQL = " UNION ALL ".join(f"SELECT '{k}' AS rule_id, doc_id, line, regexp_extract_all(body, '{p}') AS m FROM l" for k, p in DOCUMENT_PACK.items())
 ORACLES = {
+    "pack_findings": f"WITH l AS ({LINES}), x AS ({PACK_SQL}) SELECT rule_id, doc_id, sum(len(m))::BIGINT AS n, min(line)::INT AS first_line, arg_min(m[1], line) AS first_match FROM x WHERE len(m) > 0 GROUP BY ALL",
     "pan_findings": lines_sql(PAN_RE2, LUHN) + " SELECT source, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs, min((doc_id, line))[1] AS first_doc, min((doc_id, line))[2] AS first_line FROM h GROUP BY source",
     "ip_findings": lines_sql(IP_RE2, PUBLIC) + PER_LINE,
     "email_findings": lines_sql(EMAIL_RE2) + PER_LINE,

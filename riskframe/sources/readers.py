@@ -149,30 +149,102 @@ def read_kernel_trace(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.when(is_raw, "RAWSOCK").otherwise("RWX").alias("kind"), pick(1, 2, "long").alias("pid"), pick(2, 0, "int").alias("family"), pick(0, 1, "string").alias("call"), pick(0, 3, "long").alias("len"), pick(3, 4, "string").alias("comm"))
 
 
+#: Bytes of a sample file that are one row of work.
+RANGE = 32 * 1024 * 1024
+#: Samples of a batch.
+SAMPLES = 100_000
+#: What parts numbers in a text of samples, and what bytes are raw samples.
+APART, RAW_SAMPLES = rb"[\s,;]+", r"\.(bin|dat|raw)$"
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """(source_id, i, sym): bytes of .bin, .dat and .raw files, else whole numbers from 0 to 255, decimal or 0x."""
+    """(source_id, i, sym): bytes of .bin, .dat and .raw files, else whole numbers from 0 to 255, decimal or 0x.
+
+    Files are read by ranges, so one of any size is spread over tasks. A number belongs to the range in which it begins; the
+    numbers of each range are counted first, so that each knows the place of its first one. An empty file has no rows.
+    """
     from riskframe.shipping import ship
 
     ship(spark)
+    size = RANGE
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("at"))
+    tasks = max(1, ranges.count())
+    # as many tasks as ranges, up to a bound that keeps them worth starting
+    ranges = ranges.repartition(min(tasks, 10_000), "path", "at")
+
+    def count(batches):
+        for batch in batches:
+            rows = [(p, at, sum(len(x) for x in range_samples(p, at, min(at + size, length), length))) for p, length, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+            yield range_batch(rows)
+
+    text = ~F.col("path").rlike(RAW_SAMPLES)
+    counted = ranges.where(text).mapInArrow(count, "path string, at long, n long")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counted.select("path", "at", before.alias("first"))
+    placed = ranges.join(first, ["path", "at"], "left").select("path", "length", "at", F.coalesce("first", "at").alias("first")).repartition(min(tasks, 10_000), "path", "at")
 
     def unpack(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for source, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if re.search(r"\.(bin|dat|raw)$", source):
-                    s = np.frombuffer(content, np.uint8).astype(np.int32)
-                else:
-                    s = np.array([int(x, 0) if x[:2].lower() == "0x" else int(x) for x in re.split(r"[\s,;]+", content.decode()) if x], np.int32)
-                    if len(s) and (s.min() < 0 or s.max() > 255):
-                        raise ValueError(f"{source}: samples must be from 0 to 255")
-                for at in range(0, len(s), 100_000):
-                    part = s[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["source_id", "i", "sym"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(unpack, "source_id string, i long, sym int")
+            for source, length, at, start in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                for part in range_samples(source, at, min(at + size, length), length):
+                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(part)), pa.array(range(start, start + len(part)), pa.int64()), pa.array(part, pa.int32())], ["source_id", "i", "sym"])
+                    start += len(part)
+
+    return placed.mapInArrow(unpack, "source_id string, i long, sym int")
+
+
+def range_batch(rows: list[tuple]):
+    import pyarrow as pa
+
+    columns = zip(*rows, strict=True) if rows else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "at", "n"])
+
+
+def range_samples(source: str, begin: int, end: int, length: int):
+    """Samples that begin in a range of a file, some at a time."""
+    import numpy as np
+
+    from riskframe.sources.reports import file_system
+
+    fs, path = file_system(source)
+    with fs.open_input_file(path) as file:
+        file.seek(begin)
+        if re.search(RAW_SAMPLES, source):
+            while begin < end:
+                data = file.read(min(SAMPLES, end - begin))
+                begin += len(data)
+                yield np.frombuffer(data, np.uint8).astype(np.int32)
+            return
+        held = b""
+        if begin:
+            # a number that began before the range is that range's
+            file.seek(begin - 1)
+            head = file.read(1)
+            if not re.match(APART, head):
+                while (byte := file.read(1)) and not re.match(APART, byte):
+                    begin += 1
+                begin += 1 if byte else 0
+        while begin < end or held:
+            data = file.read(min(SAMPLES, end - begin)) if begin < end else b""
+            begin += len(data)
+            held += data
+            if begin >= end and held and not re.match(APART, held[-1:]):
+                # the last number may reach beyond the range
+                while (byte := file.read(1)) and not re.match(APART, byte):
+                    held += byte
+            words = re.split(APART, held)
+            held = words.pop() if begin < end else b""
+            found = [w for w in words if w]
+            s = np.array([int(w, 0) if w[:2].lower() == b"0x" else int(w) for w in found], np.int64)
+            if len(s) and (s.min() < 0 or s.max() > 255):
+                raise ValueError(f"{source}: samples must be from 0 to 255")
+            if len(s):
+                yield s.astype(np.int32)
+            if begin >= end and not held:
+                return
 
 
 def read_puf(spark: SparkSession, path: str) -> DataFrame:

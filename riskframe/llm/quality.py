@@ -8,7 +8,8 @@ size costs no more than its bands. Vectors are whole numbers of 1 / UNIT and the
 equal verdicts, however it is dealt out.
 
 Each group has two starts: medians and deviations of all its rows, and the best of many random subsets of a bounded sample.
-Both are concentrated over all rows until the determinant falls no more; the smaller one counts. Outliers are told
+Both are concentrated over all rows until the determinant falls no more; the smaller one counts. Every group has an estimate of its
+own, however small; it is mixed with its language's, and that with the estimate of all rows, by numbers of rows. Outliers are told
 from the rest where their language's distances are rarest: in the valley behind the bulk.
 """
 
@@ -28,8 +29,9 @@ STATISTICS = ("word_length", "symbols", "repeats", "lines", "capitals")
 P = len(STATISTICS)
 #: Part of a group that the estimates rest on.
 PART = 0.75
-#: Groups of fewer rows share the estimate of their language, or else of all rows.
-LEAST_ROWS = 200
+#: Rows that the estimate of a wider group counts for beside a group's own: a group of n has n / (n + PRIOR_ROWS) of the say, a
+#: language beside all rows likewise.
+PRIOR_ROWS = 200
 #: Vectors are rounded to whole numbers of 1 / UNIT. A product of two is below 2**28, so sums of 2**35 rows are exact.
 UNIT = 1024
 #: Added to each statistic's standard deviation (squared to squared), so that one that hardly varies rejects little:
@@ -304,16 +306,54 @@ def estimated(rows: DataFrame, work: Work) -> DataFrame:
     return work.save(best.select("grp", "e.*"), "best")
 
 
-def outlier_distances(rows: DataFrame, work: Work) -> DataFrame:
+def mixed_estimates(groups: DataFrame, estimate: DataFrame) -> DataFrame:
+    """(grp, m0, ..., q00, ...) of groups(g2, g1, n2, n1): a group's estimate, its language's and that of all rows as one.
+
+    The moments of a mixture: the centres' weighted mean, and the scatters' with what the centres differ by.
+    """
+    names = [*(f"m{i}" for i in range(P)), *(f"q{i}{j}" for i, j in MOMENTS)]
+    rows = groups.withColumn("g0", F.lit(""))
+    for level in ("g2", "g1", "g0"):
+        rows = rows.join(estimate.select(F.col("grp").alias(level), F.array(*(F.col(n) for n in names)).alias(f"e_{level}")), level)
+
+    def moments(x: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        inverse = np.zeros((P, P))
+        for (i, j), v in zip(MOMENTS, x[P:], strict=True):
+            inverse[i, j] = inverse[j, i] = v if i == j else v / 2
+        return np.array(x[:P]), np.linalg.inv(inverse)
+
+    def mix(own: tuple, n: int, wide: tuple) -> tuple[np.ndarray, np.ndarray]:
+        w = n / (n + PRIOR_ROWS)
+        off = own[0] - wide[0]
+        return w * own[0] + (1 - w) * wide[0], w * own[1] + (1 - w) * wide[1] + w * (1 - w) * np.outer(off, off)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for r in batch.to_pylist():
+            language = mix(moments(r["e_g1"]), r["n1"], moments(r["e_g0"]))
+            out.append((r["g2"], 0, *mix(moments(r["e_g2"]), r["n2"], language)))
+        return estimate_rows(out)
+
+    return in_batches(rows.select("g2", "n2", "n1", "e_g2", "e_g1", "e_g0"), run, ESTIMATE).drop("start", "spread")
+
+
+def outlier_distances(rows: DataFrame, groups: DataFrame, work: Work) -> DataFrame:
     """rows(own, pool, ...) that are judged with their robust distance from the group ``own`` and the cutoff of their ``pool``.
 
     rows has one row for each group ``grp`` that a document counts for; it is judged where that is its own.
+    groups(g2, g1, n2, n1) are own groups, their pools, and the rows of both.
     """
-    estimate = estimated(rows, work)
-    judged = beside(rows.where("grp = own"), estimate.drop("start", "spread"), "grp").withColumn("squared", distance())
+    estimate = work.save(mixed_estimates(groups, estimated(rows, work)), "mixed")
+    judged = beside(rows.where("grp = own"), estimate, "grp").withColumn("squared", distance())
     judged = work.save(judged.select(*rows.columns, "squared"), "distances")
-    counts = judged.groupBy("pool", band(F.col("squared")).alias("band")).agg(F.count("*").alias("n"))
-    cutoffs = work.save(in_groups(counts, ["pool"], ["band"], valleys, "pool string, cutoff double"), "cutoffs")
+    counts = work.save(judged.groupBy("pool", band(F.col("squared")).alias("band")).agg(F.count("*").alias("n")), "bands")
+    every = counts.groupBy("band").agg(F.sum("n").alias("n")).select(F.lit("").alias("pool"), "band", "n")
+    found = work.save(in_groups(counts.unionByName(every), ["pool"], ["band"], valleys, "pool string, cutoff double"), "valleys")
+    sizes = groups.select(F.col("g1").alias("pool"), "n1").distinct()
+    # one row
+    of_all = found.where("pool = ''").select(F.col("cutoff").alias("wide"))
+    own = F.col("n1") / (F.col("n1") + PRIOR_ROWS)
+    cutoffs = work.save(found.join(sizes, "pool").crossJoin(F.broadcast(of_all)).select("pool", (own * F.col("cutoff") + (1 - own) * F.col("wide")).alias("cutoff")), "cutoffs")
     return beside(judged, cutoffs, "pool").withColumn("distance", F.sqrt("squared")).drop("squared")
 
 
@@ -329,15 +369,11 @@ def judged(docs: DataFrame, id_col: str, text_col: str, by: tuple[str, str], cut
     rest = rows.where("not base_failed").withColumns({f"x{i}": x for i, x in enumerate(vector())} | {"g1": first, "g2": second})
     sizes = rest.groupBy("g1", "g2").agg(F.count("*").alias("n2"))
     larger = sizes.groupBy("g1").agg(F.sum("n2").alias("n1"))
-    own = F.when(F.col("n2") >= LEAST_ROWS, F.col("g2")).when(F.col("n1") >= LEAST_ROWS, F.col("g1")).otherwise("")
-    pool = F.when(F.col("n1") >= LEAST_ROWS, F.col("g1")).otherwise("")
-    groups = work.save(sizes.join(larger, "g1").select("g2", own.alias("own"), pool.alias("pool")), "groups")
-    # an estimate that groups share rests on all rows of the language (or of the table), not just on theirs
-    used = groups.select(F.col("own").alias("grp")).distinct()
-    wide = beside(rest, groups, "g2").withColumn("grp", F.explode(F.array_distinct(F.array("g2", "g1", F.lit("")))))
-    wide = beside(wide, used, "grp").withColumn("row", F.xxhash64("id", "key"))
-    wide = work.save(wide.select(*JUDGED, "grp", "own", "pool", "row", *(f"x{i}" for i in range(P))), "vectors")
-    found = outlier_distances(wide, work)
+    groups = work.save(sizes.join(larger, "g1"), "groups")
+    wide = rest.withColumn("grp", F.explode(F.array("g2", "g1", F.lit("")))).withColumn("row", F.xxhash64("id", "key"))
+    wide = wide.select(*JUDGED, "grp", F.col("g2").alias("own"), F.col("g1").alias("pool"), "row", *(f"x{i}" for i in range(P)))
+    wide = work.save(wide, "vectors")
+    found = outlier_distances(wide, groups, work)
     limit = F.col("cutoff") if cutoff is None else F.lit(float(cutoff))
     found = found.select(*JUDGED, (F.col("distance") <= limit).alias("kept"), "distance", limit.alias("cutoff"))
     none = F.lit(None).cast("double")
@@ -349,8 +385,8 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     base_failed: under 50 words, or over half of the words in three-word windows that occur twice or more.
     A row that did not fail is kept if its robust distance from its language and source is at most ``cutoff``; by default
-    that is the valley in its language's distances. A group of fewer than LEAST_ROWS such rows shares its language's estimate,
-    or else that of all, and a language of fewer the cutoff of all such languages. A null language or source is a value of its own.
+    that is the valley in its language's distances. Estimates and cutoffs of small groups lean on wider ones by PRIOR_ROWS, with
+    no bound at which that begins. A null language or source is a value of its own.
     A null text has no words, so it fails; distance and cutoff are null where the base failed.
     Repeated rows and ids get a row each. An empty table gives no rows. Other columns are ignored.
     """

@@ -32,6 +32,8 @@ PART = 0.75
 #: Rows that the estimate of a wider group counts for beside a group's own: a group of n has n / (n + PRIOR_ROWS) of the say, a
 #: language beside all rows likewise.
 PRIOR_ROWS = 200
+#: The same for the valley, which few outliers show badly: rows of all languages beside one's own.
+VALLEY_ROWS = 2000
 #: Vectors are rounded to whole numbers of 1 / UNIT. A product of two is below 2**28, so sums of 2**35 rows are exact.
 UNIT = 1024
 #: Added to each statistic's standard deviation (squared to squared), so that one that hardly varies rejects little:
@@ -217,7 +219,7 @@ def valley(bands: np.ndarray, n: np.ndarray) -> float:
     """The distance that parts outliers from the rest, from counts n of rows by (sorted) bands of the squared distance.
 
     Of all stretches of STRETCH bands behind the quantile CHI2_FAR the emptiest is taken, and of equal ones the middle of
-    the longest run. If none has a fuller one behind it there is no valley, and the outer fence of the logarithms holds: the
+    the first run that is at least half as long as the longest. If none has a fuller one behind it there is no valley, and the outer fence of the logarithms holds: the
     upper quartile and three times the distance of both quartiles.
     """
     first = int(np.ceil(np.log2(CHI2_FAR) * BANDS))
@@ -233,7 +235,8 @@ def valley(bands: np.ndarray, n: np.ndarray) -> float:
         at = np.flatnonzero(good)
         if len(at):
             runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
-            run = max(runs, key=len)
+            # the first of the wide ones: what lies behind it are outliers, whatever gaps are among them
+            run = next(r for r in runs if 2 * len(r) >= max(map(len, runs)))
             return root(first + (run[0] + run[-1] + STRETCH) / 2)
     upto = np.cumsum(n)
     q1, q3 = (bands[np.searchsorted(upto, p * upto[-1])] for p in (0.25, 0.75))
@@ -352,7 +355,7 @@ def outlier_distances(rows: DataFrame, groups: DataFrame, work: Work) -> DataFra
     sizes = groups.select(F.col("g1").alias("pool"), "n1").distinct()
     # one row
     of_all = found.where("pool = ''").select(F.col("cutoff").alias("wide"))
-    own = F.col("n1") / (F.col("n1") + PRIOR_ROWS)
+    own = F.col("n1") / (F.col("n1") + VALLEY_ROWS)
     cutoffs = work.save(found.join(sizes, "pool").crossJoin(F.broadcast(of_all)).select("pool", (own * F.col("cutoff") + (1 - own) * F.col("wide")).alias("cutoff")), "cutoffs")
     return beside(judged, cutoffs, "pool").withColumn("distance", F.sqrt("squared")).drop("squared")
 
@@ -385,7 +388,7 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     base_failed: under 50 words, or over half of the words in three-word windows that occur twice or more.
     A row that did not fail is kept if its robust distance from its language and source is at most ``cutoff``; by default
-    that is the valley in its language's distances. Estimates and cutoffs of small groups lean on wider ones by PRIOR_ROWS, with
+    that is the valley in its language's distances. Estimates and cutoffs of small groups lean on wider ones by PRIOR_ROWS and VALLEY_ROWS, with
     no bound at which that begins. A null language or source is a value of its own.
     A null text has no words, so it fails; distance and cutoff are null where the base failed.
     Repeated rows and ids get a row each. An empty table gives no rows. Other columns are ignored.

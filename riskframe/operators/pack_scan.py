@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import replace
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions.text import RESOLVERS
-from riskframe.operators.rules import Rule, load_rules
+from riskframe.operators.rules import IGNORE, Rule, load_rules
 from riskframe.shipping import ship
 
 #: Literals shorter than this pick too many texts to be of use.
@@ -172,7 +173,26 @@ class Scanner:
             if m.group() and (not rule.validate or VALIDATORS[rule.validate](value or "")):
                 yield m.start(), m.group(), value or ""
 
-    def scan(self, text: str, path: str | None, language: str | None) -> list[tuple]:
+    def unsuppressed(self, text: str, starts: list[int], rows: list[tuple], mark: str) -> list[tuple]:
+        """rows without those that a directive of their line, the line before or the whole text names, as ``rules.suppress`` does."""
+        pattern = re.compile(re.escape(mark) + IGNORE)
+        known: dict[int, tuple[str, set[str]] | None] = {}
+
+        def directive(line: int) -> tuple[str, set[str]] | None:
+            if line not in known:
+                end = starts[line + 1] - 1 if line + 1 < len(starts) else len(text)
+                found = pattern.search(text, starts[line], end) if line >= 0 else None
+                known[line] = (found.group(1) or "", set(re.split("[ ,]+", found.group(2)))) if found else None
+            return known[line]
+
+        def named(line: int, kind: str, rule_id: str) -> bool:
+            found = directive(line)
+            return found is not None and found[0] == kind and not found[1].isdisjoint((rule_id, "*"))
+
+        whole = {bisect_right(starts, m.start()) - 1 for m in re.finditer(re.escape(mark) + "ignore-file", text)}
+        return [r for r in rows if not (named(r[4], "", r[0]) or r[4] and named(r[4] - 1, "-next-line", r[0]) or any(named(line, "-file", r[0]) for line in whole))]
+
+    def scan(self, text: str, path: str | None, language: str | None, mark: str | None = None) -> list[tuple]:
         out, starts = [], None
         for k in self.candidates(text):
             rule = self.rules[k]
@@ -189,39 +209,39 @@ class Scanner:
                 line = bisect_right(starts, at) - 1
                 message = re.sub(r"\{\{(match|value)\}\}", lambda m, x=matched, v=value: x if m.group(1) == "match" else v, rule.message or rule.rule_id)
                 out.append((rule.rule_id, rule.severity, message, at, line, at - starts[line], matched, value))
+        if out and mark and mark in text:
+            out = self.unsuppressed(text, starts or [0, *(m.end() for m in re.finditer("\n", text))], out, mark)
         return out
 
 
-def scan_pack(docs: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, language_col: str | None = None, disabled: tuple[str, ...] = (), patience: float = PATIENCE) -> DataFrame:
-    """Findings of a pack: (id_col, rule_id, severity, message, start, line, col, matched, value), the same as those of ``rules.scan``.
+def scan_pack(docs: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, language_col: str | None = None, disabled: tuple[str, ...] = (), keep: tuple[str, ...] = (), mark: str | None = None, patience: float = PATIENCE) -> DataFrame:
+    """Findings of a pack: (id_col, *keep, rule_id, severity, message, start, line, col, matched, value), the same as those of ``rules.scan``.
 
-    A null text has none. Without a path or language column, rules that ask for one don't apply, but for languages, which all fit then.
+    With ``mark`` (``lint-``) comments in a text suppress findings as ``rules.directives`` and ``rules.suppress`` do. A null text has none. Without a path or language column, rules that ask for one don't apply, but for languages, which all fit then.
     A rule that fails on a text has one finding there, of severity ``hint`` and with the reason.
     """
     ship(docs.sparkSession)
     rules = [r for r in rules if r.rule_id not in disabled]
-    id_type = docs.schema[id_col].dataType
+    path = F.col(path_col) if path_col else F.lit(None).cast("string")
+    language = F.col(language_col) if language_col else F.lit("*")
+    if not language_col:
+        rules = [replace(r, languages=("*",)) for r in rules]
+    own = [id_col, *keep]
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_type
-
         scanner = Scanner(rules, patience)
-        schema = pa.schema([(id_col, to_arrow_type(id_type)), *SCHEMA])
         for batch in batches:
-            ids, out = [], []
-            for row in range(batch.num_rows):
-                text = batch.column(1)[row].as_py()
-                if text is None:
-                    continue
-                rows = scanner.scan(text, batch.column(2)[row].as_py(), batch.column(3)[row].as_py())
-                ids += [batch.column(0)[row].as_py()] * len(rows)
-                out += rows
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(SCHEMA)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([ids, *columns], schema, strict=True)], schema=schema)
-
-    path = F.col(path_col) if path_col else F.lit(None).cast("string")
-    language = F.col(language_col) if language_col else F.lit("*")
-    if not language_col:
-        rules = [Rule(**{**r.__dict__, "languages": ("*",)}) for r in rules]
-    source = docs.select(F.col(id_col), F.col(text_col).alias("text"), path.alias("path"), language.alias("language"))
-    return source.mapInArrow(run, f"{id_col} {id_type.simpleString()}, rule_id string, severity string, message string, start int, line int, col int, matched string, value string")
+            texts, paths, languages = batch.columns[-3:]
+            places, out = [], []
+            for k in range(batch.num_rows):
+                if (text := texts[k].as_py()) is not None:
+                    rows = scanner.scan(text, paths[k].as_py(), languages[k].as_py(), mark)
+                    places += [k] * len(rows)
+                    out += rows
+            found = list(zip(*out, strict=True)) if out else [[]] * len(SCHEMA)
+            kept = [batch.column(k).take(pa.array(places, pa.int64())) for k in range(len(own))]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, f.type) for x, f in zip(found, SCHEMA, strict=True))], [*own, *SCHEMA.names])
+
+    source = docs.select(*own, F.col(text_col).alias("__text"), path.alias("__path"), language.alias("__language"))
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+    return source.mapInArrow(run, f"{types}, rule_id string, severity string, message string, start int, line int, col int, matched string, value string")

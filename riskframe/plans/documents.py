@@ -92,21 +92,20 @@ def with_directives(spark, d) -> DataFrame:
 
 
 def suppression(spark, d):
-    rows = with_directives(spark, d)
-    kept = rules.suppress(rules.scan(rows, RULES), rules.directives(rows))
+    kept = pack_scan.scan_pack(with_directives(spark, d), RULES, mark="lint-")
     return kept.groupBy("rule_id").agg(F.count("*").alias("n_findings"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def finding_summary(spark, d):
-    return rules.summary(rules.scan(docs(spark, d), RULES, keep=("lang", "source")), "lang", "rule_id", "severity")
+    return rules.summary(pack_scan.scan_pack(docs(spark, d), RULES, keep=("lang", "source")), "lang", "rule_id", "severity")
 
 
 def fail_gate(spark, d):
-    return rules.gate(rules.scan(docs(spark, d), RULES, keep=("source",)), "warning", "source")
+    return rules.gate(pack_scan.scan_pack(docs(spark, d), RULES, keep=("source",)), "warning", "source")
 
 
 def disabled_rules(spark, d):
-    return rules.summary(rules.scan(docs(spark, d), RULES, disabled=("net/ip", "pci/pan")), "rule_id")
+    return rules.summary(pack_scan.scan_pack(docs(spark, d), RULES, disabled=("net/ip", "pci/pan")), "rule_id")
 
 
 def shannon_by_source(spark, d):

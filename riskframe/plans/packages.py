@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions import text as tx
-from riskframe.operators import code, content, detect, names, packages, profiles, rules, runtime, score, supply
+from riskframe.operators import code, content, detect, names, packages, profiles, pack_scan, rules, runtime, score, supply
 from riskframe.operators.detect import DetectionRule
 from riskframe.operators.rules import Rule
 from riskframe.plans import documents, security
@@ -198,7 +198,7 @@ def check_coverage(spark, d):
 
 def sarif_lines(spark, d):
     """SARIF results of the large card numbers' places, by level and size."""
-    found = rules.scan(t(spark, d, "documents").withColumn("path", F.concat_ws("/", "source", "doc_id")), documents.RULES, keep=("path",))
+    found = pack_scan.scan_pack(t(spark, d, "documents").withColumn("path", F.concat_ws("/", "source", "doc_id")), documents.RULES, keep=("path",))
     made = sinks.sarif_results(found)
     level = F.get_json_object("json", "$.level")
     line = F.get_json_object("json", "$.locations[0].physicalLocation.region.startLine").cast("long")

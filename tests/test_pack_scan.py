@@ -36,6 +36,18 @@ def test_same_as_rule_by_rule(spark):
     assert {r.rule_id for r in scan_pack(docs, OWN, disabled=("a/ip",)).select("rule_id").distinct().collect()}.isdisjoint({"a/ip"})
 
 
+def test_suppression_in_the_scan(spark):
+    """The same findings stay as when directives are a table."""
+    rnd = random.Random(4)
+    heads = ["", "# lint-ignore a/either", "# lint-ignore-next-line a/pan, a/ip", "# lint-ignore *", "# lint-ignore-file a/ip", "// lint-ignore x lint-ignore-file *", "lint-ignore", "lint-ignore-file a/when,a/absent"]
+    texts = [(k, "\n".join(rnd.choice(["alpha 8.8.8.8", "4111111111111111 52.1.200.7 omegax", "when beet", "boot"]) + " " + rnd.choice(heads if k % 3 else heads[:4]) for _ in range(rnd.randint(1, 8)))) for k in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    some = OWN[:5]
+    pick = lambda df: sorted((r.doc_id, r.rule_id, r.start) for r in df.collect())
+    want = pick(rules.suppress(rules.scan(docs, some), rules.directives(docs)))
+    assert pick(scan_pack(docs, some, mark="lint-")) == want and len(want) < scan_pack(docs, some).count()
+
+
 def test_a_failing_rule_is_a_hint(spark):
     bad = [Rule("bad/pattern", "(?<=a+)("), Rule("bad/slow", r"(?:(?:a|a)*)*b"), Rule("good", "aaa+")]
     docs = spark.createDataFrame([(1, "a" * 40), (2, "c")], "doc_id long, text string")

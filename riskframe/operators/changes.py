@@ -37,12 +37,17 @@ def violations(items: DataFrame, *, blocked: tuple[str, ...] = (), publishers: t
     return items.select(id_col, F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("rule"))
 
 
-def guard(changes: DataFrame, risk: DataFrame, broken: DataFrame, *, fail_on: str = "high") -> DataFrame:
-    """(id, status, level, n_violations, verdict) of changed and added items: fail on a violation or level, error if unscanned."""
+def guard(changes: DataFrame, risk: DataFrame, broken: DataFrame, *, fail_on: str = "high", by_id: DataFrame | None = None) -> DataFrame:
+    """(id, status, level, n_violations, verdict) of changed and added items: fail on a violation or level, error if unscanned.
+
+    by_id(id, level): levels of items that can't be had and are judged by what is known of their ids alone; a scan's level goes first.
+    """
     from riskframe.functions.text import LEVELS, level_rank
 
     v = broken.groupBy("id").agg(F.count("*").alias("n_violations"))
     rows = changes.where(F.col("status").isin("added", "changed")).join(risk.select("id", "level"), "id", "left").join(v, "id", "left")
+    if by_id is not None:
+        rows = rows.join(by_id.select("id", F.col("level").alias("id_level")), "id", "left").withColumn("level", F.coalesce("level", "id_level"))
     n = F.coalesce("n_violations", F.lit(0))
     verdict = F.when(n > 0, "fail").when(F.col("level").isNull(), "error").when(level_rank(F.col("level")) >= LEVELS.index(fail_on), "fail").otherwise("pass")
     return rows.select("id", "status", "level", n.alias("n_violations"), verdict.alias("verdict"))

@@ -109,6 +109,15 @@ def read_known_bad(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", F.to_date("date", "M/d/yyyy").alias("removed_on"), "type")
 
 
+def newest_known_bad(snapshots: DataFrame) -> DataFrame:
+    """(id, removed_on, type) of the newest of snapshots(fetched, id, removed_on, type); a later one replaces all of an earlier one. Of an id's rows in it the last removal counts."""
+    # one row
+    newest = snapshots.agg(F.max("fetched").alias("__newest"))
+    rows = snapshots.join(F.broadcast(newest), F.col("fetched") == F.col("__newest"))
+    best = rows.groupBy("id").agg(F.max_by(F.struct("removed_on", "type"), F.struct("removed_on", "type")).alias("r"))
+    return best.select("id", "r.*")
+
+
 GALLERY = "struct<results:array<struct<extensions:array<struct<publisher:struct<publisherName:string,displayName:string,flags:string,isDomainVerified:boolean>,extensionName:string,lastUpdated:string,statistics:array<struct<statisticName:string,value:double>>>>>>>"
 
 
@@ -120,15 +129,35 @@ def read_gallery(responses: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.withColumn("key", F.lower("id")).join(found, "key", "left").withColumn("found", F.col("verified").isNotNull()).drop("key")
 
 
-EVENT_TYPES = ("spawn", "exec", "exit", "terminate", "inject", "file", "registry", "network")
+# The types of process events.
+EVENT_TYPES = ("spawn", "exec", "terminate", "inject", "file", "registry", "network", "module")
 EVENT = "scenario string, idx long, t long, type string, process string, parent string, target string, image string, cmdline string, user string, op string, path string, key string, value string, remote string, count long"
 
 
+def event_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, event, problem) of JSON lines: what is wrong with a line, or null. Lines count from 1 within a file's part."""
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), "value").where(F.trim("value") != "")
+    event = F.from_json("value", EVENT, {"mode": "PERMISSIVE"})
+    rows = rows.select("file", "value", F.try_parse_json("value").alias("v"), event.alias("event"))
+    of = lambda k: F.try_variant_get("v", f"$.{k}", "string")
+    problem = (
+        F.when(F.col("v").isNull() | ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "event must be an object")
+        .when(of("type").isNull() | ~of("type").isin(*EVENT_TYPES), F.concat(F.lit("unknown event type "), F.coalesce(of("type"), F.lit("null"))))
+        .when(of("process").isNull(), "event needs a process")
+    )
+    return rows.select("file", "value", "event", problem.alias("problem"))
+
+
 def read_process_events(spark: SparkSession, path: str) -> DataFrame:
-    """Process events from JSON lines: only the known types, missing times filled."""
+    """Process events from JSON lines: only valid ones (see ``event_rejects``), missing times filled."""
     from riskframe.operators.detect import fill_time
 
-    return fill_time(spark.read.schema(EVENT).json(path).where(F.col("type").isin(*EVENT_TYPES) & F.col("process").isNotNull()))
+    return fill_time(event_lines(spark, path).where("problem is null").select("event.*"))
+
+
+def event_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value, problem) of the lines that are no process events."""
+    return event_lines(spark, path).where("problem is not null").select("file", "value", "problem")
 
 
 def read_runtime_events(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions.text import RESOLVERS
-from riskframe.operators.rules import IGNORE, Rule, load_rules
+from riskframe.operators.rules import IGNORE, Rule, parse_packs
 from riskframe.shipping import ship
 
 #: Literals shorter than this pick too many texts to be of use.
@@ -29,8 +29,9 @@ SCHEMA = pa.schema([("rule_id", pa.string()), ("severity", pa.string()), ("messa
 
 
 def shipped_rules(spark: SparkSession) -> list[Rule]:
-    """The pack that comes with the library."""
-    return load_rules(spark, "file://" + str(Path(__file__).resolve().parents[1] / "data" / "code_rules.json"))[0]
+    """The pack that comes with the library, which only the driver has."""
+    path = Path(__file__).resolve().parents[1] / "data" / "code_rules.json"
+    return parse_packs(spark, [(path.name, path.read_text("utf-8"))])[0]
 
 
 def as_python(pattern: str) -> str:

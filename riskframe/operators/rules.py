@@ -97,25 +97,31 @@ def load_rules(spark: SparkSession, path: str) -> tuple[list[Rule], DataFrame]:
     A pack has an id and a list of rules. Of rules with the same id in one pack the first counts; see ``union_rules`` for several
     packs. Packs are read on the driver: a rule set is compiled into a plan. Query rules need parsers and are rejected.
     """
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value").orderBy("source").collect()
+    return parse_packs(spark, [(r["source"], r["value"]) for r in texts])
+
+
+def parse_packs(spark: SparkSession, packs: list[tuple[str, str]]) -> tuple[list[Rule], DataFrame]:
+    """``load_rules`` of packs(source, text) that are at hand."""
     rules: list[Rule] = []
     rejects: list[tuple[str, int | None, str | None, str]] = []
-    for row in spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value").orderBy("source").collect():
+    for source, text in packs:
         try:
-            pack = json.loads(row["value"]) if row["source"].endswith(".json") else parse_yaml(row["value"])
+            pack = json.loads(text) if source.endswith(".json") else parse_yaml(text)
         except ValueError as error:
-            rejects.append((row["source"], None, None, str(error).split("\n")[0]))
+            rejects.append((source, None, None, str(error).split("\n")[0]))
             continue
         if not isinstance(pack, dict) or not isinstance(pack.get("rules"), list):
-            rejects.append((row["source"], None, None, '"rules" must be a list'))
+            rejects.append((source, None, None, '"rules" must be a list'))
             continue
         if not isinstance(pack.get("id"), str):
-            rejects.append((row["source"], None, None, 'missing pack "id"'))
+            rejects.append((source, None, None, 'missing pack "id"'))
         seen: set[str] = set()
         for place, raw in enumerate(pack["rules"]):
             name = raw["id"] if isinstance(raw, dict) and isinstance(raw.get("id"), str) else None
             wrong = problems(spark, raw) + (["duplicate id"] if name in seen else [])
             if wrong:
-                rejects += [(row["source"], place, name, w) for w in wrong]
+                rejects += [(source, place, name, w) for w in wrong]
                 continue
             seen.add(name)
             group = raw.get("group", 1 if "(?<value>" in raw["pattern"] else 0)

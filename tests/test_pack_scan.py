@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from riskframe.operators import pack_scan, rules
+from riskframe.operators import rules
 from riskframe.operators.pack_scan import required_literals, scan_pack, shipped_rules
 from riskframe.operators.rules import Rule
 

@@ -19,3 +19,14 @@ def test_neighbouring_addresses(spark, tmp_path):
     spark.createDataFrame([(1, "https://a.example/x")], "page_id long, url string").write.parquet(f"{d}/pages.parquet")
     got = {r.reason: r.n for r in packages.suspicious_targets(spark, d).collect()}
     assert got == {"a literal public IP address": 3, None: 1}
+
+
+def test_advisories_are_put_together_once(spark):
+    npm = spark.createDataFrame([("p", "a", "1.0.0"), ("p", "a", "1.0.0"), ("p", "b", "1.0.0"), ("q", "b", "1.0.0"), ("r", "b", "^1.0.0")], "pkg_id string, name string, version string")
+    pinned = spark.createDataFrame([("p", "c", "1.0.0"), ("s", "c", "1.0.0")], "pkg_id string, name string, version string")
+    listed = spark.createDataFrame([("a", "1.0.0", "CVE-2"), ("a", "1.0.0", "CVE-1"), ("b", "1.0.0", "CVE-2"), ("b", "1.0.0", "MAL-1"), ("c", "1.0.0", "CVE-9"), (None, "1.0.0", "CVE-8")], "name string, version string, advisory string")
+    found = supply.advisory_signals(npm, pinned, listed)
+    bad, weak = "malicious-dependency", "vulnerable-dependency"
+    assert {tuple(r[:3]): r.ids for r in found.collect()} == {("p", weak, 2): ["CVE-1", "CVE-2"], ("p", bad, 1): ["MAL-1"], ("q", weak, 1): ["CVE-2"], ("q", bad, 1): ["MAL-1"], ("s", weak, 1): ["CVE-9"]}
+    # no list of advisories is shuffled by package
+    assert "advisory" not in plan(found)

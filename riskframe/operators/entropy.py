@@ -21,6 +21,8 @@ Z = 2.5758293035489008
 TUPLE_LEAST = 35
 #: Samples of a data set.
 DATA_SET = 1_000_000
+#: Places of a source that one window sorts.
+RANGE = 1 << 16
 #: Different symbols of all sources that may be broadcast.
 BROADCAST_CODES = 100_000
 
@@ -38,9 +40,13 @@ def mcv(samples: DataFrame) -> DataFrame:
 
 def markov(bits: DataFrame) -> DataFrame:
     """(source_id, h) of bits(source_id, i, bit): the likeliest of six paths of 128 steps."""
-    nxt = F.lead("bit").over(Window.partitionBy("source_id").orderBy("i"))
+    # by ranges of places: a range's last bit is followed by the first one of the next range that has any
+    rows = bits.select("source_id", "i", "bit", F.floor(F.col("i") / RANGE).alias("range"))
+    firsts = rows.groupBy("source_id", "range").agg(F.min_by("bit", "i").alias("first"))
+    firsts = firsts.select("source_id", "range", F.lead("first").over(Window.partitionBy("source_id").orderBy("range")).alias("after"))
+    nxt = F.coalesce(F.lead("bit").over(Window.partitionBy("source_id", "range").orderBy("i")), "after")
     n = lambda a, b: F.sum(F.when((F.col("bit") == a) & (F.col("nxt") == b), 1).otherwise(0)).cast("double")
-    c = bits.withColumn("nxt", nxt).groupBy("source_id").agg(F.count("*").alias("n"), F.sum("bit").cast("double").alias("ones"), *(n(a, b).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)))
+    c = rows.join(firsts, ["source_id", "range"]).withColumn("nxt", nxt).groupBy("source_id").agg(F.count("*").alias("n"), F.sum("bit").cast("double").alias("ones"), *(n(a, b).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)))
     p1 = F.col("ones") / F.col("n")
     # logarithms, so that a path of 128 steps does not vanish; an impossible step is minus infinity
     log = lambda x: F.when(x > 0, F.log2(x)).otherwise(float("-inf"))

@@ -30,3 +30,12 @@ def test_advisories_are_put_together_once(spark):
     assert {tuple(r[:3]): r.ids for r in found.collect()} == {("p", weak, 2): ["CVE-1", "CVE-2"], ("p", bad, 1): ["MAL-1"], ("q", weak, 1): ["CVE-2"], ("q", bad, 1): ["MAL-1"], ("s", weak, 1): ["CVE-9"]}
     # no list of advisories is shuffled by package
     assert "advisory" not in plan(found)
+
+
+def test_markov_by_ranges(spark, monkeypatch):
+    frame = spark.createDataFrame([("a", i, i * i % 7 % 2) for i in range(300) if not 40 <= i < 60] + [("b", i, i % 2) for i in range(5)], "source_id string, i long, bit int")
+    whole = {r.source_id: r.h for r in entropy.markov(frame).collect()}
+    monkeypatch.setattr(entropy, "RANGE", 8)
+    found = entropy.markov(frame)
+    assert {r.source_id: pytest.approx(r.h, rel=1e-12) for r in found.collect()} == whole
+    assert "windowspecdefinition(source_id" in plan(found) and ", range#" in plan(found)

@@ -17,6 +17,8 @@ from riskframe.steps import cut
 
 #: Points of an interval node that one task looks at.
 POINTS = 1 << 20
+#: Blocks of numbers that may be broadcast.
+BROADCAST_NODES = 100_000
 #: Bits of the number of steps of a tour.
 LEVELS = 40
 
@@ -56,7 +58,9 @@ def as_of(asks: DataFrame, known: DataFrame, process: str, name: str) -> DataFra
     """asks(scenario, t, idx, ...) with ``name``: the state of the process in column ``process``, changes at the ask's own event included; null if it has none."""
     rows = asks.withColumn("__p", F.col(process)).withColumn("__ask", F.lit(1))
     both = rows.unionByName(known.select("scenario", F.col("process").alias("__p"), "t", "idx", F.col("state").alias("__state"), F.lit(0).alias("__ask")), allowMissingColumns=True)
-    order = Window.partitionBy("scenario", "__p").orderBy(F.asc_nulls_first("t"), "idx", "__ask").rowsBetween(Window.unboundedPreceding, 0)
+    # asks without a process have no state, so they need not meet in one group
+    alone = F.when(F.col("__p").isNull(), F.xxhash64("idx"))
+    order = Window.partitionBy("scenario", "__p", alone).orderBy(F.asc_nulls_first("t"), "idx", "__ask").rowsBetween(Window.unboundedPreceding, 0)
     found = F.when(F.col("__p").isNotNull(), F.last("__state", ignorenulls=True).over(order))
     return both.withColumn(name, found).where("__ask = 1").drop("__p", "__ask", "__state")
 
@@ -90,31 +94,32 @@ def circles(links: DataFrame) -> DataFrame | None:
 
 
 def toured(found: DataFrame) -> DataFrame:
-    """lives with first and last: how far entry and end of each are from the end of its scenario's tour.
+    """lives that have a parent or a child, with tree, first and last: how far entry and end of each are from the end of its tree's tour.
 
-    A life is below another if its ``first`` lies between the other's ``last`` and ``first``. The tour enters a life, tours its
-    children by number, ends it, and goes on with its next sibling, or ends the parent.
+    A life is below another of its tree if its ``first`` lies between the other's ``last`` and ``first``. The tour enters a life,
+    tours its children by number, ends it, and goes on with its next sibling, or ends the parent. ``tree`` numbers the last step.
     """
-    siblings = Window.partitionBy("scenario", "up").orderBy("life")
-    rows = found.withColumn("next", F.lead("life").over(siblings))
     child = found.where("up is not null").groupBy(F.col("up").alias("life")).agg(F.min("life").alias("child"))
-    rows = rows.join(child, "life", "left")
+    rows = found.join(child, "life", "left").where("up is not null or child is not null")
+    # roots are no siblings, and no group
+    siblings = Window.partitionBy("up", F.when(F.col("up").isNull(), F.col("life"))).orderBy("life")
+    rows = cut(rows.withColumn("next", F.lead("life").over(siblings)))
     enter = rows.select((F.col("life") * 2).alias("step"), F.coalesce(F.col("child") * 2, F.col("life") * 2 + 1).alias("next"))
     leave = rows.select((F.col("life") * 2 + 1).alias("step"), F.coalesce(F.col("next") * 2, F.col("up") * 2 + 1).alias("next"))
-    state = cut(enter.unionByName(leave).withColumn("d", F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("long")))
+    state = cut(enter.unionByName(leave).select("*", F.when(F.col("next").isNull(), F.col("step")).alias("end"), F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("long").alias("d")))
     while not state.where("next is not null").isEmpty():
         # twice at a time: half as many written tables
         for _ in range(2):
-            there = state.select(F.col("step").alias("next"), F.col("next").alias("far"), F.col("d").alias("more"))
-            state = state.join(there, "next", "left").select("step", F.col("far").alias("next"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"))
+            there = state.select(F.col("step").alias("next"), F.col("next").alias("far"), F.col("end").alias("far_end"), F.col("d").alias("more"))
+            state = state.join(there, "next", "left").select("step", F.col("far").alias("next"), F.coalesce("end", "far_end").alias("end"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"))
         state = cut(state)
-    first = state.where("step % 2 = 0").select((F.col("step") / 2).cast("long").alias("life"), F.col("d").alias("first"))
-    last = state.where("step % 2 = 1").select(((F.col("step") - 1) / 2).cast("long").alias("life"), F.col("d").alias("last"))
-    return found.join(first, "life").join(last, "life")
+    # entry and end of a life as one row
+    ends = state.groupBy(F.shiftright("step", 1).alias("life")).agg(F.max("end").alias("tree"), F.max("d").alias("first"), F.min("d").alias("last"))
+    return rows.drop("child", "next").join(ends, "life")
 
 
 def covered(rectangles: DataFrame, points: DataFrame) -> DataFrame:
-    """(scenario, ref) of points(scenario, at, when, ref) that lie in any of rectangles(scenario, low, high, since, until).
+    """(scenario, ref) of points(scenario, tree, at, when, ref) that lie in any of rectangles(scenario, tree, low, high, since, until).
 
     ``low`` to ``high`` are whole numbers from 0, both included; ``until`` is not. An interval is cut into aligned blocks of numbers, of
     which a point lies in one of each size, so that they meet by equal keys; within a block a running maximum of
@@ -123,11 +128,15 @@ def covered(rectangles: DataFrame, points: DataFrame) -> DataFrame:
     size = F.expr("shiftleft(1L, level)")
     cuts = rectangles.where("low <= high and since < until").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
     l, r = F.ceil(F.col("low") / size).cast("long"), F.floor((F.col("high") + 1) / size).cast("long")
-    nodes = F.filter(F.array(F.when((l < r) & (l % 2 == 1), l), F.when((l < r) & (r % 2 == 1), r - 1)), lambda x: x.isNotNull())
-    cuts = cut(cuts.select("scenario", "level", F.explode(F.array_distinct(nodes)).alias("node"), "since", "until"))
-    places = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("node", F.floor(F.col("at") / size).cast("long"))
-    key = ["scenario", "level", "node"]
-    places = cut(places.join(cuts.select(*key).distinct(), key, "left_semi"))
+    found = F.filter(F.array(F.when((l < r) & (l % 2 == 1), l), F.when((l < r) & (r % 2 == 1), r - 1)), lambda x: x.isNotNull())
+    cuts = cut(cuts.select("scenario", "tree", "level", F.explode(F.array_distinct(found)).alias("node"), "since", "until"))
+    key = ["scenario", "tree", "level", "node"]
+    nodes = cut(cuts.select(*key).distinct())
+    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    # a point is looked for in the sizes of blocks that there are
+    levels = F.array(*(F.lit(r.level) for r in nodes.select("level").distinct().orderBy("level").collect())).cast("array<int>")
+    places = points.withColumn("level", F.explode(levels)).withColumn("node", F.floor(F.col("at") / size).cast("long"))
+    places = cut(places.join(F.broadcast(nodes) if few else nodes, key, "left_semi"))
     parts = places.groupBy(*key).agg(F.ceil(F.count("*") / POINTS).cast("int").alias("parts"))
     dealt = cuts.join(parts, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("since").alias("when"), "until", F.lit(0).alias("is_point"))
     asked = places.join(parts, key).select(*key, F.pmod(F.xxhash64("ref"), "parts").cast("int").alias("part"), "when", F.lit(1).alias("is_point"), "ref")
@@ -154,18 +163,18 @@ def scoped(events: DataFrame, initial: DataFrame, rules: list) -> DataFrame:
     rows = cut(rows)
     tour = cut(toured(lives(known)))
     key = lambda t0, idx0: F.struct(F.coalesce(t0, F.lit(-(2**63))).alias("t0"), idx0.alias("idx0"))
-    tour = tour.select("scenario", "process", key(F.col("t0"), F.col("idx0")).alias("born"), "first", "last")
+    tour = tour.select("scenario", "process", key(F.col("t0"), F.col("idx0")).alias("born"), "up", "tree", "first", "last")
     moment = lambda t, idx: F.struct(F.coalesce(t, F.lit(-(2**63))).alias("t"), idx.alias("idx"))
     state = F.col("state")
     later = F.lead(moment(F.col("t"), F.col("idx"))).over(Window.partitionBy("scenario", "process", key(state["t0"], state["idx0"])).orderBy(F.asc_nulls_first("t"), "idx"))
     spans = known.select("scenario", "process", key(state["t0"], state["idx0"]).alias("born"), "state", moment(F.col("t"), F.col("idx")).alias("since"), F.coalesce(later, moment(F.lit(2**63 - 1), F.lit(2**63 - 1))).alias("until"))
     spans = cut(spans.join(tour, ["scenario", "process", "born"]))
     points = rows.select("scenario", "process", key(F.col("s_process.t0"), F.col("s_process.idx0")).alias("born"), moment(F.col("t"), F.col("idx")).alias("when"), F.col("idx").alias("ref"))
-    points = cut(points.join(tour, ["scenario", "process", "born"]).select("scenario", F.col("first").alias("at"), "when", "ref"))
+    points = cut(points.join(tour.where("up is not null"), ["scenario", "process", "born"]).select("scenario", "tree", F.col("first").alias("at"), "when", "ref"))
     for name, (field, options) in tests.items():
         value = F.col("process").cast("string") if field == "id" else state[field]
         fits = reduce(lambda a, b: a | b, (one_test(value, f"ancestor.{field}", v) for v in options))
-        inside = spans.where(fits).select("scenario", (F.col("last") + 1).alias("low"), (F.col("first") - 1).alias("high"), "since", "until")
+        inside = spans.where(fits).select("scenario", "tree", (F.col("last") + 1).alias("low"), (F.col("first") - 1).alias("high"), "since", "until")
         hit = covered(inside, points).select("scenario", F.col("ref").alias("idx"), F.lit(True).alias(name))
         rows = rows.join(hit, ["scenario", "idx"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return rows

@@ -2,7 +2,7 @@
 
 import pytest
 
-from riskframe.operators import entropy, supply
+from riskframe.operators import entropy, lives, supply
 from riskframe.plans import packages
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +43,21 @@ def test_markov_by_ranges(spark, monkeypatch):
 
 def test_hashes_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in packages.manifest_hashes(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tours_by_trees(spark):
+    up = {0: None, 1: 0, 2: 1, 3: None, 4: 0, 5: 6, 6: None}
+    found = spark.createDataFrame([("s", k, k, u) for k, u in up.items()], "scenario string, process long, life long, up long")
+    tour = {r.life: (r.tree, r.last, r.first) for r in lives.toured(found).collect()}
+    below = {(a, b) for a in tour for b in tour if a != b and tour[a][0] == tour[b][0] and tour[b][1] < tour[a][2] < tour[b][2]}
+    # a life of neither parent nor child is in no tour
+    assert below == {(1, 0), (2, 0), (2, 1), (4, 0), (5, 6)} and 3 not in tour
+
+
+def test_asks_without_a_process_are_no_group(spark):
+    asks = spark.createDataFrame([("s", 1, k, None if k else "a") for k in range(5)], "scenario string, t long, idx long, who string")
+    known = spark.createDataFrame([("s", "a", 0, 0, ("x",))], "scenario string, process string, t long, idx long, state struct<image:string>")
+    found = lives.as_of(asks, known, "who", "state_of")
+    assert {r.idx: r.state_of and r.state_of.image for r in found.collect()} == {0: "x", 1: None, 2: None, 3: None, 4: None}
+    groups = [x for x in plan(found).splitlines() if x.lstrip("+- :").startswith("Window [")]
+    assert len(groups) == 1 and "_w" in groups[0].split("windowspecdefinition(scenario", 1)[1].split(" ASC")[0]

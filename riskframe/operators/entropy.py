@@ -1,7 +1,7 @@
 """Min-entropy of sample sources by the estimators of NIST SP 800-90B, section 6.3.
 
-Counting estimators are aggregations over (source, i, sym). The order-dependent predictors are small
-state machines over one source's sequence, a grouped function each; sources and estimators run in parallel.
+Counting estimators are aggregations over (source, i, sym). The order-dependent predictors look at one data set's
+sequence as arrays, a grouped function each; sources, data sets and estimators run in parallel.
 """
 
 from __future__ import annotations
@@ -163,54 +163,136 @@ def prediction_h(correct: np.ndarray, k: int, n: int | None = None) -> float:
     return -math.log2(max(top, lo, 1 / k))
 
 
-def lag_h(s: np.ndarray, k: int, depth: int = 128) -> float:
-    scores, winner = np.zeros(depth, np.int64), 0
-    correct = np.zeros(len(s) - 1, bool)
-    for i in range(1, len(s)):
-        past = s[max(0, i - depth) : i][::-1]
-        correct[i - 1] = winner < len(past) and past[winner] == s[i]
-        right = np.flatnonzero(past == s[i])
-        if len(right):
-            scores[right] += 1
-            best = scores[right].max()
-            if best >= scores[winner]:
-                winner = int(right[scores[right] == best][-1])
-    return prediction_h(correct, k)
+def followed(right: np.ndarray, scores: np.ndarray, winner: int) -> np.ndarray:
+    """Who is followed after each step of right(predictor, step), scores being the sums so far; ``winner`` is followed before.
+
+    The one followed always has the highest score. Of those that were right and now have it, the last is followed.
+    """
+    best = right & (scores == scores.max(axis=0))
+    last = len(best) - 1 - best[::-1].argmax(axis=0)
+    at = np.maximum.accumulate(np.where(best.any(axis=0), np.arange(best.shape[1]), -1))
+    return np.where(at < 0, winner, last[at])
+
+
+def chosen_right(right: np.ndarray, scores: np.ndarray, winner: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each step the predictor followed until then, and whether it was right."""
+    after = followed(right, scores, winner)
+    before = np.r_[winner, after[:-1]].astype(int)
+    return after, right[before, np.arange(right.shape[1])]
+
+
+def lag_h(s: np.ndarray, k: int, depth: int = 128, step: int = 1 << 14) -> float:
+    totals, winner, correct = np.zeros((depth, 1), np.int64), 0, []
+    # what lies before the first sample equals no symbol
+    padded = np.r_[np.full(depth, -1), s].astype(np.int64)
+    for start in range(1, len(s), step):
+        now = s[start : start + step]
+        right = np.stack([padded[start + depth - 1 - d : start + depth - 1 - d + len(now)] == now for d in range(depth)])
+        scores = totals + np.cumsum(right, axis=1)
+        after, ok = chosen_right(right, scores, winner)
+        totals, winner = scores[:, -1:], int(after[-1])
+        correct.append(ok)
+    return prediction_h(np.concatenate(correct) if correct else np.zeros(0, bool), k)
 
 
 def multi_mcw_h(s: np.ndarray, k: int, windows: tuple[int, ...] = (63, 255, 1023, 4095)) -> float:
-    if len(s) <= windows[0] + 1:
+    n = len(s)
+    if n <= windows[0] + 1:
         return math.nan
-    counts = np.zeros((len(windows), k), np.int64)
-    recent = np.full((len(windows), k), -1, np.int64)
-    scores, winner = [0] * len(windows), 0
-    correct = np.zeros(len(s) - windows[0], bool)
-    for i, x in enumerate(s):
-        if i >= windows[0]:
-            guesses = []
-            for j, w in enumerate(windows):
-                if i < w:
-                    guesses.append(None)
-                    continue
-                most = counts[j].max()
-                ties = np.flatnonzero(counts[j] == most)
-                guesses.append(int(ties[recent[j][ties].argmax()]))
-            correct[i - windows[0]] = guesses[winner] == x
-            for j, g in enumerate(guesses):
-                if g == x:
-                    scores[j] += 1
-                    if scores[j] >= scores[winner]:
-                        winner = j
+    best, latest, guess = np.full((len(windows), n), -1), np.full((len(windows), n), -2), np.full((len(windows), n), -1)
+    for x in range(k):
+        hit = s == x
+        # how often, and where last, x stands before each place
+        seen = np.r_[0, np.cumsum(hit)]
+        last = np.r_[-1, np.maximum.accumulate(np.where(hit, np.arange(n), -1))[:-1]]
         for j, w in enumerate(windows):
-            counts[j, x] += 1
-            recent[j, x] = i
-            if i >= w:
-                counts[j, s[i - w]] -= 1
-    return prediction_h(correct, k)
+            if w >= n:
+                continue
+            count = seen[w:n] - seen[: n - w]
+            better = (count > best[j, w:]) | ((count == best[j, w:]) & (last[w:] > latest[j, w:]))
+            best[j, w:][better], latest[j, w:][better], guess[j, w:][better] = count[better], last[w:][better], x
+    right = (guess == s)[:, windows[0] :]
+    return prediction_h(chosen_right(right, np.cumsum(right, axis=1), 0)[1], k)
+
+
+def contexts(s: np.ndarray, k: int, depth: int):
+    """For each length from 1 to depth the symbols before each place, from that of this length on, as a number."""
+    now = np.zeros(len(s), np.int64)
+    size = 1
+    for d in range(1, depth + 1):
+        # the shorter context that ends a place earlier, then the last symbol
+        now = now[:-1] * k + s[d - 1 : -1]
+        size *= k
+        if size > 1 << 32:
+            now = np.unique(now, return_inverse=True)[1]
+            size = len(s)
+        yield d, now
+
+
+def groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal numbers together, by place within, and where groups start in it."""
+    order = np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
+    y = x[order]
+    return order, np.r_[True, y[1:] != y[:-1]] if len(y) else np.zeros(0, bool)
+
+
+def running(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each place how many of its group lie before it."""
+    at = np.arange(len(order))
+    out = np.empty(len(order), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(starts, at, 0))
+    return out
+
+
+def champions(context: np.ndarray, x: np.ndarray, k: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count, symbol) of the most frequent symbol, ties to the larger, that followed each place's context before; count 0 if none.
+
+    ``counts``: how often the place's symbol has followed its context by then, itself included; 0 if it does not count.
+    """
+    order, starts = groups(context)
+    code = np.where(counts > 0, counts * k + x, 0)[order]
+    # counts only grow, so the largest code so far is the most frequent symbol's; a group's codes lie above those of all before
+    shift = (np.cumsum(starts) - 1) * ((len(x) + 1) * k)
+    top = np.maximum.accumulate(code + shift)
+    before = np.where(starts, 0, np.r_[0, top[:-1]] - shift)
+    out = np.empty(len(x), np.int64)
+    out[order] = before
+    return out // k, out % k
 
 
 def multi_mmc_h(s: np.ndarray, k: int, depth: int = 16, most: int = 100_000) -> float:
-    """Markov models of all depths; deeper contexts count only where the shallower ones are known."""
+    """Markov models of all depths; a deeper context is known only where the shallower ones are. Of each depth the first ``most`` pairs of context and symbol are kept."""
+    n = len(s)
+    if n <= depth + 1:
+        return math.nan
+    right, known = np.zeros((depth, n - 2), bool), np.zeros((depth, n - 2), bool)
+    full = []
+    for d, context in contexts(s, k, depth):
+        x = s[d:]
+        order, starts = groups(context * k + x)
+        nth = running(order, starts)
+        fresh = np.cumsum(nth == 0)
+        full.append(d + int(np.searchsorted(fresh, most)) if fresh[-1] >= most else n)
+        # a pair that came first when all places were taken never counts
+        kept = np.empty(len(x), bool)
+        firsts = order[starts]
+        kept[order] = np.repeat(fresh[firsts] <= most, np.diff(np.r_[np.flatnonzero(starts), len(x)]))
+        count, guess = champions(context, x, k, np.where(kept, nth + 1, 0))
+        # the first place only fills the model
+        at = slice(max(2 - d, 1), None)
+        known[d - 1, n - 2 - len(x[at]) :] = count[at] > 0
+        right[d - 1, n - 2 - len(x[at]) :] = (count[at] > 0) & (guess[at] == x[at])
+    if any(a < b for a, b in zip(full, full[1:])):
+        # a depth is full before the next one: what is under it is forgotten, one symbol after the other
+        return multi_mmc_by_steps(s, k, depth, most)
+    # deeper contexts are known only where the shallower ones are, since those came with them
+    after, ok = chosen_right(right, np.cumsum(right, axis=1), 0)
+    before = np.r_[0, after[:-1]].astype(int)
+    return prediction_h(ok[known[before, np.arange(n - 2)]], k, n - 2)
+
+
+def multi_mmc_by_steps(s: np.ndarray, k: int, depth: int, most: int) -> float:
+    """multi_mmc_h, one symbol after the other."""
     text = s.tolist()
     if len(text) <= depth + 1:
         return math.nan
@@ -244,26 +326,30 @@ def multi_mmc_h(s: np.ndarray, k: int, depth: int = 16, most: int = 100_000) ->
 
 
 def lz78y_h(s: np.ndarray, k: int, depth: int = 16, most: int = 65_536) -> float:
-    table: dict[tuple, dict[int, int]] = {}
-    text = s.tolist()
-    correct = np.zeros(max(0, len(text) - depth - 1), bool)
-    for i in range(depth + 1, len(text)):
-        for j in range(depth, 0, -1):
-            key, x = tuple(text[i - j - 1 : i - 1]), text[i - 1]
-            old = table.get(key)
-            if old is not None:
-                old[x] = old.get(x, 0) + 1
-            elif len(table) < most:
-                table[key] = {x: 1}
-        best, guess = 0, None
-        for j in range(depth, 0, -1):
-            old = table.get(tuple(text[i - j : i]))
-            if old:
-                y, c = max(old.items(), key=lambda e: (e[1], e[0]))
-                if c > best:
-                    best, guess = c, y
-        correct[i - depth - 1] = guess == text[i]
-    return prediction_h(correct, k)
+    """The most frequent followers of all contexts, longest first; the first ``most`` contexts of any length are kept."""
+    n = len(s)
+    if n <= depth + 1:
+        return prediction_h(np.zeros(0, bool), k)
+    tables, firsts = [], []
+    for d, context in contexts(s, k, depth):
+        # from the place at which the longest context is whole
+        context = context[depth - d :]
+        order, starts = groups(context)
+        first = np.empty(len(context), np.int64)
+        first[order] = np.repeat(order[starts], np.diff(np.r_[np.flatnonzero(starts), len(order)]))
+        # a place's longer contexts come first
+        tables.append((context, first * depth + depth - d))
+        firsts.append(order[starts] * depth + depth - d)
+    firsts = np.concatenate(firsts)
+    limit = np.partition(firsts, most - 1)[most - 1] if len(firsts) > most else firsts.max()
+    x = s[depth:]
+    best, guess = np.zeros(len(x), np.int64), np.full(len(x), -1)
+    for context, came in reversed(tables):
+        nth = running(*groups(context * k + x))
+        count, symbol = champions(context, x, k, np.where(came <= limit, nth + 1, 0))
+        better = count > best
+        best, guess = np.where(better, count, best), np.where(better, symbol, guess)
+    return prediction_h((guess == x)[1:], k)
 
 
 SEQUENTIAL = {"collision": lambda s, k: collision_h(s), "compression": lambda s, k: compression_h(s), "lag": lag_h, "multi_mcw": multi_mcw_h, "multi_mmc": multi_mmc_h, "lz78y": lz78y_h}
@@ -277,13 +363,19 @@ def sequential(samples: DataFrame, estimators: tuple[str, ...] = tuple(SEQUENTIA
     """
     ship(samples.sparkSession)
 
+    def glue(key, frame: pd.DataFrame) -> pd.DataFrame:
+        symbols, codes = np.unique(frame.sort_values("i")["sym"].to_numpy(), return_inverse=True)
+        return pd.DataFrame({"source_id": [key[0]], "data_set": [key[1]], "k": [len(symbols)], "codes": [codes.astype("<i4").tobytes()]})
+
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        symbols, s = np.unique(frame.sort_values("i")["sym"].to_numpy(), return_inverse=True)
-        name, k = key[2], len(symbols)
+        name, k, s = key[2], int(frame["k"].iloc[0]), np.frombuffer(frame["codes"].iloc[0], "<i4").astype(np.int64)
         h = math.nan if k < 2 or (name in BINARY_ONLY and k != 2) else SEQUENTIAL[name](s, k)
         return pd.DataFrame({"source_id": [key[0]], "data_set": [key[1]], "estimator": [name], "h": [None if math.isnan(h) else h]})
 
-    wide = samples.select(F.col("source_id").cast("string").alias("source_id"), F.floor(F.col("i") / DATA_SET).alias("data_set"), "i", "sym", F.explode(F.array(*map(F.lit, estimators))).alias("estimator"))
+    # samples are shuffled once; estimators get a data set as one value
+    sets = samples.select(F.col("source_id").cast("string").alias("source_id"), F.floor(F.col("i") / DATA_SET).alias("data_set"), "i", "sym")
+    sets = sets.groupBy("source_id", "data_set").applyInPandas(glue, "source_id string, data_set long, k int, codes binary")
+    wide = sets.withColumn("estimator", F.explode(F.array(*map(F.lit, estimators))))
     return wide.groupBy("source_id", "data_set", "estimator").applyInPandas(run, "source_id string, data_set long, estimator string, h double")
 
 

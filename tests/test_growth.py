@@ -1,5 +1,6 @@
 """What grows with the tables: plans and pieces that stay small, and results that do not depend on how work is cut."""
 
+import numpy as np
 import pytest
 
 from riskframe.operators import entropy, lives, supply
@@ -61,3 +62,21 @@ def test_asks_without_a_process_are_no_group(spark):
     assert {r.idx: r.state_of and r.state_of.image for r in found.collect()} == {0: "x", 1: None, 2: None, 3: None, 4: None}
     groups = [x for x in plan(found).splitlines() if x.lstrip("+- :").startswith("Window [")]
     assert len(groups) == 1 and "_w" in groups[0].split("windowspecdefinition(scenario", 1)[1].split(" ASC")[0]
+
+
+def test_predictors_as_arrays():
+    rng = np.random.default_rng(3)
+    for k, n in ((2, 900), (5, 700), (2, 19), (16, 400)):
+        s = np.where(rng.random(n) < 0.7, np.arange(n) * np.arange(n) % 7 % k, rng.integers(0, k, n))
+        # with few places in a model, too
+        for most in (50, 300, 100_000):
+            assert entropy.multi_mmc_h(s, k, most=most) == entropy.multi_mmc_by_steps(s, k, 16, most)
+        right = rng.random((6, n)) < 0.4
+        sums, winner, winners = np.zeros(6, int), 0, []
+        for step in right.T:
+            for j in np.flatnonzero(step):
+                sums[j] += 1
+                if sums[j] >= sums[winner]:
+                    winner = int(j)
+            winners.append(winner)
+        assert entropy.followed(right, np.cumsum(right, axis=1), 0).tolist() == winners

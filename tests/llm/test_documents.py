@@ -7,9 +7,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from riskframe.llm import licenses, mixing, near_dedup, packing, pii, quality, secrets, token_scan, toxicity
+from riskframe.llm import licenses, mixing, near_dedup, packing, pii, quality, secrets, token_scan, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, id long, key string, component string, u double"
@@ -726,3 +727,18 @@ def test_toxic_lexicon_against_brute_force(spark):
         return total / max(1.0, ((s.count(" ") + 1) / 100) ** 0.5)
 
     assert got == sorted((str(k), round(by_hand(t), 9)) for k, t in rows)
+
+
+def test_recurring_words_are_encoded_once(monkeypatch):
+    """Also where a batch has more different words than are remembered."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHED", 3)
+    path = tokens.vocabulary()
+    ours, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    texts = [f"first{k} the word{k} of <|endoftext|> a\n.\tb the été{k}́ of" + "\n" * (k % 3) for k in range(1200)] + ["", "x  y", " z ", "\n", "alone", "the\x1c of"]
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in ours.batch(pa.array([*texts, None]))]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+    assert set(ours.cache) <= {"the", "of", "<|endoftext|>", "a\n.\tb"} and len(ours.cache) == 3

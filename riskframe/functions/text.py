@@ -253,14 +253,14 @@ def escape_density(text: Column) -> Column:
 
     A literal that opens with 40 escapes, 150 literals of nothing but (four or more) escapes, or 500 brackets and signs in a row.
     """
-    plain = F.regexp_replace(F.translate(text, ESCAPE, " "), r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}", ESCAPE)
+    plain = F.regexp_replace(F.replace(text, F.lit(ESCAPE), F.lit(" ")), r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}", ESCAPE)
     marked = F.when(text.contains("\\x") | text.contains("\\u"), plain)
-    literals = F.regexp_count(marked, F.lit(f"(['\"]){ESCAPE}{{4,}}\\1"))
-    return (
-        F.when(marked.rlike(f"['\"`]{ESCAPE}{{40,}}"), "run of escapes")
-        .when(literals >= 150, "literals of escapes")
-        .when(text.rlike(r"[\[\]()!+]{500,}"), "code of brackets")
-    )
+
+    def reason(m: Column) -> Column:
+        literals = F.regexp_count(m, F.lit(f"(['\"]){ESCAPE}{{4,}}\\1"))
+        return F.when(m.rlike(f"['\"`]{ESCAPE}{{40,}}"), "run of escapes").when(literals >= 150, "literals of escapes")
+
+    return F.coalesce(once(marked, reason), F.when(text.rlike(r"[\[\]()!+]{500,}"), "code of brackets"))
 
 
 def bits_of(response: Column) -> Column:

@@ -1,9 +1,12 @@
 """What grows with the tables: plans and pieces that stay small, and results that do not depend on how work is cut."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 
-from riskframe.operators import entropy, lives, supply
+from riskframe.operators import code, entropy, lives, supply
 from riskframe.plans import packages
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +89,21 @@ def test_manifests_are_dealt_out(spark):
     # the file of parts is one partition
     rows = packages.manifests(spark, SF)
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 200
+
+
+def test_entropies_of_literals_take_one_pass(spark):
+    # the file of documents is one partition
+    assert packages.escaped(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rng = random.Random(5)
+    wide = "".join(map(chr, rng.sample([c for c in range(0xA1, 0x2000) if not chr(c).isspace()] + list(range(0x1F300, 0x1F400)), 300)))
+    plain = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=900))
+    escapes = [rng.randrange(256) for _ in range(700)]
+    hidden = "".join(f"\\x{x:02x}" for x in escapes)
+    texts = [f'"{wide}"', f"eval ('{plain}')", f"'{plain}'" + " " * 390 + ";eval(", f'"{hidden}"\nrunInContext(', f'"{hidden}"' + " " * 420 + "eval(", f"'{plain}' `{plain}`"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = code.code_findings(docs)
+    got = {(r.doc_id, r.rule_id): (r.detail, r.n, round(r.entropy, 9)) for r in found.collect() if r.entropy is not None}
+    bits = lambda values: round(-sum(values.count(x) / len(values) * math.log2(values.count(x) / len(values)) for x in set(values)), 9)
+    p, rule = bits(plain), "high-entropy-literal"
+    assert got == {(0, rule): (None, 1, bits(wide)), (1, "packed-payload"): ("eval", 1, p), (1, rule): (None, 1, p), (2, "packed-payload"): ("eval", 1, p), (2, rule): (None, 1, p), (3, "packed-payload"): ("runInContext", 1, bits(escapes)), (5, "encoded-blob"): (None, 2, p), (5, rule): (None, 2, p)}
+    assert "ArrowEvalPython [entropies(" in plan(found)

@@ -52,3 +52,10 @@ def test_common_prefixes(spark):
     want = [(0, -1)] + [(p, shared(order[p - 1], order[p])) for p in range(1, 7)]
     assert sorted((r.p, r.lcp) for r in suffixes.common_prefixes(frame).collect()) == want
     assert entropy.tuple_counts(frame.limit(0)).count() == 0
+
+
+def test_the_package_is_sent_before_it_is_needed(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(suffixes, "ship", sent.append)
+    suffixes.symbol_blocks(spark.createDataFrame([("a", 0, 1)], "source_id string, i long, sym int"))
+    assert sent == [spark]

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from riskframe.operators.rules import java_error
-from riskframe.steps import cut
+from riskframe.steps import beside, cut
 
 Condition = dict[str, object]
 
@@ -230,7 +230,7 @@ def inherit_users(events: DataFrame, initial: DataFrame) -> DataFrame:
     state = cut(lives.select("scenario", key().alias("key"), "user").join(up, ["scenario", "key"], "left"))
     while not state.where("user is null and up is not null").isEmpty():
         target = state.select("scenario", F.col("key").alias("up"), F.col("user").alias("up_user"), F.col("up").alias("up_up"))
-        state = cut(state.join(target, ["scenario", "up"], "left").select("scenario", "key", F.coalesce("user", "up_user").alias("user"), F.when(F.col("user").isNull() & F.col("up_user").isNull(), F.col("up_up")).alias("up")))
+        state = cut(beside(state, target, ["scenario", "up"]).select("scenario", "key", F.coalesce("user", "up_user").alias("user"), F.when(F.col("user").isNull() & F.col("up_user").isNull(), F.col("up_up")).alias("up")))
     found = state.where("key.idx >= 0").select("scenario", F.col("key.idx").alias("idx"), F.col("user").alias("__user"))
     rows = events.join(found, ["scenario", "idx"], "left").withColumn("user", F.coalesce("user", "__user"))
     return rows.select(*events.columns)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.operators.detect import STATE, Condition, inherit_users, one_test, options_of
-from riskframe.steps import cut
+from riskframe.steps import beside, cut
 
 #: Points of an interval node that one task looks at.
 POINTS = 1 << 20
@@ -88,7 +88,7 @@ def circles(links: DataFrame) -> DataFrame | None:
     jump, n, steps = cut(links), links.count(), 1
     while steps <= n and not jump.isEmpty():
         there = jump.select(F.col("life").alias("up"), F.col("up").alias("far"))
-        jump = cut(jump.join(there, "up").select("life", F.col("far").alias("up")))
+        jump = cut(beside(jump, there, ["up"]).where("far is not null").select("life", F.col("far").alias("up")))
         steps *= 2
     return None if jump.isEmpty() else jump.select(F.col("up").alias("life")).distinct()
 
@@ -97,25 +97,35 @@ def toured(found: DataFrame) -> DataFrame:
     """lives that have a parent or a child, with tree, first and last: how far entry and end of each are from the end of its tree's tour.
 
     A life is below another of its tree if its ``first`` lies between the other's ``last`` and ``first``. The tour enters a life,
-    tours its children by number, ends it, and goes on with its next sibling, or ends the parent. ``tree`` numbers the last step.
+    enters and ends its children without children, tours the others by number, ends it, and goes on with its next sibling, or ends
+    the parent. ``tree`` numbers the last step. Only lives with children take part in the rounds; their other children are
+    two steps each right behind their entry.
     """
-    child = found.where("up is not null").groupBy(F.col("up").alias("life")).agg(F.min("life").alias("child"))
-    rows = found.join(child, "life", "left").where("up is not null or child is not null")
+    parents = found.where("up is not null").select(F.col("up").alias("life")).distinct().withColumn("inner", F.lit(True))
+    rows = found.join(parents, "life", "left").withColumn("inner", F.coalesce("inner", F.lit(False))).where("up is not null or inner")
     # roots are no siblings, and no group
-    siblings = Window.partitionBy("up", F.when(F.col("up").isNull(), F.col("life"))).orderBy("life")
-    rows = cut(rows.withColumn("next", F.lead("life").over(siblings)))
-    enter = rows.select((F.col("life") * 2).alias("step"), F.coalesce(F.col("child") * 2, F.col("life") * 2 + 1).alias("next"))
-    leave = rows.select((F.col("life") * 2 + 1).alias("step"), F.coalesce(F.col("next") * 2, F.col("up") * 2 + 1).alias("next"))
-    state = cut(enter.unionByName(leave).select("*", F.when(F.col("next").isNull(), F.col("step")).alias("end"), F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("long").alias("d")))
+    siblings = Window.partitionBy("up", F.when(F.col("up").isNull(), F.col("life")), "inner").orderBy("life")
+    rows = cut(rows.withColumn("k", F.row_number().over(siblings)).withColumn("next", F.lead("life").over(siblings)))
+    below = rows.where("up is not null").groupBy(F.col("up").alias("life")).agg(F.count_if(~F.col("inner")).alias("leaves"), F.min(F.when(F.col("inner"), F.col("life"))).alias("child"))
+    inner = rows.where("inner").select("life", "up", "next")
+    # keys of below are those of inner
+    inner = cut(inner.join(below, "life"))
+    enter = inner.select((F.col("life") * 2).alias("step"), F.coalesce(F.col("child") * 2, F.col("life") * 2 + 1).alias("next"), (F.col("leaves") * 2 + 1).alias("d"))
+    leave = inner.select((F.col("life") * 2 + 1).alias("step"), F.coalesce(F.col("next") * 2, F.col("up") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("d"))
+    state = cut(enter.unionByName(leave).select("step", "next", F.when(F.col("next").isNull(), F.col("step")).alias("end"), F.when(F.col("next").isNotNull(), F.col("d")).otherwise(0).alias("d")))
     while not state.where("next is not null").isEmpty():
         # twice at a time: half as many written tables
         for _ in range(2):
             there = state.select(F.col("step").alias("next"), F.col("next").alias("far"), F.col("end").alias("far_end"), F.col("d").alias("more"))
-            state = state.join(there, "next", "left").select("step", F.col("far").alias("next"), F.coalesce("end", "far_end").alias("end"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"))
+            state = beside(state, there, ["next"]).select("step", F.col("far").alias("next"), F.coalesce("end", "far_end").alias("end"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"))
         state = cut(state)
     # entry and end of a life as one row
-    ends = state.groupBy(F.shiftright("step", 1).alias("life")).agg(F.max("end").alias("tree"), F.max("d").alias("first"), F.min("d").alias("last"))
-    return rows.drop("child", "next").join(ends, "life")
+    ends = cut(state.groupBy(F.shiftright("step", 1).alias("life")).agg(F.max("end").alias("tree"), F.max("d").alias("first"), F.min("d").alias("last")))
+    names = [*found.columns, "tree", "first", "last"]
+    # a child without children is found from its parent's entry
+    entered = rows.where("not inner").join(ends.select(F.col("life").alias("up"), "tree", F.col("first").alias("entry")), "up")
+    leaves = entered.withColumn("first", F.col("entry") - F.col("k") * 2 + 1).withColumn("last", F.col("first") - 1)
+    return rows.where("inner").join(ends, "life").select(*names).unionByName(leaves.select(*names))
 
 
 def covered(rectangles: DataFrame, points: DataFrame) -> DataFrame:
@@ -168,7 +178,8 @@ def scoped(events: DataFrame, initial: DataFrame, rules: list) -> DataFrame:
     state = F.col("state")
     later = F.lead(moment(F.col("t"), F.col("idx"))).over(Window.partitionBy("scenario", "process", key(state["t0"], state["idx0"])).orderBy(F.asc_nulls_first("t"), "idx"))
     spans = known.select("scenario", "process", key(state["t0"], state["idx0"]).alias("born"), "state", moment(F.col("t"), F.col("idx")).alias("since"), F.coalesce(later, moment(F.lit(2**63 - 1), F.lit(2**63 - 1))).alias("until"))
-    spans = cut(spans.join(tour, ["scenario", "process", "born"]))
+    # nothing lies below lives without children
+    spans = cut(spans.join(tour.where("first - last > 1"), ["scenario", "process", "born"]))
     points = rows.select("scenario", "process", key(F.col("s_process.t0"), F.col("s_process.idx0")).alias("born"), moment(F.col("t"), F.col("idx")).alias("when"), F.col("idx").alias("ref"))
     points = cut(points.join(tour.where("up is not null"), ["scenario", "process", "born"]).select("scenario", "tree", F.col("first").alias("at"), "when", "ref"))
     for name, (field, options) in tests.items():

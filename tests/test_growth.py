@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from riskframe.operators import code, entropy, lives, supply
+from riskframe import steps
+from riskframe.operators import code, detect, entropy, lives, supply
 from riskframe.plans import packages
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +60,46 @@ def test_tours_by_trees(spark):
     assert below == {(1, 0), (2, 0), (2, 1), (4, 0), (5, 6)} and 3 not in tour
 
 
+def test_leaves_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(2)
+    up = {k: None if k % 17 == 0 else rng.randrange(max(0, k - 40), k) for k in range(300)}
+    sizes, cut = [], lives.cut
+
+    def seen(df):
+        found = cut(df)
+        sizes.extend([found.count()] * ("step" in df.columns))
+        return found
+
+    monkeypatch.setattr(lives, "cut", seen)
+    found = spark.createDataFrame([("s", k, k, u) for k, u in up.items()], "scenario string, process long, life long, up long")
+    tour = {r.life: (r.tree, r.last, r.first) for r in lives.toured(found).collect()}
+    got = {(a, b) for a in tour for b in tour if a != b and tour[a][0] == tour[b][0] and tour[b][1] < tour[a][2] < tour[b][2]}
+    above = lambda k: [] if up[k] is None else [up[k], *above(up[k])]
+    assert got == {(k, a) for k in up for a in above(k)}
+    # every step of a tree has its own number
+    places = [(t, x) for t, last, first in tour.values() for x in (last, first)]
+    assert len(set(places)) == len(places)
+    # an entry and an end of lives with children only
+    assert set(sizes) == {2 * len({u for u in up.values() if u is not None})}
+
+
+def test_estimates_do_not_grow_by_rounds(spark):
+    bits = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+    # a path of 300 lives takes 10 rounds
+    path = spark.range(300).select(F.lit("s").alias("scenario"), F.col("id").alias("process"), F.col("id").alias("life"), F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))
+    assert bits(lives.toured(path)) < 400
+    events = spark.range(300).select(F.lit("s").alias("scenario"), F.col("id").alias("process"), F.col("id").alias("t"), F.col("id").alias("idx"), F.lit("spawn").alias("type"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.when(F.col("id") == 0, "root").alias("user"), F.lit("i").alias("image"), F.lit("c").alias("cmdline"))
+    found = detect.inherit_users(events, events.select("scenario", "process", "image", "cmdline", "user", "parent").where("false"))
+    assert bits(found) < 400 and found.where("user = 'root'").count() == 300
+    assert lives.circles(spark.range(300).select(F.col("id").alias("life"), ((F.col("id") + 1) % 300).alias("up"))).count() == 300
+
+
+def test_beside(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "n int, k string")
+    right = spark.createDataFrame([("a", 10), ("c", 30), (None, 40)], "k string, v int")
+    assert sorted(map(tuple, steps.beside(left, right, ["k"]).collect())) == [(1, "a", 10), (2, "a", 10), (3, "b", None), (4, None, None), (5, None, None)]
+
+
 def test_asks_without_a_process_are_no_group(spark):
     asks = spark.createDataFrame([("s", 1, k, None if k else "a") for k in range(5)], "scenario string, t long, idx long, who string")
     known = spark.createDataFrame([("s", "a", 0, 0, ("x",))], "scenario string, process string, t long, idx long, state struct<image:string>")

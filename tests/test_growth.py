@@ -38,6 +38,25 @@ def test_advisories_are_put_together_once(spark):
     assert "advisory" not in plan(found)
 
 
+def test_equal_advisories_are_neighbours(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(supply, "LIST_BYTES", 20_000)
+    monkeypatch.setattr(supply, "LIST_ROWS", 100)
+    # 40 names have 80 advisories each: 3,000 lists, of which 1,600 differ
+    npm = spark.range(3000).select("id", F.explode(F.array(F.col("id") % 40, F.floor(F.col("id") / 7) % 40)).alias("k")).select(F.concat(F.lit("p"), "id").alias("pkg_id"), F.concat(F.lit("n"), "k").alias("name"), F.lit("1.0.0").alias("version"))
+    listed = spark.range(3200).select(F.concat(F.lit("n"), F.col("id") % 40).alias("name"), F.lit("1.0.0").alias("version"), F.format_string("CVE-%07d", "id").alias("advisory"))
+    found = supply.advisory_signals(npm, npm.where("false"), listed, sep=",")
+    want = npm.join(listed, ["name", "version"]).groupBy("pkg_id").agg(F.countDistinct("name").alias("n"), F.array_join(F.sort_array(F.collect_set("advisory")), ",").alias("ids"))
+    assert found.select("pkg_id", "n", "ids").exceptAll(want).isEmpty() and found.count() == want.count() == 3000
+    found.write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").select(F.spark_partition_id().alias("part"), F.input_file_name().alias("file"), "ids").withColumn("at", F.monotonically_increasing_id()).collect()
+    files = {}
+    for r in sorted(rows, key=lambda r: r.at):
+        files.setdefault(r.ids, []).append((r.file, r.at))
+    # equal lists lie in one file, one behind the other
+    assert all(len({f for f, _ in x}) == 1 and x[-1][1] - x[0][1] == len(x) - 1 for x in files.values())
+    assert len({r.file for r in rows}) > 20
+
+
 def test_markov_by_ranges(spark, monkeypatch):
     frame = spark.createDataFrame([("a", i, i * i % 7 % 2) for i in range(300) if not 40 <= i < 60] + [("b", i, i % 2) for i in range(5)], "source_id string, i long, bit int")
     whole = {r.source_id: r.h for r in entropy.markov(frame).collect()}
